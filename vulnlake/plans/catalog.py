@@ -1,0 +1,1576 @@
+"""Every registered query beside SQL text that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vulnlake import fields
+from vulnlake.functions import values as fv
+from vulnlake.operators import compare, events, export, facets, live, overview, paging
+from vulnlake.operators import predicates, rows, suggest, versions
+from vulnlake.plans.relations import iso, over_changes, over_events, over_findings
+from vulnlake.session import scratch_path, write_out
+from vulnlake.sources import corpus, star_events, tables
+from vulnlake.sources.star_schema import DATASET_VERSION, current_findings, findings_log, table
+from vulnlake.spec import QuerySpec, Sort, resolve_time_range
+from vulnlake.streaming import changes as streaming
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+NOW = datetime(2001, 12, 1, tzinfo=timezone.utc)
+SQL_NOW = "TIMESTAMP '2001-12-01 00:00:00'"
+NOW_MS = int(NOW.timestamp() * 1000)
+BURST = "9 hours"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = sql
+        return function
+
+    return register
+
+
+def on_current(name: str, select: str, more: str = "") -> Callable:
+    """Register a query that reads current findings."""
+
+    def register(function: Callable[[DataFrame], DataFrame]) -> Callable:
+        query(name, over_findings(select, more))(
+            lambda spark, sf_dir: function(current_findings(spark, sf_dir))
+        )
+        return function
+
+    return register
+
+
+def on_events(name: str, select: str, more: str = "") -> Callable:
+    """Register a query that reads change events."""
+
+    def register(function: Callable[[DataFrame], DataFrame]) -> Callable:
+        query(name, over_events(select, more))(
+            lambda spark, sf_dir: function(star_events.events_of(spark, sf_dir))
+        )
+        return function
+
+    return register
+
+
+# --- version log -----------------------------------------------------------
+
+query(
+    "log_rows",
+    over_findings(
+        'SELECT severity, status, count(*) AS "rows", round(sum(cvss), 4) AS cvss_sum '
+        "FROM log GROUP BY ALL"
+    ),
+)(
+    lambda spark, d: findings_log(spark, d)
+    .groupBy("severity", "status")
+    .agg(F.count("*").alias("rows"), F.round(F.sum("cvss"), 4).alias("cvss_sum"))
+)
+
+query("current_count", over_findings("SELECT count(*) AS total FROM findings"))(
+    lambda spark, d: versions.collapse_current(findings_log(spark, d)).agg(
+        F.count("*").alias("total")
+    )
+)
+
+query(
+    "current_rows",
+    over_findings(
+        'SELECT "findingId", "group", repo, image, cve, "packageName", "packageVersion", severity, '
+        'status, cvss, coalesce("kaiStatus", \'(none)\') AS "kaiStatus", '
+        f"array_to_string(\"riskFactors\", '|') AS \"riskFactors\", {iso('updatedAt')} AS \"updatedAt\", "
+        f"coalesce({iso('fixedAt')}, '(none)') AS \"fixedAt\" FROM findings"
+    ),
+)(
+    lambda spark, d: versions.collapse_current(findings_log(spark, d)).select(
+        "findingId",
+        "group",
+        "repo",
+        "image",
+        "cve",
+        "packageName",
+        "packageVersion",
+        "severity",
+        "status",
+        "cvss",
+        F.coalesce("kaiStatus", F.lit("(none)")).alias("kaiStatus"),
+        F.array_join("riskFactors", "|").alias("riskFactors"),
+        fv.iso_ms(F.col("updatedAt")).alias("updatedAt"),
+        F.coalesce(fv.iso_ms(F.col("fixedAt")), F.lit("(none)")).alias("fixedAt"),
+    )
+)
+
+query(
+    "version_audit",
+    over_findings(
+        'SELECT CAST(sum(n) AS BIGINT) AS log_rows, count(*) AS identities, CAST(sum(n - 1) AS BIGINT) AS superseded, '
+        "count(*) FILTER (n > 1) AS collapsed_identities, count(*) FILTER (dead) AS tombstoned, "
+        "count(*) FILTER (NOT dead) AS current_findings FROM "
+        '(SELECT count(*) AS n, bool_or(age = 1 AND "isDeleted") AS dead FROM versions GROUP BY "findingId")'
+    ),
+)(lambda spark, d: versions.version_audit(findings_log(spark, d)))
+
+query(
+    "collapsed_identities",
+    over_findings(
+        f'SELECT "findingId", count(*) AS versions, max({iso("updatedAt")}) AS "updatedAt" '
+        'FROM versions GROUP BY "findingId" HAVING count(*) > 1'
+    ),
+)(
+    lambda spark, d: versions.collapsed_identities(findings_log(spark, d)).select(
+        fv.finding_id().alias("findingId"),
+        "versions",
+        fv.iso_ms(F.col("updatedAt")).alias("updatedAt"),
+    )
+)
+
+query(
+    "merge_current",
+    over_changes(
+        'SELECT severity, status, count(*) AS "rows", round(sum(cvss), 4) AS cvss_sum FROM ('
+        "SELECT severity, status, cvss FROM findings WHERE severity <> 'critical' AND \"findingId\" "
+        'NOT IN (SELECT "findingId" FROM deletes) '
+        "UNION ALL SELECT severity, status, cvss FROM upserts) GROUP BY ALL"
+    ),
+)(
+    lambda spark, d: _changed_current(spark, d)
+    .groupBy("severity", "status")
+    .agg(F.count("*").alias("rows"), F.round(F.sum("cvss"), 4).alias("cvss_sum"))
+)
+
+
+def _change_set(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    current = current_findings(spark, d)
+    return current, star_events.rescored(current), star_events.dismissed(current)
+
+
+def _changed_current(spark: SparkSession, d: str) -> DataFrame:
+    current, upserts, ids = _change_set(spark, d)
+    new_rows, _ = streaming.apply_changes(
+        current, upserts, ids, DATASET_VERSION, NOW, 1, max_changes=None
+    )
+    return versions.merge_current(current, new_rows)
+
+
+_STAMPS = (
+    "SELECT *, {now} + n + max(greatest(0, epoch_ms(\"updatedAt\") + 1 - {now}) - n) OVER "
+    "(ORDER BY n ROWS UNBOUNDED PRECEDING) AS stamp FROM "
+    "(SELECT *, row_number() OVER (ORDER BY \"findingId\") AS n FROM {table})"
+)
+_REVIVED = (
+    "revived AS (SELECT * FROM versions WHERE age = 1 AND \"isDeleted\"), "
+    "requested AS (SELECT \"findingId\", cvss, status, \"updatedAt\", \"firstSeenAt\" FROM upserts "
+    "UNION ALL SELECT \"findingId\", cvss, status, CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP) FROM revived), "
+    "stamped AS (SELECT *, n + max(greatest({now}, coalesce(epoch_ms(\"updatedAt\") + 1, 0)) - n) OVER "
+    "(ORDER BY n ROWS UNBOUNDED PRECEDING) AS stamp FROM "
+    "(SELECT *, row_number() OVER (ORDER BY \"findingId\") AS n FROM requested))"
+).format(now=NOW_MS)
+
+
+@query(
+    "apply_upserts",
+    over_changes(
+        'SELECT "findingId", cvss, status, n AS position, stamp AS updated_ms, '
+        f'coalesce(epoch_ms("firstSeenAt"), {NOW_MS}) AS first_seen_ms FROM stamped',
+        _REVIVED,
+    ),
+)
+def _apply_upserts(spark: SparkSession, d: str) -> DataFrame:
+    current = current_findings(spark, d)
+    newest = versions.newest_version(findings_log(spark, d))
+    wanted = star_events.rescored(current).unionByName(star_events.revived(newest))
+    return versions.apply_upserts(current, wanted, NOW, 1).select(
+        "findingId",
+        "cvss",
+        "status",
+        "position",
+        F.unix_millis("updatedAt").alias("updated_ms"),
+        F.unix_millis("firstSeenAt").alias("first_seen_ms"),
+    )
+
+
+@query(
+    "apply_deletes",
+    over_changes(
+        'SELECT "findingId", severity, n AS position, stamp AS updated_ms, '
+        'epoch_ms("firstSeenAt") AS first_seen_ms, 1 AS tombstone FROM stamped',
+        f"stamped AS ({_STAMPS.format(now=NOW_MS, table='deletes')})",
+    ),
+)
+def _apply_deletes(spark: SparkSession, d: str) -> DataFrame:
+    current = current_findings(spark, d)
+    return versions.apply_deletes(current, star_events.dismissed(current), NOW, 1).select(
+        "findingId",
+        "severity",
+        "position",
+        F.unix_millis("updatedAt").alias("updated_ms"),
+        F.unix_millis("firstSeenAt").alias("first_seen_ms"),
+        F.col("isDeleted").cast("int").alias("tombstone"),
+    )
+
+
+@query(
+    "apply_changes",
+    over_changes(
+        "SELECT 'finding-upserted' AS type, \"findingId\" AS id, cvss, "
+        "row_number() OVER (ORDER BY \"findingId\") AS seq FROM upserts UNION ALL "
+        "SELECT 'finding-deleted', \"findingId\", -1.0, (SELECT count(*) FROM upserts) + "
+        'row_number() OVER (ORDER BY "findingId") FROM deletes'
+    ),
+)
+def _apply_changes(spark: SparkSession, d: str) -> DataFrame:
+    current, upserts, ids = _change_set(spark, d)
+    _, emitted = streaming.apply_changes(
+        current, upserts, ids, DATASET_VERSION, NOW, 1, max_changes=None
+    )
+    return emitted.select(
+        "type",
+        F.coalesce("finding.id", "id").alias("id"),
+        F.coalesce("finding.cvss", F.lit(-1.0)).alias("cvss"),
+        "seq",
+    )
+
+
+_USERS = 'users AS (SELECT DISTINCT md5(CAST(user_id AS VARCHAR)) AS "findingId" FROM events)'
+
+
+@query(
+    "unknown_deletes",
+    over_changes(
+        'SELECT "findingId" FROM users WHERE "findingId" NOT IN (SELECT "findingId" FROM findings)',
+        _USERS,
+    ),
+)
+def _unknown_deletes(spark: SparkSession, d: str) -> DataFrame:
+    current = current_findings(spark, d)
+    users = table(spark, d, "events").select(F.md5(F.col("user_id").cast("string")).alias("findingId"))
+    ids = star_events.dismissed(current).select("findingId").union(users.distinct())
+    return versions.unknown_deletes(current, ids)
+
+
+@query(
+    "lookup_previous",
+    over_changes(f'SELECT "findingId", {iso("updatedAt")} AS "updatedAt", cvss FROM findings '
+                 "WHERE severity = 'critical'"),
+)
+def _lookup_previous(spark: SparkSession, d: str) -> DataFrame:
+    current, upserts, _ = _change_set(spark, d)
+    return versions.lookup_previous(current, upserts).select(
+        "findingId", fv.iso_ms(F.col("updatedAt")).alias("updatedAt"), "cvss"
+    )
+
+
+@query("lookup_by_ids", over_changes('SELECT "findingId", cve, severity FROM deletes'))
+def _lookup_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    current, _, ids = _change_set(spark, d)
+    return versions.lookup_by_ids(current, ids).select("findingId", "cve", "severity")
+
+
+@query(
+    "read_back_applied",
+    over_changes('SELECT "findingId" AS "requestOrder", cvss, status, severity FROM upserts'),
+)
+def _read_back(spark: SparkSession, d: str) -> DataFrame:
+    _, upserts, _ = _change_set(spark, d)
+    return versions.read_back_applied(_changed_current(spark, d), upserts).select(
+        "requestOrder", "cvss", "status", "severity"
+    )
+
+
+# --- ingest ------------------------------------------------------------------
+
+_STAMPED_FINDINGS = (
+    "numbered AS (SELECT *, row_number() OVER (ORDER BY \"group\", repo, image, cve, \"packageName\", "
+    '"packageVersion", path) - 1 AS n FROM findings)'
+)
+
+
+@on_current(
+    "stamp_initial",
+    f'SELECT "findingId", {NOW_MS} + n // 2000 AS updated_ms, n // 2000 + 1 AS batch, '
+    "n - 2000 * (n // 2000) AS position FROM numbered",
+    _STAMPED_FINDINGS,
+)
+def _stamp_initial(current: DataFrame) -> DataFrame:
+    stamped = versions.stamp_initial(
+        current.select(*fields.SOURCE_FIELDS, "findingId"), NOW, list(fields.IDENTITY)
+    )
+    return stamped.select(
+        "findingId", F.unix_millis("updatedAt").alias("updated_ms"), "batch", "position"
+    )
+
+
+@query(
+    "check_batches",
+    """
+    WITH batches AS (
+      SELECT l_orderkey AS arrival,
+        CASE WHEN o_custkey < 100 THEN l_orderkey - 50 ELSE l_orderkey + 1 END AS sequence,
+        CASE WHEN o_orderpriority LIKE '5%' AND o_orderstatus = 'P' THEN 'star-0' ELSE 'star-1' END AS version,
+        count(*) AS n
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+    seen AS (SELECT *, max(sequence) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM batches)
+    SELECT arrival, sequence, 'version mismatch' AS reason FROM seen WHERE version <> 'star-1'
+    UNION ALL SELECT arrival, sequence, 'sequence must increase' FROM seen WHERE sequence <= coalesce(highest, 0)
+    UNION ALL SELECT arrival, sequence, 'too many rows' FROM seen WHERE n > 7
+    """,
+)
+def _check_batches(spark: SparkSession, d: str) -> DataFrame:
+    joined = table(spark, d, "lineitem").join(
+        table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
+    )
+    outdated = F.col("o_orderpriority").startswith("5") & (F.col("o_orderstatus") == "P")
+    source = joined.select(
+        F.when(outdated, "star-0").otherwise("star-1").alias("dataset_version"),
+        F.col("l_orderkey").alias("arrival"),
+        F.when(F.col("o_custkey") < 100, F.col("l_orderkey") - 50)
+        .otherwise(F.col("l_orderkey") + 1)
+        .alias("sequence"),
+    )
+    return versions.check_batches(source, "star-1", max_rows=7)
+
+
+@query(
+    "ingest_report",
+    over_findings(
+        'SELECT count(DISTINCT batch) AS "batchesWritten", count(*) AS "sourceRowsWritten", '
+        '(SELECT count(*) FROM findings) AS "currentFindings" FROM log'
+    ),
+)
+def _ingest_report(spark: SparkSession, d: str) -> DataFrame:
+    report = tables.ingest_report(findings_log(spark, d), current_findings(spark, d))
+    return report.select("batchesWritten", "sourceRowsWritten", "currentFindings")
+
+
+@query(
+    "write_log",
+    over_findings('SELECT severity, count(*) AS "rows", count(DISTINCT batch) AS batches '
+                  "FROM log GROUP BY ALL"),
+)
+def _write_log(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "log")
+    tables.load_initial(findings_log(spark, d), path, DATASET_VERSION)
+    return (
+        tables.read_log(spark, path, DATASET_VERSION)
+        .groupBy("severity")
+        .agg(F.count("*").alias("rows"), F.countDistinct("batch").alias("batches"))
+    )
+
+
+@query(
+    "dataset_info",
+    over_findings(
+        "SELECT 'star-1' AS version, count(*) AS \"totalCount\", (SELECT (epoch_us(ts) // 1000) || '-' || event_id "
+        'FROM events ORDER BY ts DESC, event_id DESC LIMIT 1) AS "lastEventId" FROM findings'
+    ),
+)
+def _dataset_info(spark: SparkSession, d: str) -> DataFrame:
+    return events.dataset_info(
+        current_findings(spark, d), star_events.events_of(spark, d), DATASET_VERSION
+    )
+
+
+_CENSUS_DOCS = """
+docs AS (
+  SELECT n_name AS g, s_name AS r, l_returnflag || l_linestatus AS i,
+    CASE WHEN l_linenumber > 3 THEN 'image ' || l_returnflag END AS name,
+    CASE WHEN l_discount = 0 THEN 0 WHEN l_tax = 0 THEN 2 ELSE 1 END AS n
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT n_name, 'idle ' || s_name, NULL, NULL, NULL
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT r_name, NULL, NULL, NULL, NULL FROM region)
+"""
+
+
+@query(
+    "census",
+    f"""
+    WITH {_CENSUS_DOCS}
+    SELECT count(DISTINCT g) AS "groups", count(DISTINCT CASE WHEN r IS NOT NULL THEN [g, r] END) AS repos,
+      count(DISTINCT CASE WHEN i IS NOT NULL THEN [g, r, i] END) AS "imageKeys",
+      count(DISTINCT name) AS "imageNames", count(n) AS "vulnArrays",
+      count(*) FILTER (n > 0) AS "nonEmptyVulnArrays", CAST(sum(n) AS BIGINT) AS "vulnTotal" FROM docs
+    """,
+)
+def _census(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.census(
+        corpus.parse_documents(star_events.census_documents(spark, d), "text")
+    )
+
+
+@query(
+    "empty_groups",
+    f"""
+    WITH {_CENSUS_DOCS}, sizes AS (SELECT g, sum(coalesce(n, 0)) AS n FROM docs GROUP BY g)
+    SELECT (SELECT count(*) FROM sizes) AS "groups", g AS "groupKey" FROM sizes WHERE n = 0
+    """,
+)
+def _empty_groups(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.empty_groups(
+        corpus.parse_documents(star_events.census_documents(spark, d), "text")
+    )
+
+
+def _flattened(current: DataFrame) -> DataFrame:
+    return corpus.flatten_source(
+        corpus.parse_documents(star_events.report_documents(current), "text")
+    )
+
+
+@on_current(
+    "flatten_roundtrip",
+    'SELECT "findingId", "group", repo, image, cve, severity, cvss, "buildType", '
+    "coalesce(\"kaiStatus\", '(none)') AS \"kaiStatus\", "
+    "array_to_string(list_sort(\"riskFactors\"), '|') AS \"riskFactors\", "
+    "array_to_string(\"applicableRules\", '|') AS \"applicableRules\", "
+    f"{iso('publishedAt')} AS \"publishedAt\", coalesce({iso('fixedAt')}, '(none)') AS \"fixedAt\" "
+    "FROM findings",
+)
+def _flatten_roundtrip(current: DataFrame) -> DataFrame:
+    derived = versions.derive(corpus.normalize(_flattened(current)))
+    return derived.select(
+        "findingId",
+        "group",
+        "repo",
+        "image",
+        "cve",
+        "severity",
+        "cvss",
+        "buildType",
+        F.coalesce("kaiStatus", F.lit("(none)")).alias("kaiStatus"),
+        F.array_join("riskFactors", "|").alias("riskFactors"),
+        F.array_join("applicableRules", "|").alias("applicableRules"),
+        fv.iso_ms(F.col("publishedAt")).alias("publishedAt"),
+        F.coalesce(fv.iso_ms(F.col("fixedAt")), F.lit("(none)")).alias("fixedAt"),
+    )
+
+
+@query(
+    "read_source",
+    over_findings(
+        'SELECT "group", repo, image, count(*) AS records, round(sum(cvss), 4) AS cvss_sum '
+        "FROM findings GROUP BY ALL"
+    ),
+)
+def _read_source(spark: SparkSession, d: str) -> DataFrame:
+    """Reports written as JSON lines and read back through the file reader."""
+    path = scratch_path(spark, "reports")
+    star_events.report_documents(current_findings(spark, d)).select("text").write.text(path)
+    read = corpus.read_source(spark, path, multi_line=False)
+    return (
+        corpus.normalize(corpus.flatten_source(read))
+        .groupBy("group", "repo", "image")
+        .agg(F.count("*").alias("records"), F.round(F.sum("cvss"), 4).alias("cvss_sum"))
+    )
+
+
+@on_current(
+    "context_names",
+    'SELECT "findingId" AS doc, "group", repo, image, "buildType" AS "imageBuildType", '
+    "0 AS position FROM findings",
+)
+def _context_names(current: DataFrame) -> DataFrame:
+    return _flattened(current).select(
+        "doc", "group", "repo", "image", "imageBuildType", "position"
+    )
+
+
+_RECORD_SIZE = (
+    "strlen(\"group\" || repo || image || cve || \"packageName\" || \"packageVersion\" || severity || status)"
+)
+_PREFIX = (
+    f"sized AS (SELECT *, {_RECORD_SIZE} AS bytes FROM findings), "
+    "running AS (SELECT *, sum(bytes) OVER (ORDER BY \"group\", repo, image, cve, \"packageName\", "
+    '"packageVersion", path) - bytes AS before FROM sized)'
+)
+
+
+def _sample(current: DataFrame) -> DataFrame:
+    text = F.concat(
+        "group", "repo", "image", "cve", "packageName", "packageVersion", "severity", "status"
+    )
+    return corpus.sample_prefix(
+        current, list(fields.IDENTITY), budget=2_000_000, size=F.octet_length(text)
+    )
+
+
+on_current(
+    "sample_prefix",
+    'SELECT "findingId", bytes FROM running WHERE before < 2000000',
+    _PREFIX,
+)(lambda current: _sample(current).select("findingId", "bytes"))
+
+on_current(
+    "sample_manifest",
+    'SELECT count(*) AS "sourceRows", CAST(sum(bytes) AS BIGINT) AS "approxBytes" FROM running WHERE before < 2000000',
+    _PREFIX,
+)(lambda current: corpus.sample_manifest(_sample(current)))
+
+
+# --- normalisation -----------------------------------------------------------
+
+
+def _raw_records(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON record per event, holding every kind of value."""
+    user = F.col("user_id").cast("string")
+    own = (
+        F.when(F.col("event_type") == "click", '"own":null,')
+        .when(F.col("event_type") == "view", "")
+        .when(F.col("event_type") == "error", '"own":"",')
+        .otherwise(F.concat(F.lit('"own":'), user, F.lit(",")))
+    )
+    text = F.concat(
+        F.lit("{"), own, F.lit('"int":'), user, F.lit(',"text":"'), F.col("event_type"),
+        F.lit('","numText":"'), F.col("value").cast("string"),
+        F.lit('","blank":" ","flag":'), (F.col("value") > 10).cast("string"),
+        F.lit(',"none":null,"object":'), F.col("props"),
+        F.lit(',"list":["'), F.col("event_type"), F.lit('",'), user,
+        F.lit(',null,{"a":1}]}'),
+    )
+    return table(spark, d, "events").select(
+        "event_id", "event_type", "ts", "value", F.parse_json(text).alias("record")
+    )
+
+
+def _in_record(member: str) -> Column:
+    return F.try_variant_get("record", f"$.{member}", "variant")
+
+
+_MEMBERS = ("int", "text", "flag", "none", "missing", "object", "list")
+
+query(
+    "as_string",
+    "SELECT event_id, CAST(user_id AS VARCHAR) AS \"int\", event_type AS \"text\", "
+    "CASE WHEN value > 10 THEN 'true' ELSE 'false' END AS flag, '' AS \"none\", '' AS missing, "
+    "'' AS object, '' AS list FROM events",
+)(
+    lambda spark, d: _raw_records(spark, d).select(
+        "event_id", *[fv.as_string(_in_record(m)).alias(m) for m in _MEMBERS]
+    )
+)
+
+query(
+    "as_number",
+    "SELECT event_id, CAST(user_id AS DOUBLE) AS \"int\", value AS \"numText\", 0.0::DOUBLE AS \"text\", "
+    "0.0::DOUBLE AS blank, 0.0::DOUBLE AS flag, 0.0::DOUBLE AS \"none\", 0.0::DOUBLE AS missing, "
+    "0.0::DOUBLE AS object FROM events",
+)(
+    lambda spark, d: _raw_records(spark, d).select(
+        "event_id",
+        *[
+            fv.as_number(_in_record(m)).alias(m)
+            for m in ("int", "numText", "text", "blank", "flag", "none", "missing", "object")
+        ],
+    )
+)
+
+query(
+    "as_string_array",
+    "SELECT event_id, event_type || '|' || user_id || '||' AS list, 4 AS n, 0 AS of_text, 0 AS of_missing "
+    "FROM events",
+)(
+    lambda spark, d: _raw_records(spark, d).select(
+        "event_id",
+        F.array_join(fv.as_string_array(_in_record("list")), "|").alias("list"),
+        F.size(fv.as_string_array(_in_record("list"))).alias("n"),
+        F.size(fv.as_string_array(_in_record("text"))).alias("of_text"),
+        F.size(fv.as_string_array(_in_record("missing"))).alias("of_missing"),
+    )
+)
+
+query(
+    "nullable_string",
+    "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN NULL WHEN event_type = 'error' THEN '' "
+    "ELSE CAST(user_id AS VARCHAR) END AS own, ' ' AS blank, CAST(NULL AS VARCHAR) AS \"none\" FROM events",
+)(
+    lambda spark, d: _raw_records(spark, d).select(
+        "event_id",
+        *[fv.nullable_string(_in_record(m)).alias(m) for m in ("own", "blank", "none")],
+    )
+)
+
+query(
+    "inherit_build_type",
+    "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'image-build' "
+    "WHEN event_type = 'error' THEN '' ELSE CAST(user_id AS VARCHAR) END AS \"buildType\" FROM events",
+)(
+    lambda spark, d: _raw_records(spark, d).select(
+        "event_id", fv.inherit(_in_record("own"), F.lit("image-build")).alias("buildType")
+    )
+)
+
+query(
+    "risk_factor_keys",
+    "SELECT event_id, array_to_string(list_sort(json_keys(props)), '|') AS of_object, "
+    "event_type || '|' || user_id || '||' AS of_array, '' AS of_text FROM events",
+)(
+    lambda spark, d: _raw_records(spark, d).select(
+        "event_id",
+        *[
+            F.array_join(fv.object_keys_or_array(_in_record(m)), "|").alias(f"of_{n}")
+            for m, n in (("object", "object"), ("list", "array"), ("text", "text"))
+        ],
+    )
+)
+
+on_current(
+    "context_wins",
+    'SELECT "group", count(*) AS records, 0::BIGINT AS from_record FROM findings GROUP BY ALL',
+)(
+    lambda current: corpus.normalize(_flattened(current))
+    .groupBy("group")
+    .agg(
+        F.count("*").alias("records"),
+        F.count_if(F.col("group") == "wrong-group").alias("from_record"),
+    )
+)
+
+query(
+    "parse_best_effort",
+    "SELECT event_id, CASE WHEN event_type = 'signup' THEN NULL "
+    "WHEN event_type = 'purchase' THEN strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') "
+    "WHEN event_type = 'error' THEN strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') "
+    "ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events",
+)(
+    lambda spark, d: table(spark, d, "events").select(
+        "event_id",
+        fv.text_seconds(
+            fv.parse_date(
+                F.when(F.col("event_type") == "signup", "tomorrow")
+                .when(F.col("event_type") == "purchase", F.date_format("ts", "yyyyMMdd"))
+                .when(
+                    F.col("event_type") == "error",
+                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'+02:00'"),
+                )
+                .when(F.col("event_type") == "click", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+                .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+            )
+        ).alias("parsed"),
+    )
+)
+
+query(
+    "iso_ms",
+    f"SELECT event_id, {iso('ts')} AS at, strftime(CASE WHEN value > 10 THEN ts END, "
+    "'%Y-%m-%dT%H:%M:%S.%gZ') AS maybe FROM events",
+)(
+    lambda spark, d: table(spark, d, "events").select(
+        "event_id",
+        fv.iso_ms(F.col("ts")).alias("at"),
+        fv.iso_ms(F.when(F.col("value") > 10, F.col("ts"))).alias("maybe"),
+    )
+)
+
+query("text_ms", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS at FROM events")(
+    lambda spark, d: table(spark, d, "events").select(
+        "event_id", fv.text_ms(F.col("ts")).alias("at")
+    )
+)
+
+_HOSTS = fv.private_hosts(r"example\.net")
+_REPLACEMENTS = {_HOSTS: "registry.example.invalid", "track": "example"}
+
+query(
+    "sanitize_text",
+    "SELECT page_id, regexp_replace(regexp_replace(url, '{h}', 'registry.example.invalid', 'gi'), 'track', 'example', 'gi') AS url, "
+    "md5(regexp_replace(regexp_replace(html, '{h}', 'registry.example.invalid', 'gi'), 'track', 'example', 'gi')) AS html_md5 "
+    "FROM pages".format(h=_HOSTS),
+)(
+    lambda spark, d: corpus.sanitize(
+        table(spark, d, "pages").select("page_id", "url", "html"), _REPLACEMENTS
+    ).select("page_id", "url", F.md5("html").alias("html_md5"))
+)
+
+
+# --- projections and filters -------------------------------------------------
+
+_EXPLORE_SQL = (
+    '"findingId" AS id, cve, severity, cvss, status, "packageName", "packageVersion", "group", repo, '
+    f'image, "kaiStatus", {iso("publishedAt")} AS "publishedAt"'
+)
+
+on_current("explore", f"SELECT {_EXPLORE_SQL} FROM findings")(rows.project_explore)
+
+
+def _flat_detail(detail: DataFrame) -> DataFrame:
+    joined = {f: F.array_join(f, "|").alias(f) for f in fields.STRING_ARRAYS}
+    return detail.select(*[joined.get(f, F.col(f)) for f in fields.DETAIL])
+
+
+_DETAIL_SQL = (
+    '"findingId" AS id, "group", repo, image, cve, severity, cvss, status, "packageName", "packageVersion", '
+    "\"packageType\", path, \"advisoryType\", \"buildType\", type, description, '' AS cause, '' AS exploit, "
+    "\"fixDate\", published, '' AS \"layerTime\", '' AS link, owner, '' AS \"vecStr\", \"kaiStatus\", "
+    "array_to_string(\"riskFactors\", '|') AS \"riskFactors\", array_to_string(\"applicableRules\", '|') AS \"applicableRules\", "
+    f'{iso("publishedAt")} AS "publishedAt", {iso("fixedAt")} AS "fixedAt", {iso("updatedAt")} AS "updatedAt"'
+)
+
+on_current("detail", f"SELECT {_DETAIL_SQL} FROM findings")(
+    lambda current: _flat_detail(rows.project_detail(current))
+)
+
+
+@on_current(
+    "detail_by_id",
+    f'SELECT {_DETAIL_SQL} FROM findings WHERE "findingId" = (SELECT min("findingId") FROM findings)',
+)
+def _detail_by_id(current: DataFrame) -> DataFrame:
+    known = current.agg(F.min("findingId").alias("id")).first().id
+    return _flat_detail(rows.project_detail(predicates.by_id(current, known)))
+
+
+def _scoped(name: str, spec: QuerySpec, where: str) -> None:
+    """Register the page scope of a spec: the ids it keeps."""
+    on_current(name, f'SELECT "findingId", severity, cvss FROM findings WHERE {where}')(
+        lambda current: current.where(predicates.page_scope(spec)).select(
+            "findingId", "severity", "cvss"
+        )
+    )
+
+
+_scoped(
+    "filter_in",
+    QuerySpec(filters={"severity": ("high", "critical"), "advisoryType": ("F",)}),
+    "severity IN ('high', 'critical') AND \"advisoryType\" = 'F'",
+)
+_scoped(
+    "filter_blank_matches_null",
+    QuerySpec(filters={"kaiStatus": ("", "reviewed")}),
+    "coalesce(\"kaiStatus\", '') IN ('', 'reviewed')",
+)
+_scoped(
+    "filter_risk_any",
+    QuerySpec(filters={"riskFactors": ("Remote", "Has fix")}),
+    "list_has_any(\"riskFactors\", ['Remote', 'Has fix'])",
+)
+_COMBINED = QuerySpec(
+    filters={"severity": ("critical", "high"), "riskFactors": ("reachable",)},
+    mode="analysis",
+    search="WIDGET",
+    time_range=resolve_time_range("5y", NOW),
+)
+_COMBINED_SQL = (
+    "severity IN ('critical', 'high') AND list_has_any(\"riskFactors\", ['reachable']) "
+    "AND (\"kaiStatus\" IS NULL OR \"kaiStatus\" <> 'invalid - norisk') "
+    "AND (contains(lower(cve), 'widget') OR contains(lower(\"packageName\"), 'widget') "
+    "OR contains(lower(image), 'widget') OR contains(lower(repo), 'widget')) "
+    f"AND \"publishedAt\" BETWEEN {SQL_NOW} - INTERVAL 5 YEAR AND {SQL_NOW}"
+)
+_scoped("filter_combined", _COMBINED, _COMBINED_SQL)
+_scoped("filter_except", QuerySpec(filters={"status": ("open",)}), "status = 'open'")
+_scoped("mode_all", QuerySpec(mode="all"), "true")
+_scoped(
+    "mode_analysis",
+    QuerySpec(mode="analysis"),
+    "\"kaiStatus\" IS NULL OR \"kaiStatus\" <> 'invalid - norisk'",
+)
+_scoped(
+    "mode_ai",
+    QuerySpec(mode="aiAnalysis"),
+    "\"kaiStatus\" IS NULL OR \"kaiStatus\" <> 'ai-invalid-norisk'",
+)
+_scoped(
+    "range_1y",
+    QuerySpec(time_range=resolve_time_range("1y", NOW)),
+    f"\"publishedAt\" BETWEEN {SQL_NOW} - INTERVAL 1 YEAR AND {SQL_NOW}",
+)
+_scoped(
+    "range_custom_inclusive",
+    QuerySpec(
+        time_range=resolve_time_range(
+            "custom", NOW, "1998-10-03T00:00:00Z", "1999-01-16T02:00:00+02:00"
+        )
+    ),
+    "\"publishedAt\" BETWEEN TIMESTAMP '1998-10-03' AND TIMESTAMP '1999-01-16'",
+)
+_scoped(
+    "search_any",
+    QuerySpec(search="Small-R"),
+    "contains(lower(cve), 'small-r') OR contains(lower(\"packageName\"), 'small-r') "
+    "OR contains(lower(image), 'small-r') OR contains(lower(repo), 'small-r')",
+)
+_scoped("search_literal_wildcards", QuerySpec(search="%_"), "false")
+
+query(
+    "filter_active",
+    over_findings(
+        'SELECT severity, count(*) AS "rows" FROM versions WHERE age = 1 AND NOT "isDeleted" GROUP BY ALL'
+    ),
+)(
+    lambda spark, d: versions.newest_version(findings_log(spark, d))
+    .where(predicates.active())
+    .groupBy("severity")
+    .agg(F.count("*").alias("rows"))
+)
+
+
+# --- pages -------------------------------------------------------------------
+
+
+def _page_sql(order: str, after: str = "true", cursor: str | None = None, first: int = 50) -> str:
+    token = f", {cursor} AS cursor" if cursor else ""
+    return (
+        f'SELECT * EXCLUDE (rows_left), CASE WHEN rows_left > {first} THEN 1 ELSE 0 END AS "hasNextPage" FROM ('
+        f'SELECT row_number() OVER (ORDER BY {order}, "findingId") AS position, {_EXPLORE_SQL}{token}, '
+        f"count(*) OVER () AS rows_left FROM findings WHERE {after}) WHERE position <= {first}"
+    )
+
+
+def _token_sql(value: str) -> str:
+    return (
+        "replace(replace(rtrim(to_base64(encode('{\"s\":' || " + value
+        + " || ',\"id\":\"' || \"findingId\" || '\"}')), '='), '+', '-'), '/', '_')"
+    )
+
+
+def _page(current: DataFrame, spec: QuerySpec, cursor: bool = False) -> DataFrame:
+    result = paging.page(current, spec).withColumn(
+        "hasNextPage", F.col("hasNextPage").cast("int")
+    )
+    return result if cursor else result.drop("cursor")
+
+
+on_current("page_cvss_desc", _page_sql("cvss DESC"))(lambda current: _page(current, QuerySpec()))
+
+on_current("page_published_asc", _page_sql('"publishedAt" ASC NULLS LAST', first=200))(
+    lambda current: _page(
+        current, QuerySpec(sort=Sort("publishedAt", "asc"), first=10_000)
+    )
+)
+
+on_current(
+    "cursor_column",
+    _page_sql(
+        '"publishedAt" DESC NULLS LAST',
+        cursor=_token_sql("coalesce('\"' || strftime(\"publishedAt\", '%Y-%m-%d %H:%M:%S') || '\"', 'null')"),
+    ),
+)(lambda current: _page(current, QuerySpec(sort=Sort("publishedAt", "desc")), cursor=True))
+
+
+@on_current(
+    "page_after_cursor",
+    _page_sql(
+        "cvss DESC",
+        after='(cvss, "findingId") IN (SELECT (cvss, "findingId") FROM findings) AND (cvss < 10 OR "findingId" > '
+        "'80000000000000000000000000000000')",
+    ),
+)
+def _page_after_cursor(current: DataFrame) -> DataFrame:
+    token = _token(10.0, "8" + 31 * "0")
+    return _page(current, QuerySpec(after=token))
+
+
+@on_current(
+    "page_fixed_null_tail",
+    _page_sql('"fixedAt" DESC NULLS LAST',
+              after="\"fixedAt\" IS NULL AND \"findingId\" > '80000000000000000000000000000000'"),
+)
+def _page_fixed_null_tail(current: DataFrame) -> DataFrame:
+    token = _token(None, "8" + 31 * "0")
+    return _page(current, QuerySpec(sort=Sort("fixedAt", "desc"), after=token))
+
+
+def _token(value: float | str | None, id: str) -> str:
+    import base64
+    import json
+
+    payload = json.dumps({"s": value, "id": id}).encode()
+    return base64.urlsafe_b64encode(payload).decode().rstrip("=")
+
+
+on_current("page_filtered", _page_sql("severity ASC", after=_COMBINED_SQL))(
+    lambda current: _page(
+        current,
+        QuerySpec(
+            filters=_COMBINED.filters,
+            mode=_COMBINED.mode,
+            search=_COMBINED.search,
+            time_range=_COMBINED.time_range,
+            sort=Sort("severity", "asc"),
+        ),
+    )
+)
+
+on_current("total_count", f"SELECT count(*) AS total FROM findings WHERE {_COMBINED_SQL}")(
+    lambda current: paging.total_count(current, _COMBINED)
+)
+
+
+# --- overview ----------------------------------------------------------------
+
+_SCOPE = QuerySpec(filters={"advisoryType": ("F", "O")})
+_SCOPED = "scoped AS (SELECT * FROM findings WHERE \"advisoryType\" IN ('F', 'O'))"
+_FIXED = "lower(status) LIKE 'fixed%'"
+_CORE_SQL = f"""
+SELECT count(*) AS total, count(DISTINCT cve) AS "uniqueCves",
+  count(*) FILTER ("kaiStatus" IS NULL OR "kaiStatus" <> 'invalid - norisk') AS "analysisCount",
+  count(*) FILTER ("kaiStatus" IS NULL OR "kaiStatus" <> 'ai-invalid-norisk') AS "aiAnalysisCount",
+  round(coalesce(avg(cvss), 0), 6) AS "averageCvss", count(*) FILTER ({_FIXED}) AS "fixedStatus",
+  count(*) FILTER (list_contains("riskFactors", 'Has fix')) AS "fixAvailable",
+  count(DISTINCT cve) FILTER ({_FIXED}) AS "fixedCves" FROM scoped
+"""
+_AGE_SQL = f"""CASE WHEN "publishedAt" IS NULL THEN 'unknown'
+  WHEN "publishedAt" >= {SQL_NOW} - INTERVAL 30 DAY THEN '0-30d'
+  WHEN "publishedAt" >= {SQL_NOW} - INTERVAL 90 DAY THEN '31-90d'
+  WHEN "publishedAt" >= {SQL_NOW} - INTERVAL 1 YEAR THEN '91-365d'
+  WHEN "publishedAt" >= {SQL_NOW} - INTERVAL 5 YEAR THEN '1-5y' ELSE '5y+' END"""
+_FIX_SQL = """CASE WHEN "fixedAt" IS NULL OR "publishedAt" IS NULL OR "fixedAt" <= "publishedAt" THEN 'unresolved'
+  WHEN date_diff('day', "publishedAt", "fixedAt") < 7 THEN '0-6d'
+  WHEN date_diff('day', "publishedAt", "fixedAt") < 30 THEN '7-29d'
+  WHEN date_diff('day', "publishedAt", "fixedAt") < 90 THEN '30-89d'
+  WHEN date_diff('day', "publishedAt", "fixedAt") < 365 THEN '90-364d' ELSE '1y+' END"""
+
+
+def _rank_sql(key: str, order: tuple[str, ...]) -> str:
+    listed = ", ".join(f"'{k}'" for k in order)
+    return f"CAST(list_position([{listed}], {key}) AS BIGINT)"
+
+
+def _top_sql(value: str, k: int, source: str = "scoped") -> str:
+    return (
+        f'SELECT {value} AS value, count(*) AS "count" FROM {source} GROUP BY 1 '
+        f'ORDER BY 2 DESC, 1 LIMIT {k}'
+    )
+
+
+def _rounded_core(core: DataFrame) -> DataFrame:
+    return core.withColumn("averageCvss", F.round("averageCvss", 6))
+
+
+on_current("overview_core", _CORE_SQL, _SCOPED)(
+    lambda current: _rounded_core(overview.overview_core(current, _SCOPE))
+)
+
+_DIMENSION_SQL = {
+    **{m: _top_sql(f'"{c}"', 20) for m, c in overview.DIMENSIONS.items()},
+    overview.RISK_DIMENSION: _top_sql(
+        "value", 20, '(SELECT unnest("riskFactors") AS value FROM scoped)'
+    ),
+}
+_DIMENSION_KEYS = {
+    "severityDistribution": "top_severity",
+    "byRepository": "top_repo",
+    "byImage": "top_image",
+    "topPackages": "top_package",
+    "riskFactorDistribution": "overview_risk",
+}
+for _metric, _key in _DIMENSION_KEYS.items():
+    on_current(_key, _DIMENSION_SQL[_metric], _SCOPED)(
+        lambda current, metric=_metric: overview.top_dimension(current, _SCOPE, metric)
+    )
+
+on_current(
+    "overview_age",
+    f'SELECT {_AGE_SQL} AS key, count(*) AS "count", {_rank_sql("key", overview.AGE_ORDER)} AS ord '
+    "FROM scoped GROUP BY 1",
+    _SCOPED,
+)(lambda current: overview.buckets(current, _SCOPE, overview.age_bucket(NOW), overview.AGE_ORDER))
+
+on_current(
+    "overview_time_to_fix",
+    f'SELECT {_FIX_SQL} AS key, count(*) AS "count", {_rank_sql("key", overview.FIX_ORDER)} AS ord '
+    "FROM scoped GROUP BY 1",
+    _SCOPED,
+)(
+    lambda current: overview.buckets(
+        current, _SCOPE, overview.time_to_fix_bucket(), overview.FIX_ORDER
+    )
+)
+
+on_current(
+    "overview_trend",
+    "SELECT strftime(\"publishedAt\", '%Y-%m') AS month, count(*) AS \"count\" FROM scoped "
+    'WHERE "publishedAt" IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 600',
+    _SCOPED,
+)(lambda current: overview.published_trend(current, _SCOPE))
+
+_TOP_LISTS = " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, row_number() OVER (ORDER BY \"count\" DESC, value) AS ord, value AS key, "
+    f'value AS label, "count", -1.0::DOUBLE AS value FROM ({sql})'
+    for m, sql in _DIMENSION_SQL.items()
+)
+_TIMES = (
+    f"SELECT 'ageBuckets' AS metric, {_rank_sql('key', overview.AGE_ORDER)} AS ord, key, key AS label, "
+    f'"count", -1.0::DOUBLE AS value FROM (SELECT {_AGE_SQL} AS key, count(*) AS "count" FROM scoped GROUP BY 1) '
+    f"UNION ALL SELECT 'timeToFixBuckets', {_rank_sql('key', overview.FIX_ORDER)}, key, key, \"count\", -1 "
+    f'FROM (SELECT {_FIX_SQL} AS key, count(*) AS "count" FROM scoped GROUP BY 1) '
+    "UNION ALL SELECT 'publishedTrend', row_number() OVER (ORDER BY key), key, key, \"count\", -1 FROM "
+    "(SELECT strftime(\"publishedAt\", '%Y-%m') AS key, count(*) AS \"count\" FROM scoped "
+    'WHERE "publishedAt" IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 600)'
+)
+_SPLITS = """
+SELECT 'totals' AS metric, 1::BIGINT AS ord, 'total' AS key, 'Total' AS label, total AS "count", -1.0::DOUBLE AS value FROM core
+UNION ALL SELECT 'totals', 2, 'uniqueCves', 'Unique CVEs', "uniqueCves", -1 FROM core
+UNION ALL SELECT 'totals', 3, 'analysisCount', 'Analysis', "analysisCount", -1 FROM core
+UNION ALL SELECT 'totals', 4, 'aiAnalysisCount', 'AI Analysis', "aiAnalysisCount", -1 FROM core
+UNION ALL SELECT 'totals', 5, 'averageCvss', 'Average CVSS', -1, "averageCvss" FROM core
+UNION ALL SELECT 'statusDistribution', 1, 'open', 'Open', total - "fixedStatus", -1 FROM core
+UNION ALL SELECT 'statusDistribution', 2, 'fixed', 'Fixed', "fixedStatus", -1 FROM core
+UNION ALL SELECT 'fixAvailability', 1, 'available', 'Fix available', "fixAvailable", -1 FROM core
+UNION ALL SELECT 'fixAvailability', 2, 'unavailable', 'No fix available', total - "fixAvailable", -1 FROM core
+UNION ALL SELECT 'cvesFoundVsFixed', 1, 'found', 'found', "uniqueCves", -1 FROM core
+UNION ALL SELECT 'cvesFoundVsFixed', 2, 'fixed', 'fixed', "fixedCves", -1 FROM core
+"""
+_WITH_CORE = f"{_SCOPED}, core AS ({_CORE_SQL})"
+
+
+def _rounded(bundle: DataFrame) -> DataFrame:
+    return bundle.withColumns(
+        {
+            "count": F.coalesce("count", F.lit(-1).cast("long")),
+            "value": F.coalesce(F.round("value", 6), F.lit(-1.0)),
+        }
+    )
+
+
+on_current("overview_dimensions", f"SELECT metric, ord, key, \"count\" FROM ({_TOP_LISTS})", _SCOPED)(
+    lambda current: overview.distributions(current, _SCOPE, NOW).where(
+        F.col("metric").isin(*_DIMENSION_SQL)
+    )
+)
+on_current("overview_splits", _SPLITS, _WITH_CORE)(
+    lambda current: _rounded(overview.splits(overview.overview_core(current, _SCOPE)))
+)
+on_current("overview_all", f"{_SPLITS} UNION ALL {_TOP_LISTS} UNION ALL {_TIMES}", _WITH_CORE)(
+    lambda current: _rounded(overview.overview(current, _SCOPE, NOW))
+)
+
+
+# --- facets, suggestions, comparison ------------------------------------------
+
+_FACET_SPEC = QuerySpec(
+    filters={"severity": ("critical", "high"), "kaiStatus": ("", "reviewed"),
+             "riskFactors": ("reachable", "Remote")},
+    mode="aiAnalysis",
+    search="ignored by facets",
+)
+_FACET_FILTERS = {
+    "severity": "severity IN ('critical', 'high')",
+    "kaiStatus": "coalesce(\"kaiStatus\", '') IN ('', 'reviewed')",
+    "riskFactors": "list_has_any(\"riskFactors\", ['reachable', 'Remote'])",
+}
+_FACET_MODE = "(\"kaiStatus\" IS NULL OR \"kaiStatus\" <> 'ai-invalid-norisk')"
+
+
+def _facet_sql(field: str) -> str:
+    where = " AND ".join([_FACET_MODE, *[s for f, s in _FACET_FILTERS.items() if f != field]])
+    if field == "riskFactors":
+        return _top_sql(
+            "value", 200, f'(SELECT unnest("riskFactors") AS value FROM findings WHERE {where})'
+        )
+    return _top_sql(f"coalesce(\"{field}\", '')", 200, f"(SELECT * FROM findings WHERE {where})")
+
+
+_FACET_KEYS = {
+    "severity": "facet_severity",
+    "status": "facet_status",
+    "group": "facet_group",
+    "repo": "facet_repo",
+    "image": "facet_image",
+    "packageType": "facet_package_type",
+    "advisoryType": "facet_advisory_type",
+    "kaiStatus": "facet_kai_status",
+    "riskFactors": "facet_risk_factors",
+}
+for _field, _key in _FACET_KEYS.items():
+    on_current(_key, _facet_sql(_field))(
+        lambda current, field=_field: facets.facet(current, _FACET_SPEC, field)
+    )
+
+_ALL_FACETS = " UNION ALL ".join(
+    f"SELECT '{f}' AS facet, * FROM ({_facet_sql(f)})" for f in fields.FILTERABLE
+)
+on_current("facets_one_pass", _ALL_FACETS)(lambda current: facets.facets(current, _FACET_SPEC))
+on_current("facets_by_branch", _ALL_FACETS)(
+    lambda current: facets.facets_by_branch(current, _FACET_SPEC)
+)
+
+_CANDIDATES = "candidates AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS field, value, row_number() OVER (ORDER BY strlen(value), value) AS place FROM "
+    f"(SELECT DISTINCT \"{f}\" AS value FROM findings WHERE \"{f}\" <> '' AND starts_with(lower(\"{f}\"), 'r'))"
+    for f in fields.SEARCHABLE
+) + ")"
+
+on_current("suggest_candidates", "SELECT * FROM candidates WHERE place <= 10", _CANDIDATES)(
+    lambda current: suggest.suggest_candidates(current, "R").withColumn(
+        "place", F.col("place").cast("long")
+    )
+)
+on_current(
+    "suggest",
+    "SELECT ord, CASE field WHEN 'cve' THEN 'CVE' WHEN 'packageName' THEN 'PACKAGE_NAME' "
+    "WHEN 'image' THEN 'IMAGE' ELSE 'REPO' END AS field, value FROM (SELECT *, row_number() OVER (ORDER BY "
+    "place > 2, list_position(['cve', 'packageName', 'image', 'repo'], field), place) AS ord "
+    "FROM candidates WHERE place <= 10) WHERE ord <= 10",
+    _CANDIDATES,
+)(lambda current: suggest.suggest(current, "R"))
+on_current(
+    "distinct_values",
+    "SELECT DISTINCT image AS value FROM findings WHERE starts_with(lower(image), 'registry')",
+)(lambda current: suggest.distinct_values(current, "image", "Registry"))
+
+_COMPARE_SPEC = QuerySpec(filters={"severity": ("critical", "high", "low"), "status": ("open",)})
+_LEFT = "(\"kaiStatus\" IS NULL OR \"kaiStatus\" <> 'invalid - norisk')"
+_RIGHT = "(\"kaiStatus\" IS NULL OR \"kaiStatus\" <> 'ai-invalid-norisk')"
+
+
+def _compare_sql(metric: str, value: str, where: str, rank: str) -> str:
+    return (
+        f"SELECT '{metric}' AS metric, {rank} AS rank, key, CASE WHEN key = '' THEN '(blank)' ELSE key END AS label, "
+        f'l AS "left", r AS "right", r - l AS delta FROM (SELECT {value} AS key, count(*) FILTER ({_LEFT}) AS l, '
+        f"count(*) FILTER ({_RIGHT}) AS r FROM findings WHERE {where} GROUP BY 1) WHERE l > 0 OR r > 0"
+    )
+
+
+_OPEN = "status = 'open'"
+_LISTED = "severity IN ('critical', 'high', 'low')"
+on_current(
+    "compare_modes",
+    " UNION ALL ".join(
+        [
+            _compare_sql("total", "'total'", f"{_OPEN} AND {_LISTED}", "1"),
+            _compare_sql(
+                "severity", "severity", _OPEN, _rank_sql("key", compare.SEVERITY_ORDER)
+            ),
+            _compare_sql("kaiStatus", "coalesce(\"kaiStatus\", '')", f"{_OPEN} AND {_LISTED}", "1"),
+        ]
+    ),
+)(lambda current: compare.compare_modes(current, _COMPARE_SPEC, "analysis", "aiAnalysis"))
+
+
+@on_current(
+    "compare_merge",
+    f'SELECT {_rank_sql("key", compare.SEVERITY_ORDER)} AS rank, key, key AS label, l AS "left", r AS "right", r - l AS delta '
+    f"FROM (SELECT severity AS key, count(*) FILTER ({_LEFT}) AS l, count(*) FILTER ({_RIGHT}) AS r FROM findings GROUP BY 1)",
+)
+def _compare_merge(current: DataFrame) -> DataFrame:
+    left, right = (
+        facets.facet(current, QuerySpec(mode=m), "severity") for m in ("analysis", "aiAnalysis")
+    )
+    return compare.compare_merge(left, right, compare.SEVERITY_ORDER)
+
+
+# --- export ------------------------------------------------------------------
+
+_EXPORT_SPEC = QuerySpec(filters={"severity": ("critical",)}, mode="analysis")
+_EXPORT_WHERE = f"severity = 'critical' AND {_LEFT}"
+
+
+def _cell_sql(field: str) -> str:
+    column = fields.column_of(field)
+    text = (
+        f"strftime(\"{column}\", '%Y-%m-%d %H:%M:%S')" if field == "publishedAt" else f'"{column}"'
+    )
+    cell = f"coalesce({text}, '')"
+    return (
+        f"CASE WHEN regexp_matches({cell}, '^[=+\\-@\\t\\r]') THEN '''' || {cell} ELSE {cell} END "
+        f'AS "{field}"'
+    )
+
+
+_EXPORT_SQL = "SELECT " + ", ".join(
+    "cvss" if f == "cvss" else _cell_sql(f) for f in fields.EXPLORE
+) + f" FROM findings WHERE {_EXPORT_WHERE}"
+
+on_current("export_count", f"SELECT count(*) AS total FROM findings WHERE {_EXPORT_WHERE}")(
+    lambda current: export.export_count(current, _EXPORT_SPEC)
+)
+on_current("export_rows", _EXPORT_SQL)(lambda current: export.export_rows(current, _EXPORT_SPEC))
+
+
+@query("export_csv", over_findings(_EXPORT_SQL))
+def _export_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "export")
+    export.write_csv(export.export_rows(current_findings(spark, d), _EXPORT_SPEC), path)
+    schema = ", ".join(
+        f"`{f}` {'double' if f in fields.NUMBERS else 'string'}" for f in fields.EXPLORE
+    )
+    read = spark.read.csv(path, header=True, schema=schema, escape='"')
+    return read.select(
+        *[F.col(f) if f in fields.NUMBERS else F.coalesce(f, F.lit("")).alias(f)
+          for f in fields.EXPLORE]
+    )
+
+
+query(
+    "formula_guard",
+    "SELECT doc_id, md5(CASE WHEN regexp_matches(cell, '^[=+\\-@\\t\\r]') THEN '''' || cell ELSE cell END) AS cell_md5 "
+    "FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN '=' || text WHEN lang = 'fr' THEN chr(9) || text "
+    "WHEN lang = 'de' THEN '@' || text ELSE text END AS cell FROM documents)",
+)(
+    lambda spark, d: table(spark, d, "documents").select(
+        "doc_id",
+        F.md5(
+            fv.formula_safe(
+                F.when(F.col("lang") == "en", F.concat(F.lit("="), "text"))
+                .when(F.col("lang") == "fr", F.concat(F.lit("\t"), "text"))
+                .when(F.col("lang") == "de", F.concat(F.lit("@"), "text"))
+                .otherwise(F.col("text"))
+            )
+        ).alias("cell_md5"),
+    )
+)
+
+
+def _job_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest: every event is a step of the export job of its user."""
+    kind, at = F.col("event_type"), star_events.event_time()
+    status = (
+        F.when(kind.isin("signup", "view"), "PENDING")
+        .when(kind == "click", "RUNNING")
+        .when(kind == "error", "FAILED")
+        .otherwise("READY")
+    )
+    id = F.concat(F.lit("job-"), F.col("user_id").cast("string"))
+    ready = status == "READY"
+    return table(spark, d, "events").select(
+        id.alias("id"),
+        status.alias("status"),
+        F.when(ready, F.col("event_id")).alias("rowCount"),
+        F.when(ready, F.concat(id, F.lit(".csv"))).alias("artifactName"),
+        F.when(status == "FAILED", export.FAILURE_TEXT).alias("errorMessage"),
+        at.alias("createdAt"),
+        at.alias("updatedAt"),
+        (at + F.make_interval(days=F.lit(1))).alias("expiresAt"),
+        F.col("event_id").alias("step"),
+        F.lit("{}").alias("request"),
+    )
+
+
+_JOBS_AS_OF = datetime(2024, 1, 30, 12, tzinfo=timezone.utc)
+_JOBS = """
+jobs AS (
+  SELECT 'job-' || user_id AS id, event_id, CASE WHEN event_type IN ('signup', 'view') THEN 'PENDING'
+    WHEN event_type = 'click' THEN 'RUNNING' WHEN event_type = 'error' THEN 'FAILED' ELSE 'READY' END AS status,
+    date_trunc('millisecond', ts) + INTERVAL 1 DAY AS expires,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS age
+  FROM events),
+open_jobs AS (SELECT * FROM jobs WHERE age = 1 AND expires > TIMESTAMP '2024-01-30 12:00:00')
+"""
+
+
+query(
+    "export_manifest_current",
+    f"""WITH {_JOBS} SELECT id, status, CASE WHEN status = 'READY' THEN event_id ELSE -1 END AS "rowCount",
+    CASE WHEN status = 'READY' THEN '/api/exports/' || id END AS "downloadUrl",
+    CASE WHEN status = 'FAILED' THEN 'Export could not be completed' END AS "errorMessage",
+    {iso("expires")} AS "expiresAt" FROM open_jobs""",
+)(
+    lambda spark, d: export.export_jobs(_job_rows(spark, d), _JOBS_AS_OF).withColumns(
+        {
+            "rowCount": F.coalesce("rowCount", F.lit(-1).cast("long")),
+            "expiresAt": fv.iso_ms(F.col("expiresAt")),
+        }
+    )
+)
+
+query(
+    "export_unfinished",
+    f"WITH {_JOBS} SELECT id FROM open_jobs WHERE status IN ('PENDING', 'RUNNING')",
+)(lambda spark, d: export.unfinished_jobs(_job_rows(spark, d), _JOBS_AS_OF))
+
+query(
+    "export_ready_event",
+    f"""WITH {_JOBS} SELECT '{NOW_MS}-0' AS log_id,
+    '{{"v":1,"type":"export-ready","datasetVersion":"star-1","at":"2001-12-01T00:00:00.000Z","jobId":"' || id
+    || '","url":"/api/exports/' || id || '"}}' AS event FROM open_jobs WHERE status = 'READY'""",
+)(
+    lambda spark, d: events.encode(
+        export.ready_events(
+            export.export_jobs(_job_rows(spark, d), _JOBS_AS_OF), DATASET_VERSION, NOW
+        )
+    )
+)
+
+
+# --- change events -----------------------------------------------------------
+
+query(
+    "event_emit",
+    over_events(
+        "SELECT log_id, type, length(event) AS chars FROM (SELECT log_id, type, "
+        "'{\"v\":1,\"type\":\"' || type || '\",\"datasetVersion\":\"star-1\",\"at\":\"' || " + iso("ts") + " || '\"' || "
+        "CASE type WHEN 'finding-deleted' THEN ',\"id\":\"' || id1 || '\"' "
+        "WHEN 'findings-changed' THEN ',\"ids\":[\"' || id1 || '\",\"' || id2 || '\"]' "
+        "WHEN 'aggregates-invalidated' THEN CASE WHEN value < 50 THEN ',\"scopes\":[\"facets\"]' "
+        "ELSE ',\"scopes\":[\"findings\",\"overview\"]' END "
+        "WHEN 'export-ready' THEN ',\"jobId\":\"job-' || event_id || '\"' ELSE '' END || '}' AS event "
+        "FROM ev WHERE type <> 'finding-upserted')"
+    ),
+)(
+    lambda spark, d: events.encode(star_events.events_of(spark, d)).select(
+        "log_id",
+        F.get_json_object("event", "$.type").alias("type"),
+        F.length("event").cast("long").alias("chars"),
+    ).where("type <> 'finding-upserted'")
+)
+
+_BROKEN = """
+checked AS (SELECT *, CASE
+    WHEN value > 150 THEN 'unsupported version'
+    WHEN value > 120 THEN 'malformed JSON'
+    WHEN value > 90 THEN 'bad dataset version'
+    WHEN value > 70 THEN 'bad timestamp'
+    WHEN value > 60 THEN 'unknown type'
+    WHEN value > 55 THEN 'wrong dataset version'
+    WHEN value > 45 AND value < 50 AND event_type = 'purchase' THEN 'bad payload' END AS reason FROM ev)
+"""
+
+query(
+    "event_valid",
+    over_events(
+        "SELECT ms, seq, type, coalesce(CASE WHEN type IN ('finding-upserted', 'finding-deleted') THEN id1 END, '') AS id, "
+        "CASE WHEN type = 'finding-upserted' THEN round(value / 100, 1) ELSE -1 END AS cvss, "
+        f"{iso('ts')} AS at FROM checked WHERE reason IS NULL",
+        _BROKEN,
+    ),
+)(
+    lambda spark, d: events.valid_events(
+        star_events.mixed_entries(spark, d), DATASET_VERSION
+    ).select(
+        "ms",
+        "seq",
+        "type",
+        F.coalesce("finding.id", "id", F.lit("")).alias("id"),
+        F.coalesce("finding.cvss", F.lit(-1.0)).alias("cvss"),
+        fv.iso_ms(F.col("at")).alias("at"),
+    )
+)
+
+query(
+    "event_rejects",
+    over_events("SELECT log_id, reason FROM checked WHERE reason IS NOT NULL", _BROKEN),
+)(
+    lambda spark, d: events.rejected_events(
+        star_events.mixed_entries(spark, d), DATASET_VERSION
+    ).select("log_id", "reason")
+)
+
+
+@query("event_log", over_events('SELECT type, count(*) AS "rows", min(ms) AS first_ms FROM ev GROUP BY ALL'))
+def _event_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events written to the log, read back and validated."""
+    path = scratch_path(spark, "event-log")
+    tables.write_events(events.encode(star_events.events_of(spark, d)), path)
+    return (
+        events.valid_events(tables.read_events(spark, path), DATASET_VERSION)
+        .groupBy("type")
+        .agg(F.count("*").alias("rows"), F.min("ms").alias("first_ms"))
+    )
+
+
+_REPLAY_MS = int(datetime(2024, 1, 15, tzinfo=timezone.utc).timestamp() * 1000)
+
+on_events("event_replay", f"SELECT ms, seq, type FROM ev WHERE ms > {_REPLAY_MS}")(
+    lambda log: events.replay_after(log, f"{_REPLAY_MS}-{2**53}").select("ms", "seq", "type")
+)
+on_events(
+    "event_resync",
+    "SELECT log_id AS cursor, 1 AS resync, log_id AS resync_id FROM ev ORDER BY ms DESC, seq DESC LIMIT 1",
+)(
+    lambda log: events.start_position(log, f"{_REPLAY_MS}-0").withColumn(
+        "resync", F.col("resync").cast("int")
+    )
+)
+on_events(
+    "event_retain",
+    "SELECT type, count(*) AS \"rows\" FROM (SELECT * FROM ev ORDER BY ms DESC, seq DESC LIMIT 5000) GROUP BY ALL",
+)(lambda log: events.retain_last(log, 5_000).groupBy("type").agg(F.count("*").alias("rows")))
+
+_COALESCIBLE_SQL = "event_type <> 'signup'"
+_GATE = (
+    f"gates AS (SELECT w, count(*) AS n, count(*) FILTER ({_COALESCIBLE_SQL}) AS c, "
+    f"count(*) FILTER ({_COALESCIBLE_SQL}) > 100 AS open FROM ev GROUP BY w)"
+)
+_RUNS = (
+    f"{_GATE}, numbered AS (SELECT ev.*, count(*) FILTER (NOT ({_COALESCIBLE_SQL})) OVER "
+    "(PARTITION BY w ORDER BY ms, seq) AS run FROM ev JOIN gates USING (w) WHERE open)"
+)
+_MERGED = (
+    f"{_RUNS}, changed AS (SELECT w, run, id, min((ms, seq, pos)) AS place FROM ("
+    "SELECT w, run, ms, seq, 0 AS pos, id1 AS id FROM numbered WHERE event_type IN ('click', 'view', 'error') "
+    "UNION ALL SELECT w, run, ms, seq, 1, id2 FROM numbered WHERE event_type = 'view') GROUP BY ALL), "
+    "id_lists AS (SELECT w, run, list(id ORDER BY place) AS ids FROM changed GROUP BY ALL), "
+    "runs AS (SELECT w, run, min((ms, seq)) AS f, max((ms, seq)) AS l, "
+    "bool_or(event_type = 'purchase' AND value < 50) AS facets, "
+    "bool_or(event_type = 'purchase' AND value >= 50) AS others "
+    f"FROM numbered WHERE {_COALESCIBLE_SQL} GROUP BY ALL), "
+    "full_runs AS (SELECT * FROM runs LEFT JOIN id_lists USING (w, run))"
+)
+
+on_events(
+    "event_burst_gate",
+    "SELECT epoch_ms(w) AS window_ms, n AS events, c AS coalescible, CAST(open AS INTEGER) AS open FROM gates",
+    _GATE,
+)(
+    lambda log: events.window_load(log, BURST).select(
+        F.unix_millis("window_start").alias("window_ms"),
+        "events",
+        "coalescible",
+        F.col("open").cast("int").alias("open"),
+    )
+)
+
+_SAME_RUN = (
+    "SELECT w, run, min((ms, seq)) AS first_id, count(*) AS n FROM numbered GROUP BY ALL"
+)
+on_events(
+    "event_runs",
+    f"SELECT epoch_ms(w) AS window_ms, first_id[1] AS first_ms, n AS events FROM ({_SAME_RUN})".replace(
+        "first_id[1]", "struct_extract(first_id, 1)"
+    ),
+    _RUNS,
+)(
+    lambda log: events.burst_runs(log, BURST)
+    .groupBy("window_start", "run")
+    .agg(F.min("ms").alias("first_ms"), F.count("*").alias("events"))
+    .select(F.unix_millis("window_start").alias("window_ms"), "first_ms", "events")
+)
+
+
+def _flat_events(merged: DataFrame) -> DataFrame:
+    ids = F.when(F.col("type") == "findings-changed", F.col("ids"))
+    return merged.select(
+        "ms",
+        "seq",
+        "ord",
+        "type",
+        F.coalesce(F.array_join("scopes", ","), F.lit("")).alias("scopes"),
+        F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n_ids"),
+        F.md5(F.coalesce(F.array_join(ids, ","), F.lit(""))).alias("ids_md5"),
+    )
+
+
+_COALESCED_SQL = """
+SELECT ms, seq, 1::BIGINT AS ord, type,
+  CASE WHEN type <> 'aggregates-invalidated' THEN '' WHEN value < 50 THEN 'facets' ELSE 'findings,overview' END AS scopes,
+  CASE WHEN type = 'findings-changed' THEN 2 ELSE 0 END AS n_ids,
+  md5(CASE WHEN type = 'findings-changed' THEN id1 || ',' || id2 ELSE '' END) AS ids_md5
+FROM ev JOIN gates USING (w) WHERE NOT open OR event_type = 'signup'
+UNION ALL SELECT struct_extract(CASE WHEN ids IS NULL THEN l ELSE f END, 1), struct_extract(CASE WHEN ids IS NULL THEN l ELSE f END, 2),
+  1, 'aggregates-invalidated', CASE WHEN ids IS NOT NULL OR (facets AND others) THEN 'overview,facets,findings'
+  WHEN facets THEN 'facets' ELSE 'overview,findings' END, 0, md5('') FROM full_runs
+UNION ALL SELECT struct_extract(l, 1), struct_extract(l, 2), 2, 'findings-changed', '', len(ids), md5(array_to_string(ids, ','))
+FROM full_runs WHERE ids IS NOT NULL
+"""
+
+on_events("event_coalesce", _COALESCED_SQL, _MERGED)(
+    lambda log: _flat_events(events.coalesce(log, BURST))
+)
+
+on_events(
+    "refetch_scopes",
+    "SELECT type, scope, count(*) AS \"rows\" FROM (SELECT type, unnest(CASE "
+    "WHEN type = 'aggregates-invalidated' THEN CASE WHEN value < 50 THEN ['facets'] ELSE ['findings', 'overview'] END "
+    "WHEN type IN ('resync-required', 'export-ready') THEN [] ELSE ['findings', 'facets', 'overview'] END) AS scope "
+    "FROM ev) GROUP BY ALL",
+)(
+    lambda log: log.select("type", F.explode(events.refetch_scopes()).alias("scope"))
+    .groupBy("type", "scope")
+    .agg(F.count("*").alias("rows"))
+)
+on_events(
+    "pending_updates",
+    "SELECT CAST(sum(CASE type WHEN 'findings-changed' THEN 2 WHEN 'export-ready' THEN 0 ELSE 1 END) AS BIGINT) AS pending "
+    "FROM ev WHERE (ms, seq) > (SELECT (ms, seq) FROM ev WHERE type = 'resync-required' ORDER BY ms DESC, seq DESC LIMIT 1)",
+)(events.pending_updates)
+on_events(
+    "recent_changes",
+    "SELECT ms, seq, id1 AS id, CASE event_type WHEN 'click' THEN 'upserted' ELSE 'deleted' END AS change, "
+    f"{iso('ts')} AS at FROM (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY ms DESC, seq DESC) AS age "
+    "FROM ev WHERE event_type IN ('click', 'error')) WHERE age = 1 ORDER BY ms DESC, seq DESC LIMIT 100",
+)(lambda log: events.recent_changes(log).withColumn("at", fv.iso_ms(F.col("at"))))
+
+
+# --- live views and streams ---------------------------------------------------
+
+
+@query(
+    "patch_page",
+    over_changes(
+        "SELECT id, severity, cvss, status FROM (SELECT f.\"findingId\" AS id, f.severity, "
+        "coalesce(u.cvss, f.cvss) AS cvss, coalesce(u.status, f.status) AS status "
+        "FROM (SELECT * FROM findings ORDER BY cvss DESC, \"findingId\" LIMIT 200) f "
+        'LEFT JOIN upserts u USING ("findingId") WHERE f."findingId" NOT IN (SELECT "findingId" FROM deletes))'
+    ),
+)
+def _patch_page(spark: SparkSession, d: str) -> DataFrame:
+    current, upserts, ids = _change_set(spark, d)
+    _, emitted = streaming.apply_changes(
+        current, upserts, ids, DATASET_VERSION, NOW, 1, max_changes=None
+    )
+    shown = paging.page(current, QuerySpec(first=200)).select(*fields.EXPLORE)
+    return live.patch_page(shown, emitted).select("id", "severity", "cvss", "status")
+
+
+def _change_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The change set as a file stream of change rows."""
+    current, upserts, ids = _change_set(spark, d)
+    rows_ = upserts.select(F.lit("upsert").alias("op"), "*").unionByName(
+        ids.select(F.lit("delete").alias("op"), "findingId", "requestOrder"),
+        allowMissingColumns=True,
+    )
+    path = scratch_path(spark, "changes")
+    rows_.select(*streaming.CHANGE_COLUMNS).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def _streamed_table(spark: SparkSession, d: str, views: dict | None = None):
+    root = scratch_path(spark, "table")
+    findings = streaming.FindingsTable(spark, root, DATASET_VERSION, max_changes=None)
+    findings.create(current_findings(spark, d))
+    streaming.stream_to_table(
+        _change_feed(spark, d), findings, scratch_path(spark, "stream"), lambda: NOW, views
+    ).awaitTermination()
+    return findings
+
+
+query("stream_apply", ORACLES["merge_current"])(
+    lambda spark, d: _streamed_table(spark, d)
+    .current()
+    .groupBy("severity", "status")
+    .agg(F.count("*").alias("rows"), F.round(F.sum("cvss"), 4).alias("cvss_sum"))
+)
+
+
+@query(
+    "stream_refresh",
+    over_changes(
+        "SELECT severity AS value, count(*) AS \"count\" FROM findings "
+        'WHERE "findingId" NOT IN (SELECT "findingId" FROM deletes) GROUP BY ALL'
+    ),
+)
+def _stream_refresh(spark: SparkSession, d: str) -> DataFrame:
+    views = {"facets": lambda current: facets.facet(current, QuerySpec(), "severity")}
+    findings = _streamed_table(spark, d, views)
+    return spark.read.parquet(f"{findings.root}/view/facets/1")
+
+
+@query("stream_coalesce", over_events(_COALESCED_SQL, _MERGED))
+def _stream_coalesce(spark: SparkSession, d: str) -> DataFrame:
+    source = (
+        spark.readStream.schema(table(spark, d, "events").schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(d)
+    )
+    out = scratch_path(spark, "coalesced")
+    streaming.stream_coalesce(
+        events.encode(star_events.dataset_events(source)),
+        out,
+        scratch_path(spark, "stream"),
+        DATASET_VERSION,
+        width=BURST,
+    ).awaitTermination()
+    return _flat_events(spark.read.parquet(f"{out}/events/0"))
