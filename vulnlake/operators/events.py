@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,14 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vulnlake import fields
-from vulnlake.functions.values import (
-    as_number,
-    as_string,
-    as_string_array,
-    iso_ms,
-    nullable_string,
-    variant_kind,
-)
+from vulnlake.functions.values import as_number, iso_ms, nullable_string, variant_kind
 from vulnlake.operators.ordered import with_running
 from vulnlake.operators.rows import public_column
 from vulnlake.spec import utc
@@ -142,69 +137,87 @@ def _id_ok(text: Column) -> Column:
     return text.isNotNull() & F.length(text).between(1, MAX_ID_LENGTH)
 
 
-def _checked(entries: DataFrame, dataset_version: str | None) -> DataFrame:
-    """Entries (log_id, event) with parsed columns and the first broken rule."""
-    doc = F.col("_doc")
+_RAW_EVENT = (
+    "struct<v:variant,type:variant,datasetVersion:variant,at:variant,id:variant,"
+    "ids:array<variant>,scopes:array<variant>,jobId:variant,url:variant,finding:struct<"
+    + ",".join(f"`{f}`:variant" for f in fields.EXPLORE)
+    + ">>"
+)
 
-    def raw(path: str) -> Column:
-        return F.try_variant_get(doc, path, "variant")
 
-    def text(path: str) -> Column:
-        value = raw(path)
-        return F.when(variant_kind(value) == "STRING", as_string(value))
+def _text(value: Column) -> Column:
+    """Text of a string variant; NULL for any other type."""
+    return F.when(variant_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
-    def all_text(path: str) -> Column:
-        elements = F.try_variant_get(doc, path, "array<variant>")
-        return F.forall(elements, lambda e: F.coalesce(variant_kind(e) == "STRING", F.lit(False)))
 
+def _text_list(values: Column) -> Column:
+    """Texts of an array of string variants; NULL when an element is not text."""
+    all_text = F.forall(values, lambda e: F.coalesce(variant_kind(e) == "STRING", F.lit(False)))
+    return F.when(all_text, F.transform(values, lambda e: F.try_variant_get(e, "$", "string")))
+
+
+def _checked(entries: DataFrame, dataset_version: str | None) -> DataFrame:
+    """Entries (log_id, event) with parsed columns and the first broken rule."""
     ms, seq = log_id_parts(F.col("log_id"))
+    # The generator keeps later filters from repeating the parse.
     parsed = entries.select(
-        "log_id", "event", ms.alias("ms"), seq.alias("seq"), F.try_parse_json("event").alias("_doc")
+        "log_id",
+        "event",
+        ms.alias("ms"),
+        seq.alias("seq"),
+        F.explode(
+            F.array(F.try_variant_get(F.try_parse_json("event"), "$", _RAW_EVENT))
+        ).alias("_raw"),
     ).select(
-        "*",
-        text("$.type").alias("type"),
-        text("$.datasetVersion").alias("datasetVersion"),
-        text("$.at").alias("_at"),
-        text("$.id").alias("id"),
-        F.when(all_text("$.ids"), as_string_array(raw("$.ids"))).alias("ids"),
-        F.when(all_text("$.scopes"), as_string_array(raw("$.scopes"))).alias("scopes"),
-        text("$.jobId").alias("jobId"),
-        text("$.url").alias("url"),
+        "log_id",
+        "event",
+        "ms",
+        "seq",
+        "_raw",
+        _text(F.col("_raw.type")).alias("type"),
+        _text(F.col("_raw.datasetVersion")).alias("datasetVersion"),
+        _text(F.col("_raw.at")).alias("_at"),
+        _text(F.col("_raw.id")).alias("id"),
+        _text_list(F.col("_raw.ids")).alias("ids"),
+        _text_list(F.col("_raw.scopes")).alias("scopes"),
+        _text(F.col("_raw.jobId")).alias("jobId"),
+        _text(F.col("_raw.url")).alias("url"),
     )
+
+    def raw(name: str) -> Column:
+        return F.col(f"_raw.{name}")
+
     finding = F.struct(
         *[
             (
-                as_number(raw(f"$.finding.{f}"))
+                as_number(raw(f"finding.{f}"))
                 if f in fields.NUMBERS
-                else nullable_string(raw(f"$.finding.{f}"))
+                else nullable_string(raw(f"finding.{f}"))
             ).alias(f)
             for f in fields.EXPLORE
         ]
     )
 
     def finding_field_ok(name: str) -> Column:
-        kind = F.coalesce(variant_kind(raw(f"$.finding.{name}")), F.lit("MISSING"))
-        value = text(f"$.finding.{name}")
+        value = raw(f"finding.{name}")
+        kind = F.coalesce(variant_kind(value), F.lit("MISSING"))
         if name == "id":
-            return F.coalesce(value.rlike(fields.FINDING_ID_PATTERN), F.lit(False))
+            return F.coalesce(_text(value).rlike(fields.FINDING_ID_PATTERN), F.lit(False))
         if name in fields.NUMBERS:
             return kind.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
         if name in fields.NULLABLE_STRINGS:
             return kind.isin("STRING", "VOID")
         if name in fields.SECOND_DATES:
-            return (kind == "VOID") | F.coalesce(_iso_ok(value), F.lit(False))
+            return (kind == "VOID") | F.coalesce(_iso_ok(_text(value)), F.lit(False))
         return kind == "STRING"
 
-    finding_ok = F.lit(True)
-    for name in fields.EXPLORE:
-        finding_ok = finding_ok & finding_field_ok(name)
+    finding_ok = reduce(and_, [finding_field_ok(f) for f in fields.EXPLORE])
 
-    version = raw("$.v")
+    version = raw("v")
     version_ok = variant_kind(version).isin("BIGINT", "DOUBLE", "DECIMAL") & (
         as_number(version) == EVENT_VERSION
     )
     kind = F.col("type")
-    url_kind = variant_kind(raw("$.url"))
     payload_ok = (
         F.when(kind == "finding-upserted", finding_ok)
         .when(kind == "finding-deleted", _id_ok(F.col("id")))
@@ -221,8 +234,7 @@ def _checked(entries: DataFrame, dataset_version: str | None) -> DataFrame:
             kind == "export-ready",
             _id_ok(F.col("jobId"))
             & (
-                raw("$.url").isNull()
-                | ((url_kind == "STRING") & (F.length("url") <= MAX_URL_LENGTH))
+                raw("url").isNull() | (F.length("url") <= MAX_URL_LENGTH)
             ),
         )
         .otherwise(True)
@@ -234,7 +246,7 @@ def _checked(entries: DataFrame, dataset_version: str | None) -> DataFrame:
     rules = [
         broken(F.col("ms").isNotNull() & F.col("seq").isNotNull(), "malformed log id"),
         broken(F.col("event").isNotNull(), "no payload"),
-        broken(variant_kind(doc) == "OBJECT", "malformed JSON"),
+        broken(F.col("_raw").isNotNull(), "malformed JSON"),
         broken(version_ok, "unsupported version"),
         broken(kind.isin(*EVENT_TYPES), "unknown type"),
         broken(_id_ok(F.col("datasetVersion")), "bad dataset version"),

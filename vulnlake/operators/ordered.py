@@ -9,34 +9,36 @@ from pyspark.sql import functions as F
 from vulnlake.session import write_out
 
 
-def with_running(
-    df: DataFrame,
+def cut_ranges(df: DataFrame, order_by: list[str]) -> DataFrame:
+    """Rows cut into ranges of the order, with the range number in `_slice`.
+
+    Range bounds come from a sample, so the cut is written to shared storage:
+    a repeated task must see the ranges the totals were made from.
+    """
+    return write_out(
+        df.repartitionByRange(*order_by).withColumn("_slice", F.spark_partition_id()), "ordered"
+    )
+
+
+def running(
+    sliced: DataFrame,
     order_by: list[str],
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add running sums and running maxima, both including the current row.
+    """Add running sums and maxima over cut ranges, current row included.
 
-    The rows are cut into ranges of the order. Each range is totalled, the few
-    totals are accumulated, and every range then runs its own window on top of
-    what came before it. Range bounds come from a sample, so the cut is written
-    to shared storage before it is used twice.
+    Each range is totalled, the few totals are accumulated, and every range
+    runs its own window on top of what came before it.
     """
     sums, maxima = sums or {}, maxima or {}
-    inputs = {**sums, **maxima}
-    sliced = write_out(
-        df.select("*", *[c.alias(f"_in_{n}") for n, c in inputs.items()])
-        .repartitionByRange(*order_by)
-        .withColumn("_slice", F.spark_partition_id()),
-        "ordered",
-    )
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     # One row per range: as many as the range exchange has partitions.
     carried = (
         sliced.groupBy("_slice")
         .agg(
-            *[F.sum(f"_in_{n}").alias(f"_of_{n}") for n in sums],
-            *[F.max(f"_in_{n}").alias(f"_of_{n}") for n in maxima],
+            *[F.sum(c).alias(f"_of_{n}") for n, c in sums.items()],
+            *[F.max(c).alias(f"_of_{n}") for n, c in maxima.items()],
         )
         .select(
             "_slice",
@@ -47,10 +49,21 @@ def with_running(
     inside = (
         W.partitionBy("_slice").orderBy(*order_by).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    running = [
-        (F.coalesce(F.col(f"_before_{n}"), F.lit(0)) + F.sum(f"_in_{n}").over(inside)).alias(n)
-        for n in sums
+    totals = [
+        (F.coalesce(F.col(f"_before_{n}"), F.lit(0)) + F.sum(c).over(inside)).alias(n)
+        for n, c in sums.items()
     ] + [
-        F.greatest(F.col(f"_before_{n}"), F.max(f"_in_{n}").over(inside)).alias(n) for n in maxima
+        F.greatest(F.col(f"_before_{n}"), F.max(c).over(inside)).alias(n)
+        for n, c in maxima.items()
     ]
-    return sliced.join(F.broadcast(carried), "_slice").select(*df.columns, *running)
+    return sliced.join(F.broadcast(carried), "_slice").select(*sliced.columns, *totals)
+
+
+def with_running(
+    df: DataFrame,
+    order_by: list[str],
+    sums: dict[str, Column] | None = None,
+    maxima: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Running sums and maxima of `df` over a total order."""
+    return running(cut_ranges(df, order_by), order_by, sums, maxima).drop("_slice")

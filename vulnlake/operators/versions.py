@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vulnlake import fields
 from vulnlake.functions.values import epoch_ms, finding_id, parse_date
-from vulnlake.operators.ordered import with_running
+from vulnlake.operators.ordered import cut_ranges, running, with_running
 from vulnlake.spec import utc
 
 IDENTITY = list(fields.IDENTITY)
@@ -161,8 +161,12 @@ def lookup_by_ids(current: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def unknown_deletes(current: DataFrame, ids: DataFrame) -> DataFrame:
-    """Ids to delete that are not current."""
-    return ids.select("findingId").join(current.select("findingId"), "findingId", "left_anti")
+    """Ids to delete that are not current.
+
+    The ids filter `current` first, so a small request never moves the table.
+    """
+    known = lookup_by_ids(current.select("findingId"), ids)
+    return ids.select("findingId").join(known, "findingId", "left_anti")
 
 
 def read_back_applied(current_after: DataFrame, changes: DataFrame) -> DataFrame:
@@ -181,16 +185,15 @@ def _stamped(rows: DataFrame, now: datetime, last_issued_ms: int) -> DataFrame:
     of row n is n + the running maximum of (lower bound - n).
     """
     now_ms = int(utc(now).timestamp() * 1000)
-    numbered = with_running(rows, ["requestOrder"], sums={"_n": F.lit(1).cast("long")})
+    order = ["requestOrder"]
+    numbered = running(cut_ranges(rows, order), order, sums={"_n": F.lit(1).cast("long")})
     floor = F.greatest(
         F.lit(max(now_ms, last_issued_ms + 1)).cast("long"),
         F.coalesce(epoch_ms(F.col("previousUpdatedAt")) + 1, F.lit(0).cast("long")),
     )
-    lifted = with_running(
-        numbered, ["requestOrder"], maxima={"_lift": floor - F.col("_n")}
-    )
+    lifted = running(numbered, order, maxima={"_lift": floor - F.col("_n")})
     return lifted.withColumn("updatedAt", F.timestamp_millis(F.col("_lift") + F.col("_n"))).drop(
-        "_lift"
+        "_lift", "_slice"
     )
 
 
@@ -252,22 +255,14 @@ def invalid_ids(ids: DataFrame) -> DataFrame:
     )
 
 
-def check_changes(upserts: DataFrame, ids: DataFrame, max_changes: int | None) -> int:
-    """Validate the size and the ids of a change set; returns its size."""
+def check_changes(upserts: DataFrame, ids: DataFrame, max_changes: int | None) -> None:
+    """Refuse an empty or oversized change set, and malformed or repeated ids."""
     changes = upserts.select(F.lit(1)).union(ids.select(F.lit(1)))
-    if max_changes is not None:
-        # A larger set is refused, so it need not be counted to its end.
-        changes = changes.limit(max_changes + 1)
-    size = changes.count()
+    # A larger set is refused, so it need not be counted to its end.
+    size = changes.limit(1 if max_changes is None else max_changes + 1).count()
     if size == 0:
         raise ContractViolation("at least one change is required")
     if max_changes is not None and size > max_changes:
         raise ContractViolation(f"at most {max_changes} changes are accepted")
     if invalid_ids(ids).limit(1).count():
         raise ContractViolation("delete ids must be unique and well formed")
-    return size
-
-
-def greatest_stamp(rows: DataFrame) -> Column:
-    """Last issued stamp of new log rows, as a scalar of epoch milliseconds."""
-    return rows.agg(F.max(epoch_ms(F.col("updatedAt")))).scalar()

@@ -478,11 +478,16 @@ def _read_source(spark: SparkSession, d: str) -> DataFrame:
 @on_current(
     "context_names",
     'SELECT "findingId" AS doc, "group", repo, image, "buildType" AS "imageBuildType", '
-    "0 AS position FROM findings",
+    "0::BIGINT AS position FROM findings",
 )
 def _context_names(current: DataFrame) -> DataFrame:
     return _flattened(current).select(
-        "doc", "group", "repo", "image", "imageBuildType", "position"
+        "doc",
+        "group",
+        "repo",
+        "image",
+        "imageBuildType",
+        F.col("place.recordPlace").cast("long").alias("position"),
     )
 
 
@@ -862,8 +867,7 @@ on_current(
     "page_after_cursor",
     _page_sql(
         "cvss DESC",
-        after='(cvss, "findingId") IN (SELECT (cvss, "findingId") FROM findings) AND (cvss < 10 OR "findingId" > '
-        "'80000000000000000000000000000000')",
+        after="cvss < 10 OR \"findingId\" > '80000000000000000000000000000000'",
     ),
 )
 def _page_after_cursor(current: DataFrame) -> DataFrame:

@@ -71,25 +71,32 @@ def _name_or_key(name: Column, key: Column) -> Column:
 
 
 def _containers(corpus: DataFrame, outer: bool) -> DataFrame:
-    """One row per image; with `outer`, empty groups and repos keep one row."""
-    explode = F.explode_outer if outer else F.explode
-    others = [c for c in corpus.columns if c != "groups"]
-    groups = corpus.select(*others, explode("groups").alias("groupKey", "g"))
-    repos = groups.select(
-        *others, "groupKey", F.col("g.name").alias("groupName"),
-        explode("g.repos").alias("repoKey", "r"),
+    """One row per image; with `outer`, empty groups and repos keep one row.
+
+    groupPlace, repoPlace and imagePlace number the entries in source order.
+    """
+    explode = F.posexplode_outer if outer else F.posexplode
+    kept = [c for c in corpus.columns if c != "groups"]
+    rows = corpus.select(*kept, explode("groups").alias("groupPlace", "groupKey", "g"))
+    kept += ["groupPlace", "groupKey"]
+    rows = rows.select(
+        *kept,
+        F.col("g.name").alias("groupName"),
+        explode("g.repos").alias("repoPlace", "repoKey", "r"),
     )
-    return repos.select(
-        *others, "groupKey", "groupName", "repoKey", F.col("r.name").alias("repoName"),
-        explode("r.images").alias("imageKey", "i"),
+    kept += ["groupName", "repoPlace", "repoKey"]
+    return rows.select(
+        *kept,
+        F.col("r.name").alias("repoName"),
+        explode("r.images").alias("imagePlace", "imageKey", "i"),
     )
 
 
 def flatten_source(corpus: DataFrame) -> DataFrame:
     """One row per vulnerability object.
 
-    Columns: group, repo, image, imageBuildType, position (in its array),
-    record, and the columns `corpus` has beside `groups`.
+    Columns: group, repo, image, imageBuildType, place (source order within
+    the document), record, and the columns `corpus` has beside `groups`.
     """
     others = [c for c in corpus.columns if c != "groups"]
     images = _containers(corpus, outer=False).select(
@@ -100,27 +107,34 @@ def flatten_source(corpus: DataFrame) -> DataFrame:
         F.when(F.col("i.buildType").isNotNull(), as_string(F.col("i.buildType")))
         .otherwise("")
         .alias("imageBuildType"),
-        F.col("i.vulnerabilities").alias("vulnerabilities"),
+        "groupPlace",
+        "repoPlace",
+        "imagePlace",
+        F.posexplode("i.vulnerabilities").alias("recordPlace", "record"),
     )
-    return images.select(
+    return images.where(variant_kind(F.col("record")) == "OBJECT").select(
         *others,
         "group",
         "repo",
         "image",
         "imageBuildType",
-        F.posexplode("vulnerabilities").alias("position", "record"),
-    ).where(variant_kind(F.col("record")) == "OBJECT")
+        F.struct("groupPlace", "repoPlace", "imagePlace", "recordPlace").alias("place"),
+        "record",
+    )
 
 
-def _member(field: str) -> Column:
-    return F.try_variant_get(F.col("record"), f"$.{field}", "variant")
+_RAW_RECORD = (
+    "struct<"
+    + ",".join(f"`{f}`:variant" for f in fields.SOURCE_FIELDS if f not in fields.CONTEXT_STRINGS)
+    + ">"
+)
 
 
 def normalized(field: str) -> Column:
-    """Source column of one finding field, from `record` and its context."""
+    """Source column of one finding field, from `_raw` members and the context."""
     if field in fields.CONTEXT_STRINGS:
         return F.col(field)
-    value = _member(field)
+    value = F.col(f"_raw.{field}")
     if field == "buildType":
         return inherit(value, F.col("imageBuildType"))
     if field in fields.NUMBERS:
@@ -138,7 +152,8 @@ def normalize(records: DataFrame) -> DataFrame:
     """The 26 finding columns of flattened records, other columns kept."""
     context = {"group", "repo", "image", "imageBuildType", "record"}
     others = [c for c in records.columns if c not in context]
-    return records.select(*[normalized(f).alias(f) for f in fields.SOURCE_FIELDS], *others)
+    members = records.withColumn("_raw", F.try_variant_get("record", "$", _RAW_RECORD))
+    return members.select(*[normalized(f).alias(f) for f in fields.SOURCE_FIELDS], *others)
 
 
 def census(corpus: DataFrame) -> DataFrame:

@@ -43,6 +43,8 @@ def apply_changes(current: DataFrame, upserts: DataFrame, ids: DataFrame, datase
     Deletes see the upserts of the same call. Pass `max_changes=None` for bulk
     loads.
     """
+    # Read several times; as files they also have a size for the join planner.
+    upserts, ids = write_out(upserts, "upserts-asked"), write_out(ids, "deletes-asked")
     check_changes(upserts, ids, max_changes)
     written = write_out(apply_upserts(current, upserts, now, batch), "upserts")
     last_stamp = written.agg(F.max(epoch_ms(F.col("updatedAt"))).alias("ms")).first().ms or 0
