@@ -29,41 +29,57 @@ FORMULA_START = r"^[=+\-@\t\r]"
 IDENTITY_SEPARATOR = chr(31)
 
 
-def variant_kind(value: Column) -> Column:
-    """First word of the variant's type: STRING, BIGINT, OBJECT, VOID and so on."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^([A-Z]+)", 1)
+def is_text(value: Column) -> Column:
+    """Whether a variant is a string; NULL when it is missing."""
+    return F.schema_of_variant(value) == "STRING"
+
+
+def is_number(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
+
+
+def is_array(value: Column) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
+
+
+def is_nested(value: Column) -> Column:
+    return F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
+
+
+def is_object(value: Column, member: str = "id") -> Column:
+    """Whether a variant is an object; looks one member up instead of typing all."""
+    return F.try_variant_get(value, "$", f"struct<`{member}`:variant>").isNotNull()
+
+
+def plain_text(value: Column) -> Column:
+    """Text of a variant; objects and arrays give their JSON."""
+    return F.try_variant_get(value, "$", "string")
 
 
 def as_string(value: Column) -> Column:
     """Scalar variant as text; missing, null, objects and arrays become ''."""
-    text = F.try_variant_get(value, "$", "string")
-    kind = variant_kind(value)
-    return F.when(kind.isin("OBJECT", "ARRAY", "VOID"), F.lit("")).otherwise(
-        F.coalesce(text, F.lit(""))
-    )
+    text = plain_text(value)
+    # Only text that looks like JSON needs the value's type.
+    suspect = F.startswith(text, F.lit("{")) | F.startswith(text, F.lit("["))
+    return F.when(suspect & is_nested(value), F.lit("")).otherwise(F.coalesce(text, F.lit("")))
 
 
 def as_number(value: Column) -> Column:
     """Finite number or numeric text as double; everything else is 0."""
-    kind = variant_kind(value)
-    text = F.try_variant_get(value, "$", "string")
-    number = (
-        F.when(
-            kind.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"),
-            F.try_variant_get(value, "$", "double"),
-        )
-        .when((kind == "STRING") & text.rlike(NUMBER_SHAPE), F.trim(text).try_cast("double"))
-        .otherwise(F.lit(0.0))
+    text = plain_text(value)
+    number = F.when(is_number(value), F.try_variant_get(value, "$", "double")).when(
+        is_text(value) & text.rlike(NUMBER_SHAPE), F.trim(text).try_cast("double")
     )
-    infinite = F.abs(number) == float("inf")
-    return F.when(number.isNull() | F.isnan(number) | infinite, F.lit(0.0)).otherwise(number)
+    finite = F.abs(number) < float("inf")
+    return F.when(finite & ~F.isnan(number), number).otherwise(F.lit(0.0))
 
 
 def as_string_array(value: Column) -> Column:
     """Array variant with every element as text; anything else is empty."""
     elements = F.try_variant_get(value, "$", "array<variant>")
     return F.coalesce(
-        F.when(variant_kind(value) == "ARRAY", F.transform(elements, lambda e: as_string(e))),
+        F.when(is_array(value), F.transform(elements, as_string)),
         F.array().cast("array<string>"),
     )
 
@@ -76,9 +92,9 @@ def nullable_string(value: Column) -> Column:
 def object_keys_or_array(value: Column) -> Column:
     """Keys of an object in binary order, or the elements of an array as text."""
     entries = F.try_variant_get(value, "$", "map<string,variant>")
-    return F.when(
-        variant_kind(value) == "OBJECT", F.array_sort(F.map_keys(entries))
-    ).otherwise(as_string_array(value))
+    return F.when(entries.isNotNull(), F.array_sort(F.map_keys(entries))).otherwise(
+        as_string_array(value)
+    )
 
 
 def inherit(own: Column, inherited: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vulnlake.functions.values import ordered_rank
 from vulnlake.operators.facets import FACET_SIZE, facet_value
 from vulnlake.operators.predicates import all_of, common_scope, filters_match, mode_matches
-from vulnlake.operators.top import pair
+from vulnlake.operators.top import keys_of_lists, list_name
 from vulnlake.spec import QuerySpec
 
 # Display order of severities and the label of a blank key.
@@ -56,27 +56,27 @@ def compare_modes(current: DataFrame, spec: QuerySpec, left: str, right: str) ->
     base = replace(spec, mode="all", search=None)
     scopes = {f: all_of(filters_match(base.filters, skip=f)) for f in COMPARED}
     inside = all_of(filters_match(base.filters))
-    pairs = F.array_compact(
-        F.array(
-            pair("total", F.lit("total"), inside),
-            *[pair(f, facet_value(f), scopes[f]) for f in COMPARED],
-        )
-    )
-    contributions = current.where(common_scope(base)).select(
-        F.explode(pairs).alias("p"),
-        mode_matches(left).alias("in_left"),
-        mode_matches(right).alias("in_right"),
+    lists = {
+        "total": F.when(inside, F.lit("total")),
+        **{f: F.when(scopes[f], facet_value(f)) for f in COMPARED},
+    }
+    contributions = keys_of_lists(
+        current.where(common_scope(base)),
+        lists,
+        keep={"in_left": mode_matches(left), "in_right": mode_matches(right)},
     )
     # An empty scope still reports its totals as zero.
     nothing = current.sparkSession.range(1).select(
-        pair("total", F.lit("total")).alias("p"),
+        F.lit(0).alias("list_no"),
+        F.lit("total").alias("key"),
         F.lit(False).alias("in_left"),
         F.lit(False).alias("in_right"),
     )
     counts = (
         contributions.unionByName(nothing)
-        .groupBy(F.col("p.list").alias("metric"), F.col("p.key").alias("key"))
+        .groupBy("list_no", "key")
         .agg(F.count_if("in_left").alias("n_left"), F.count_if("in_right").alias("n_right"))
+        .select(list_name(lists).alias("metric"), "key", "n_left", "n_right")
     )
 
     def place(count: str) -> Column:

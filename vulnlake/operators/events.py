@@ -17,7 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vulnlake import fields
-from vulnlake.functions.values import as_number, iso_ms, nullable_string, variant_kind
+from vulnlake.functions.values import (
+    as_number,
+    is_number,
+    is_text,
+    iso_ms,
+    nullable_string,
+    plain_text,
+)
 from vulnlake.operators.ordered import with_running
 from vulnlake.operators.rows import public_column
 from vulnlake.spec import utc
@@ -147,19 +154,19 @@ _RAW_EVENT = (
 
 def _text(value: Column) -> Column:
     """Text of a string variant; NULL for any other type."""
-    return F.when(variant_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(is_text(value), plain_text(value))
 
 
 def _text_list(values: Column) -> Column:
     """Texts of an array of string variants; NULL when an element is not text."""
-    all_text = F.forall(values, lambda e: F.coalesce(variant_kind(e) == "STRING", F.lit(False)))
-    return F.when(all_text, F.transform(values, lambda e: F.try_variant_get(e, "$", "string")))
+    all_text = F.forall(values, lambda e: F.coalesce(is_text(e), F.lit(False)))
+    return F.when(all_text, F.transform(values, plain_text))
 
 
 def _checked(entries: DataFrame, dataset_version: str | None) -> DataFrame:
     """Entries (log_id, event) with parsed columns and the first broken rule."""
     ms, seq = log_id_parts(F.col("log_id"))
-    # The generator keeps later filters from repeating the parse.
+    # A generator stops filters from moving down and repeating the work below it.
     parsed = entries.select(
         "log_id",
         "event",
@@ -200,23 +207,20 @@ def _checked(entries: DataFrame, dataset_version: str | None) -> DataFrame:
 
     def finding_field_ok(name: str) -> Column:
         value = raw(f"finding.{name}")
-        kind = F.coalesce(variant_kind(value), F.lit("MISSING"))
         if name == "id":
-            return F.coalesce(_text(value).rlike(fields.FINDING_ID_PATTERN), F.lit(False))
+            return _text(value).rlike(fields.FINDING_ID_PATTERN)
         if name in fields.NUMBERS:
-            return kind.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
+            return is_number(value)
         if name in fields.NULLABLE_STRINGS:
-            return kind.isin("STRING", "VOID")
+            return is_text(value) | F.is_variant_null(value)
         if name in fields.SECOND_DATES:
-            return (kind == "VOID") | F.coalesce(_iso_ok(_text(value)), F.lit(False))
-        return kind == "STRING"
+            return F.is_variant_null(value) | _iso_ok(_text(value))
+        return is_text(value)
 
     finding_ok = reduce(and_, [finding_field_ok(f) for f in fields.EXPLORE])
 
     version = raw("v")
-    version_ok = variant_kind(version).isin("BIGINT", "DOUBLE", "DECIMAL") & (
-        as_number(version) == EVENT_VERSION
-    )
+    version_ok = is_number(version) & (as_number(version) == EVENT_VERSION)
     kind = F.col("type")
     payload_ok = (
         F.when(kind == "finding-upserted", finding_ok)
@@ -255,10 +259,10 @@ def _checked(entries: DataFrame, dataset_version: str | None) -> DataFrame:
     ]
     if dataset_version is not None:
         rules.append(broken(F.col("datasetVersion") == dataset_version, "wrong dataset version"))
-    return parsed.select(
+    checked = parsed.select(
         "log_id",
         "event",
-        F.coalesce(*rules).alias("reason"),
+        F.coalesce(*rules).alias("_reason"),
         "ms",
         "seq",
         "type",
@@ -271,6 +275,7 @@ def _checked(entries: DataFrame, dataset_version: str | None) -> DataFrame:
         F.when(kind == "export-ready", F.col("jobId")).alias("jobId"),
         F.when(kind == "export-ready", F.col("url")).alias("url"),
     )
+    return checked.select("*", F.explode(F.array("_reason")).alias("reason"))
 
 
 def valid_events(entries: DataFrame, dataset_version: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vulnlake import fields
 from vulnlake.operators.predicates import common_scope, facet_scope, filter_matches
-from vulnlake.operators.top import counts_of_pairs, pair, ranked, top_counts
+from vulnlake.operators.top import counts_of_lists, ranked, top_counts
 from vulnlake.spec import QuerySpec
 
 FACET_SIZE = 200
@@ -37,8 +37,8 @@ def facets_by_branch(current: DataFrame, spec: QuerySpec) -> DataFrame:
     return reduce(DataFrame.unionByName, branches)
 
 
-def _eligible_pairs(spec: QuerySpec, names: tuple[str, ...]) -> tuple[Column, Column]:
-    """(rows to keep, pairs of a row) for the one-pass form.
+def facets(current: DataFrame, spec: QuerySpec) -> DataFrame:
+    """All facets as (facet, value, count) from one scan and one shuffle.
 
     A row counts for a facet when it passes every filter, or when the only
     filter it fails is the facet's own.
@@ -53,28 +53,20 @@ def _eligible_pairs(spec: QuerySpec, names: tuple[str, ...]) -> tuple[Column, Co
         passes = failures == 0
         return passes | ((failures == 1) & fails[field]) if field in fails else passes
 
-    scalars = F.array_compact(
-        F.array(
-            *[
-                pair(f, facet_value(f), counts_for(f))
-                for f in names
-                if f not in fields.STRING_ARRAYS
-            ]
-        )
+    scalars = {
+        f: F.when(counts_for(f), facet_value(f))
+        for f in fields.FILTERABLE
+        if f not in fields.STRING_ARRAYS
+    }
+    (risks,) = (f for f in fields.FILTERABLE if f in fields.STRING_ARRAYS)
+    elements = F.when(counts_for(risks), F.col(risks)).otherwise(F.array().cast("array<string>"))
+    counts = counts_of_lists(
+        current.where(common_scope(spec) & (failures <= 1)),
+        scalars,
+        (risks, elements),
+        "facet",
+        "value",
     )
-
-    def element_pairs(field: str) -> Column:
-        elements = F.when(counts_for(field), F.col(field)).otherwise(F.array().cast("array<string>"))
-        return F.transform(elements, lambda element: pair(field, element))
-
-    arrays = [element_pairs(f) for f in names if f in fields.STRING_ARRAYS]
-    return failures <= 1, F.concat(scalars, *arrays)
-
-
-def facets(current: DataFrame, spec: QuerySpec) -> DataFrame:
-    """All facets as (facet, value, count) from one scan and one shuffle."""
-    keep, pairs = _eligible_pairs(spec, fields.FILTERABLE)
-    counts = counts_of_pairs(current.where(common_scope(spec) & keep), pairs, "facet", "value")
     return ranked(counts, "facet", [F.desc("count"), F.asc("value")], FACET_SIZE).select(
         "facet", "value", "count"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vulnlake import fields
 from vulnlake.functions.values import ordered_rank
 from vulnlake.operators.predicates import mode_matches, overview_scope
-from vulnlake.operators.top import counts_of_pairs, pair, ranked, top_counts
+from vulnlake.operators.top import counts_of_lists, ranked, top_counts
 from vulnlake.spec import QuerySpec, utc
 
 # Metric names, labels, bucket orders and list sizes.
@@ -133,17 +133,16 @@ def published_trend(current: DataFrame, spec: QuerySpec) -> DataFrame:
 
 def distributions(current: DataFrame, spec: QuerySpec, as_of: datetime) -> DataFrame:
     """Every counted distribution as (metric, ord, key, count) in one scan."""
-    month = published_month()
-    scalars = F.array(
-        *[pair(metric, F.col(column)) for metric, column in DIMENSIONS.items()],
-        pair("ageBuckets", age_bucket(as_of)),
-        pair("timeToFixBuckets", time_to_fix_bucket()),
-        pair("publishedTrend", month, month.isNotNull()),
-    )
-    risks = F.transform("riskFactors", lambda factor: pair(RISK_DIMENSION, factor))
-    counts = counts_of_pairs(
+    scalars = {
+        **{metric: F.col(column) for metric, column in DIMENSIONS.items()},
+        "ageBuckets": age_bucket(as_of),
+        "timeToFixBuckets": time_to_fix_bucket(),
+        "publishedTrend": published_month(),
+    }
+    counts = counts_of_lists(
         current.where(overview_scope(spec)),
-        F.concat(F.array_compact(scalars), risks),
+        scalars,
+        (RISK_DIMENSION, F.col("riskFactors")),
         "metric",
         "key",
     )

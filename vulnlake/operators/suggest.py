@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vulnlake import fields
 from vulnlake.functions.values import ordered_rank
 from vulnlake.operators.predicates import prefix_matches
-from vulnlake.operators.top import pair, ranked
+from vulnlake.operators.top import keys_of_lists, list_name, ranked
 from vulnlake.spec import suggestion_arguments
 
 # Public names of the searchable fields.
@@ -31,13 +31,11 @@ def distinct_values(current: DataFrame, field: str, prefix: str) -> DataFrame:
 def suggest_candidates(current: DataFrame, prefix: str, limit: int | None = None) -> DataFrame:
     """(field, value, place): per column the shortest matches in bytes, then by value."""
     prefix, limit = suggestion_arguments(prefix, limit)
-    matches = F.array_compact(
-        F.array(*[pair(f, F.col(f), prefix_matches(f, prefix)) for f in fields.SEARCHABLE])
-    )
+    matches = {f: F.when(prefix_matches(f, prefix), F.col(f)) for f in fields.SEARCHABLE}
     distinct = (
-        current.select(F.explode(matches).alias("p"))
-        .select(F.col("p.list").alias("field"), F.col("p.key").alias("value"))
+        keys_of_lists(current, matches)
         .distinct()
+        .select(list_name(matches).alias("field"), F.col("key").alias("value"))
     )
     return ranked(distinct, "field", [F.octet_length("value"), F.col("value")], limit, "place")
 

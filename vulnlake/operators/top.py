@@ -17,22 +17,55 @@ def top_counts(scoped: DataFrame, value: Column, k: int) -> DataFrame:
     )
 
 
-def counts_of_pairs(scoped: DataFrame, pairs: Column, list_name: str, key_name: str) -> DataFrame:
-    """Count (list, key) pairs that each row contributes, in one pass."""
+def keys_of_lists(
+    scoped: DataFrame,
+    scalars: dict[str, Column],
+    array: tuple[str, Column] | None = None,
+    keep: dict[str, Column] | None = None,
+) -> DataFrame:
+    """(list_no, key, kept columns): one row per key that a row gives to a list.
+
+    A scalar gives one key, or none when it is NULL; the array gives each of
+    its elements. The place in the exploded array tells the lists apart, so
+    only the keys themselves are exploded.
+    """
+    keys = F.array(*scalars.values())
+    if array is not None:
+        keys = F.concat(keys, array[1])
+    kept = [c.alias(n) for n, c in (keep or {}).items()]
     return (
-        scoped.select(F.explode(pairs).alias("p"))
-        .groupBy(F.col("p.list").alias(list_name), F.col("p.key").alias(key_name))
-        .agg(F.count("*").alias("count"))
+        scoped.select(F.posexplode(keys).alias("pos", "key"), *kept)
+        .where(F.col("key").isNotNull())
+        .select(F.least("pos", F.lit(len(scalars))).alias("list_no"), "key", *(keep or {}))
     )
 
 
-def pair(list_value: str, key: Column, when: Column | None = None) -> Column:
-    made = F.struct(F.lit(list_value).alias("list"), key.alias("key"))
-    return made if when is None else F.when(when, made)
+def list_name(scalars: dict[str, Column], array: tuple[str, Column] | None = None) -> Column:
+    """Name behind `list_no`."""
+    names = [*scalars, *([array[0]] if array else [])]
+    return F.element_at(F.array(*[F.lit(n) for n in names]), F.col("list_no") + 1)
+
+
+def counts_of_lists(
+    scoped: DataFrame,
+    scalars: dict[str, Column],
+    array: tuple[str, Column],
+    list_column: str,
+    key_column: str,
+) -> DataFrame:
+    """Counts of every key of several lists from one scan and one shuffle."""
+    return (
+        keys_of_lists(scoped, scalars, array)
+        .groupBy("list_no", "key")
+        .agg(F.count("*").alias("count"))
+        .select(
+            list_name(scalars, array).alias(list_column), F.col("key").alias(key_column), "count"
+        )
+    )
 
 
-def ranked(counts: DataFrame, list_name: str, order: list[Column], k: int,
+def ranked(counts: DataFrame, list_column: str, order: list[Column], k: int,
            rank_name: str = "ord") -> DataFrame:
     """First k rows per list. Map tasks keep k per list before the shuffle."""
-    place = W.partitionBy(list_name).orderBy(*order)
+    place = W.partitionBy(list_column).orderBy(*order)
     return counts.withColumn(rank_name, F.row_number().over(place)).where(F.col(rank_name) <= k)

@@ -12,10 +12,12 @@ from vulnlake.functions.values import (
     as_string,
     as_string_array,
     inherit,
+    is_nested,
+    is_object,
+    is_text,
     nullable_string,
     object_keys_or_array,
     sanitize_text,
-    variant_kind,
 )
 from vulnlake.operators.ordered import with_running
 
@@ -66,8 +68,7 @@ def parse_documents(texts: DataFrame, column: str) -> DataFrame:
 
 def _name_or_key(name: Column, key: Column) -> Column:
     """A `name` inside the object replaces its key; a null name is blank."""
-    scalar = ~variant_kind(name).isin("OBJECT", "ARRAY")
-    return F.when(name.isNotNull() & scalar, as_string(name)).otherwise(key)
+    return F.when(name.isNotNull() & ~is_nested(name), as_string(name)).otherwise(key)
 
 
 def _containers(corpus: DataFrame, outer: bool) -> DataFrame:
@@ -112,7 +113,7 @@ def flatten_source(corpus: DataFrame) -> DataFrame:
         "imagePlace",
         F.posexplode("i.vulnerabilities").alias("recordPlace", "record"),
     )
-    return images.where(variant_kind(F.col("record")) == "OBJECT").select(
+    return images.where(is_object(F.col("record"))).select(
         *others,
         "group",
         "repo",
@@ -156,16 +157,19 @@ def normalize(records: DataFrame) -> DataFrame:
     return members.select(*[normalized(f).alias(f) for f in fields.SOURCE_FIELDS], *others)
 
 
+def _record_count() -> Column:
+    """Objects in an image's array; NULL without an array."""
+    return F.size(F.filter("i.vulnerabilities", is_object))
+
+
 def census(corpus: DataFrame) -> DataFrame:
     """One row of distinct containers, vulnerability arrays and records."""
     images = _containers(corpus, outer=True).select(
         "groupKey",
         "repoKey",
         "imageKey",
-        F.when(variant_kind(F.col("i.name")) == "STRING", as_string(F.col("i.name"))).alias("name"),
-        F.size(
-            F.filter("i.vulnerabilities", lambda v: variant_kind(v) == "OBJECT")
-        ).alias("records"),
+        F.when(is_text(F.col("i.name")), as_string(F.col("i.name"))).alias("name"),
+        _record_count().alias("records"),
     )
     # Fold documents that describe one image before counting distinct levels.
     per_image = images.groupBy("groupKey", "repoKey", "imageKey", "name").agg(
@@ -212,12 +216,11 @@ def census(corpus: DataFrame) -> DataFrame:
 
 def group_sizes(corpus: DataFrame) -> DataFrame:
     """(groupKey, records) with empty groups kept."""
-    records = F.size(F.filter("i.vulnerabilities", lambda v: variant_kind(v) == "OBJECT"))
     return (
         _containers(corpus, outer=True)
         .where(F.col("groupKey").isNotNull())
         .groupBy("groupKey")
-        .agg(F.sum(F.greatest(records, F.lit(0)).cast("long")).alias("records"))
+        .agg(F.sum(F.greatest(_record_count(), F.lit(0)).cast("long")).alias("records"))
     )
 
 

@@ -18,6 +18,7 @@ from vulnlake.operators.versions import (
     apply_deletes,
     apply_upserts,
     check_changes,
+    lookup_by_ids,
     merge_current,
 )
 from vulnlake.session import write_out
@@ -48,10 +49,10 @@ def apply_changes(current: DataFrame, upserts: DataFrame, ids: DataFrame, datase
     check_changes(upserts, ids, max_changes)
     written = write_out(apply_upserts(current, upserts, now, batch), "upserts")
     last_stamp = written.agg(F.max(epoch_ms(F.col("updatedAt"))).alias("ms")).first().ms or 0
-    after = merge_current(current, written)
-    # Tombstones come after every upsert of the call, whatever their stamps.
+    # Deletes see the upserts; only findings they name need to be merged.
+    named = merge_current(lookup_by_ids(current, ids), lookup_by_ids(written, ids))
     tombstones = write_out(
-        apply_deletes(after, ids, now, batch + 1, last_issued_ms=last_stamp), "tombstones"
+        apply_deletes(named, ids, now, batch + 1, last_issued_ms=last_stamp), "tombstones"
     )
     emitted = ev.change_events(written, tombstones, dataset_version, now)
     return written.unionByName(tombstones), emitted
