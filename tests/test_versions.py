@@ -4,9 +4,9 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from vulnlake import fields
+from vulnlake import fields, session
 from vulnlake.operators import versions as v
-from vulnlake.operators.ordered import with_running
+from vulnlake.operators.ordered import number_rows, with_running
 from vulnlake.streaming.changes import apply_changes
 
 NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
@@ -193,3 +193,20 @@ def test_running_totals_with_a_hot_key(spark):
         highest = x if highest is None else max(highest, x)
         expected.append((k, n, total, highest))
     assert keyed(out, "k", "n", "s", "m") == expected
+
+
+def test_row_numbers_follow_the_read_order(spark):
+    # One partition of each size, an empty one among them.
+    parts = spark.range(0, 40, 1, 8).where("id < 10 OR id >= 20")
+    out = number_rows(parts, "n").orderBy("id").collect()
+    assert [(r.id, r.n) for r in out] == [
+        (i, n + 1) for n, i in enumerate([*range(10), *range(20, 40)])
+    ]
+
+
+def test_scratch_tables_stay_below_the_shared_folder(spark):
+    path = session.scratch_path(spark, "x")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        assert path.startswith(configured.rstrip("/") + "/vulnlake-")
+    assert path != session.scratch_path(spark, "x")

@@ -351,8 +351,13 @@ def version_changed_event(frame: DataFrame, dataset_version: str, now: datetime)
 
 
 def retain_last(events: DataFrame, n: int = RETAINED_EVENTS) -> DataFrame:
-    """The newest n events of the log."""
-    return events.orderBy(F.desc("ms"), F.desc("seq")).limit(n)
+    """The newest n events of the log.
+
+    Only log ids are ranked; the events are filtered by the oldest id kept.
+    """
+    newest = events.select("ms", "seq").orderBy(F.desc("ms"), F.desc("seq")).limit(n)
+    key = F.struct("ms", "seq")
+    return events.where(key >= newest.agg(F.min(key)).scalar())
 
 
 def replay_after(events: DataFrame, last_id: str) -> DataFrame:

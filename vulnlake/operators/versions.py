@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vulnlake import fields
 from vulnlake.functions.values import epoch_ms, finding_id, parse_date
-from vulnlake.operators.ordered import cut_ranges, running, with_running
+from vulnlake.operators.ordered import cut_ranges, number_rows, running, with_running
 from vulnlake.session import write_out
 from vulnlake.spec import utc
 
@@ -45,12 +45,18 @@ def derive(rows: DataFrame) -> DataFrame:
     )
 
 
-def stamp_initial(rows: DataFrame, base: datetime, order_by: list[str],
+def stamp_initial(rows: DataFrame, base: datetime, order_by: list[str] | None = None,
                   batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """Number source rows into batches; each batch has one stamp, 1 ms apart."""
+    """Number source rows into batches; each batch has one stamp, 1 ms apart.
+
+    Rows are taken in the given total order, or else in the order they are read.
+    """
     if not 1 <= batch_rows <= MAX_BATCH_ROWS:
         raise ContractViolation(f"a batch holds 1..{MAX_BATCH_ROWS} rows")
-    numbered = with_running(rows, order_by, sums={"_n": F.lit(1).cast("long")})
+    if order_by is None:
+        numbered = number_rows(rows, "_n")
+    else:
+        numbered = with_running(rows, order_by, sums={"_n": F.lit(1).cast("long")})
     zero_based = F.col("_n") - 1
     batch = F.floor(zero_based / batch_rows).cast("long")
     stamp = F.timestamp_millis(F.unix_millis(F.lit(utc(base))) + batch)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_scratch_roots: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,9 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[application]
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    """The application's own folder, removed when its driver ends."""
+    application = spark.conf.get("spark.app.id", "local")
+    root = f"{shared_dir(spark)}/vulnlake-{application}"
+    if root not in _scratch_roots:
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _scratch_roots.add(root)
+    return root
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/vulnlake/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder."""
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def write_out(df: DataFrame, label: str) -> DataFrame:

@@ -237,15 +237,21 @@ def record_bytes(rows: DataFrame) -> Column:
 
 def sample_prefix(rows: DataFrame, order_by: list[str], budget: int = SAMPLE_BYTES,
                   size: Column | None = None) -> DataFrame:
-    """Rows of the source order up to a byte budget, whole rows only.
+    """Rows of a total order up to a byte budget, whole rows only.
 
-    The row that reaches the budget is the last one. Adds `bytes`.
+    The row that reaches the budget is the last one. Adds `bytes`. Only the
+    order columns and sizes are put in order; the rows themselves are filtered
+    by the last key that still fits.
     """
     sized = rows.withColumn(
         "bytes", (record_bytes(rows) if size is None else size).cast("long")
     )
-    running = with_running(sized, order_by, sums={"_through": F.col("bytes")})
-    return running.where(F.col("_through") - F.col("bytes") < budget).drop("_through")
+    running = with_running(
+        sized.select(*order_by, "bytes"), order_by, sums={"_through": F.col("bytes")}
+    )
+    key = F.struct(*order_by)
+    last = running.where(F.col("_through") - F.col("bytes") < budget).agg(F.max(key))
+    return sized.where(key <= last.scalar())
 
 
 def sample_manifest(sample: DataFrame) -> DataFrame:
