@@ -105,3 +105,30 @@ def test_collect_bounded_fails_instead_of_cutting(current):
     assert len(paging.collect_bounded(current, 90)) == 90
     with pytest.raises(paging.ResultTooLarge):
         paging.collect_bounded(current, 89)
+
+
+def test_entry_points_agree_with_the_operators(spark, current, tmp_path):
+    from datetime import datetime, timezone
+
+    from vulnlake.operators.events import EVENT_SCHEMA
+    from vulnlake.operators.export import ExportStore
+    from vulnlake.plans.api import Findings
+
+    now = datetime(2024, 6, 1, tzinfo=timezone.utc)
+    findings = Findings(current, spark.createDataFrame([], EVENT_SCHEMA), "v1")
+    spec = QuerySpec(filters={"severity": ("high",)}, first=10)
+    total = findings.total_count(spec).first().total
+    assert findings.page(spec).count() == min(10, total)
+    high = findings.facets(QuerySpec()).where("facet = 'severity' AND value = 'high'").first()
+    assert high["count"] == total
+    bundle = findings.overview(spec, now).where("key = 'total'").first()
+    assert bundle["count"] == total
+    both = findings.compare(spec, "all", "all").where("metric = 'total'").first()
+    assert (both.left, both.delta) == (total, 0)
+    id = current.first().findingId
+    assert findings.finding(id).first().id == id
+    assert findings.suggest("cve").count() == 7
+    assert findings.dataset_info().first().totalCount == 90
+    assert findings.replay("1-0").count() == 0
+    job = findings.export(ExportStore(spark, str(tmp_path)), spec, now)
+    assert (job["status"], job["rowCount"]) == ("READY", total)

@@ -122,3 +122,22 @@ def test_streaming_equals_batch(spark, tmp_path):
     streamed = spark.read.parquet(str(tmp_path / "out") + "/events/0")
     batch = ev.coalesce(ev.valid_events(entries, "v1"), "1 day", 10)
     assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
+
+
+def test_windows_are_final_after_the_watermark(spark, tmp_path):
+    log, out, checkpoint = (str(tmp_path / n) for n in ("log", "out", "checkpoint"))
+    base = {"v": 1, "datasetVersion": "v1", "type": "finding-deleted", "id": "a" * 32}
+
+    def write(*seconds):
+        rows = [(f"{s}-0", json.dumps({**base, "at": f"2024-01-01T00:00:{s:02d}Z"}))
+                for s in seconds]
+        write_events(spark.createDataFrame(rows, "log_id string, event string").coalesce(1), log)
+        load = st.stream_window_load(stream_events(spark, log), "v1", "10 seconds", 2, "5 seconds")
+        st.append_batches(load, out, checkpoint).awaitTermination()
+
+    write(1, 2, 3, 11)
+    write(26)
+    write(4, 27)  # 4 is late: its window was already final
+    rows = spark.read.parquet(*[str(p) for p in (tmp_path / "out").iterdir()])
+    assert sorted((r.window_start.second, r.events, r.open) for r in rows.collect()) == [
+        (0, 3, True), (10, 1, False)]

@@ -416,11 +416,17 @@ def with_window(events: DataFrame, width: str | None) -> DataFrame:
 def window_load(events: DataFrame, width: str | None = COALESCE_WINDOW,
                 threshold: int = COALESCE_THRESHOLD) -> DataFrame:
     """(window_start, events, coalescible, open): which windows are bursts."""
-    return (
-        with_window(events, width)
-        .groupBy("window_start")
-        .agg(F.count("*").alias("events"), F.count_if(is_coalescible()).alias("coalescible"))
-        .withColumn("open", F.col("coalescible") > threshold)
+    if width is None:
+        keyed = with_window(events, None).groupBy("window_start")
+        start = F.col("window_start")
+    else:
+        keyed = events.groupBy(F.window("at", width).alias("w"))
+        start = F.col("w.start").alias("window_start")
+    counted = keyed.agg(
+        F.count("*").alias("events"), F.count_if(is_coalescible()).alias("coalescible")
+    )
+    return counted.select(start, "events", "coalescible").withColumn(
+        "open", F.col("coalescible") > threshold
     )
 
 

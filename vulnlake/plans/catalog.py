@@ -368,6 +368,24 @@ def _write_log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "load_modes",
+    over_findings('SELECT count(*) AS "rows", 1::BIGINT AS refusals FROM findings'),
+)
+def _load_modes(spark: SparkSession, d: str) -> DataFrame:
+    """A first load, a refused second one, and a replacing one."""
+    current, path, refusals = current_findings(spark, d), scratch_path(spark, "log"), 0
+    tables.load_initial(current, path, DATASET_VERSION)
+    try:
+        tables.load_initial(current, path, DATASET_VERSION)
+    except tables.TableNotEmpty:
+        refusals += 1
+    tables.load_initial(current, path, DATASET_VERSION, replace=True)
+    return tables.read_log(spark, path, DATASET_VERSION).agg(
+        F.count("*").alias("rows"), F.lit(refusals).cast("long").alias("refusals")
+    )
+
+
 @query(
     "dataset_info",
     over_findings(
@@ -773,7 +791,23 @@ _COMBINED_SQL = (
     f"AND \"publishedAt\" BETWEEN {SQL_NOW} - INTERVAL 5 YEAR AND {SQL_NOW}"
 )
 _scoped("filter_combined", _COMBINED, _COMBINED_SQL)
-_scoped("filter_except", QuerySpec(filters={"status": ("open",)}), "status = 'open'")
+
+on_current(
+    "filter_except",
+    "SELECT \"findingId\", severity FROM findings WHERE status = 'open' "
+    "AND (\"kaiStatus\" IS NULL OR \"kaiStatus\" <> 'invalid - norisk')",
+)(
+    lambda current: current.where(
+        predicates.facet_scope(
+            QuerySpec(
+                filters={"severity": ("high",), "status": ("open",)},
+                mode="analysis",
+                search="facets ignore it",
+            ),
+            skip="severity",
+        )
+    ).select("findingId", "severity")
+)
 _scoped("mode_all", QuerySpec(mode="all"), "true")
 _scoped(
     "mode_analysis",
@@ -1562,19 +1596,35 @@ def _stream_refresh(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{findings.root}/view/facets/1")
 
 
-@query("stream_coalesce", over_events(_COALESCED_SQL, _MERGED))
-def _stream_coalesce(spark: SparkSession, d: str) -> DataFrame:
+def _entry_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events table as a stream of log entries."""
     source = (
         spark.readStream.schema(table(spark, d, "events").schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(d)
     )
+    return events.encode(star_events.dataset_events(source))
+
+
+@query("stream_coalesce", over_events(_COALESCED_SQL, _MERGED))
+def _stream_coalesce(spark: SparkSession, d: str) -> DataFrame:
     out = scratch_path(spark, "coalesced")
     streaming.stream_coalesce(
-        events.encode(star_events.dataset_events(source)),
-        out,
-        scratch_path(spark, "stream"),
-        DATASET_VERSION,
-        width=BURST,
+        _entry_stream(spark, d), out, scratch_path(spark, "stream"), DATASET_VERSION, width=BURST
     ).awaitTermination()
     return _flat_events(spark.read.parquet(f"{out}/events/0"))
+
+
+@query("stream_burst_gate", ORACLES["event_burst_gate"])
+def _stream_burst_gate(spark: SparkSession, d: str) -> DataFrame:
+    out = scratch_path(spark, "load")
+    load = streaming.stream_window_load(_entry_stream(spark, d), DATASET_VERSION, BURST)
+    streaming.append_batches(
+        load, out, scratch_path(spark, "stream"), "update"
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/0").select(
+        F.unix_millis("window_start").alias("window_ms"),
+        "events",
+        "coalescible",
+        F.col("open").cast("int").alias("open"),
+    )

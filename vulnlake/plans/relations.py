@@ -6,7 +6,7 @@ log AS (
     n_name AS "group",
     s_name AS repo,
     'registry.example/' || lower(p_type) || ':' || p_size AS image,
-    'CVE-' || (1999 + p_size // 2) || '-' || lpad(CAST(l_partkey AS VARCHAR), 5, '0') AS cve,
+    'CVE-' || (1999 + p_size // 2) || '-' || lpad(CAST(l_partkey AS VARCHAR), CAST(greatest(5, length(CAST(l_partkey AS VARCHAR))) AS INTEGER), '0') AS cve,
     replace(p_name, ' ', '-') AS "packageName",
     l_linenumber || '.0' AS "packageVersion",
     '' AS path,

@@ -41,6 +41,7 @@ def findings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nation, supplier.s_nationkey == nation.n_nationkey)
     )
     text = F.lit("")
+    part_key = F.col("l_partkey").cast("string")
     shipped = F.col("l_shipdate").cast("timestamp")
     fixed = F.when(F.col("l_linestatus") == "F", shipped)
     source = {
@@ -53,7 +54,7 @@ def findings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("CVE-"),
             (F.lit(1999) + F.floor(F.col("p_size") / 2)).cast("string"),
             F.lit("-"),
-            F.lpad(F.col("l_partkey").cast("string"), 5, "0"),
+            F.lpad(part_key, F.greatest(F.lit(5), F.length(part_key)), F.lit("0")),
         ),
         "packageName": F.replace(F.col("p_name"), F.lit(" "), F.lit("-")),
         "packageVersion": F.concat(F.col("l_linenumber").cast("string"), F.lit(".0")),

@@ -200,3 +200,31 @@ def stream_coalesce(entries: DataFrame, out: str, checkpoint: str,
         .foreachBatch(handle)
         .start()
     )
+
+
+def stream_window_load(entries: DataFrame, dataset_version: str | None = None,
+                       width: str = ev.COALESCE_WINDOW, threshold: int = ev.COALESCE_THRESHOLD,
+                       delay: str = "10 seconds") -> DataFrame:
+    """Streaming load per event-time window, to watch for bursts.
+
+    A window is final once events `delay` newer have arrived; append output
+    gives it then, update output gives its counts as they grow.
+    """
+    valid = ev.valid_events(entries, dataset_version).withWatermark("at", delay)
+    return ev.window_load(valid, width, threshold)
+
+
+def append_batches(rows: DataFrame, out: str, checkpoint: str, mode: str = "append",
+                   trigger: dict | None = None) -> StreamingQuery:
+    """Write what each micro-batch gives to `out/<n>`; a repeat overwrites."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{batch_id}")
+
+    return (
+        rows.writeStream.option("checkpointLocation", checkpoint)
+        .outputMode(mode)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(handle)
+        .start()
+    )
