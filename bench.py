@@ -14,7 +14,6 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from vulnlake.operators import compare, events, export, facets, overview, paging, predicates
 from vulnlake.operators import rows, suggest, versions
@@ -53,8 +52,8 @@ def main() -> None:
     spark = session(cpus)
     current = current_findings(spark, sf_dir)
     log = star_events.events_of(spark, sf_dir)
-    first = paging.page(current, QuerySpec()).orderBy(F.desc("position")).first()
-    id = first.id
+    first = paging.fetch_page(current, QuerySpec())
+    id = first.rows[0].id
     narrow = QuerySpec(filters={"severity": ("critical",)}, search="widget", mode="analysis")
     two_filters = QuerySpec(filters={"severity": ("critical", "high"), "status": ("open",)})
     tail = "eyJzIjogbnVsbCwgImlkIjogIjgwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwIn0"
@@ -63,13 +62,13 @@ def main() -> None:
         return lambda: drain(QUERIES[name](spark, sf_dir))
 
     queries = {
-        "first_page": lambda: paging.page(current, QuerySpec()).collect(),
-        "second_page": lambda: paging.page(current, QuerySpec(after=first.cursor)).collect(),
-        "filtered_page": lambda: paging.page(current, narrow).collect(),
-        "largest_page": lambda: paging.page(current, QuerySpec(first=200)).collect(),
-        "null_tail_page": lambda: paging.page(
+        "first_page": lambda: paging.fetch_page(current, QuerySpec()),
+        "second_page": lambda: paging.fetch_page(current, QuerySpec(after=first.end_cursor)),
+        "filtered_page": lambda: paging.fetch_page(current, narrow),
+        "largest_page": lambda: paging.fetch_page(current, QuerySpec(first=200)),
+        "null_tail_page": lambda: paging.fetch_page(
             current, QuerySpec(sort=Sort("fixedAt", "desc"), after=tail)
-        ).collect(),
+        ),
         "total_count": lambda: paging.total_count(current, narrow).collect(),
         "detail_by_id": lambda: rows.project_detail(predicates.by_id(current, id)).collect(),
         "overview": lambda: overview.overview(current, QuerySpec(), NOW).collect(),

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,19 @@ def test_walking_pages_yields_every_row_once_in_order(current, field, direction)
     assert seen == expected
 
 
+def test_fetched_pages_equal_lazy_pages(current):
+    spec = QuerySpec(sort=Sort("fixedAt", "asc"), first=30)
+    while True:
+        fetched = paging.fetch_page(current, spec)
+        lazy = paging.page(current, spec).orderBy("position").collect()
+        assert [(r.id, r.cursor) for r in fetched.rows] == [(r.id, r.cursor) for r in lazy]
+        assert all(r.hasNextPage == fetched.has_next_page for r in lazy)
+        if not fetched.has_next_page:
+            break
+        spec = replace(spec, after=fetched.end_cursor)
+    assert paging.fetch_page(current, QuerySpec(search="%none%")) == paging.Page([], None, False)
+
+
 def test_cursor_does_not_change_the_total(current):
     last = paging.page(current, QuerySpec(first=5)).orderBy(F.desc("position")).first()
     spec = QuerySpec(first=5, after=last.cursor)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Row
@@ -15,6 +16,15 @@ from vulnlake.operators.rows import public_column
 from vulnlake.spec import Cursor, QuerySpec, Sort
 
 
+@dataclass(frozen=True)
+class Page:
+    """A fetched page: explore rows with their cursors, and how to go on."""
+
+    rows: list[Row]
+    end_cursor: str | None
+    has_next_page: bool
+
+
 class ResultTooLarge(RuntimeError):
     """A result holds more rows than its declared bound."""
 
@@ -88,6 +98,18 @@ def page(current: DataFrame, spec: QuerySpec) -> DataFrame:
     )
 
 
+def fetch_page(current: DataFrame, spec: QuerySpec) -> Page:
+    """One page as rows on the driver, at most `spec.first` + 1 (201) of them.
+
+    The plan ends in the top-k itself, which is the quickest form for a user
+    who waits for the page.
+    """
+    columns = [*[public_column(f) for f in fields.EXPLORE], cursor_token(spec.sort).alias("cursor")]
+    found = page_rows(current, spec).select(*columns).collect()
+    rows = found[: spec.first]
+    return Page(rows, rows[-1].cursor if rows else None, len(found) > spec.first)
+
+
 def total_count(current: DataFrame, spec: QuerySpec) -> DataFrame:
     """Rows in scope; the cursor does not change it."""
     return current.where(page_scope(spec)).agg(F.count("*").alias("total"))

@@ -30,6 +30,9 @@ class Findings:
     def page(self, spec: QuerySpec) -> DataFrame:
         return _paging.page(self.current, spec)
 
+    def fetch_page(self, spec: QuerySpec) -> _paging.Page:
+        return _paging.fetch_page(self.current, spec)
+
     def total_count(self, spec: QuerySpec) -> DataFrame:
         return _paging.total_count(self.current, spec)
 

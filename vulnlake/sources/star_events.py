@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vulnlake import fields
 from vulnlake.functions.values import iso_ms
 from vulnlake.operators.events import blank_event, encode
-from vulnlake.sources.star_schema import DATASET_VERSION, table
+from vulnlake.sources.star_schema import DATASET_VERSION, spread, table
 
 
 def event_time() -> Column:
@@ -70,12 +70,12 @@ def dataset_events(events: DataFrame) -> DataFrame:
 
 
 def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset_events(table(spark, sf_dir, "events"))
+    return dataset_events(spread(table(spark, sf_dir, "events")))
 
 
 def mixed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log entries of which some break one rule each, by the size of `value`."""
-    source = table(spark, sf_dir, "events")
+    source = spread(table(spark, sf_dir, "events"))
     entries = encode(dataset_events(source)).select(
         "log_id", "event", F.substring_index("log_id", "-", -1).cast("long").alias("event_id")
     )

@@ -23,9 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that reads as fewer tasks than there are cores to all cores.
+
+    Large tables have many more splits than the cluster has cores and pass
+    unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def findings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item is one version of a finding."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus"
     )
