@@ -174,22 +174,26 @@ def test_compare_keeps_200_values_per_mode(log_rows):
 
 
 GOLDEN = [
+    # Every field has a match: one of each.
     (
-        [("cve", "CVE-2024-1"), ("cve", "CVE-2024-2"), ("cve", "CVE-2024-3"),
-         ("packageName", "nginx"), ("packageName", "openssl"), ("image", "library/nginx"),
-         ("repo", "acme/api")], 4,
-        [("CVE", "CVE-2024-1"), ("PACKAGE_NAME", "nginx"), ("IMAGE", "library/nginx"),
-         ("REPO", "acme/api")],
+        [("cve", "CVE-1"), ("cve", "CVE-22"), ("cve", "CVE-333"), ("packageName", "lz4"),
+         ("packageName", "libxml"), ("image", "base:1"), ("repo", "shop")], 4,
+        [("CVE", "CVE-1"), ("PACKAGE_NAME", "lz4"), ("IMAGE", "base:1"), ("REPO", "shop")],
     ),
+    # Two fields have none: the rest is filled in field order.
     (
-        [("cve", "CVE-2024-1"), ("cve", "CVE-2024-2"), ("cve", "CVE-2024-3"),
-         ("packageName", "nginx")], 4,
-        [("CVE", "CVE-2024-1"), ("PACKAGE_NAME", "nginx"), ("CVE", "CVE-2024-2"),
-         ("CVE", "CVE-2024-3")],
+        [("cve", "CVE-1"), ("cve", "CVE-22"), ("cve", "CVE-333"), ("packageName", "lz4")], 4,
+        [("CVE", "CVE-1"), ("PACKAGE_NAME", "lz4"), ("CVE", "CVE-22"), ("CVE", "CVE-333")],
     ),
+    # Repeats fold within a field, not across fields.
     (
-        [("repo", "acme/api"), ("repo", "acme/api"), ("image", "acme/api")], 10,
-        [("IMAGE", "acme/api"), ("REPO", "acme/api")],
+        [("repo", "shop"), ("repo", "shop"), ("image", "shop")], 10,
+        [("IMAGE", "shop"), ("REPO", "shop")],
+    ),
+    # A limit below the number of fields keeps the first fields.
+    (
+        [("repo", "shop"), ("image", "base:1"), ("cve", "CVE-1"), ("cve", "CVE-22")], 2,
+        [("CVE", "CVE-1"), ("IMAGE", "base:1")],
     ),
 ]
 

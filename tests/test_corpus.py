@@ -25,8 +25,8 @@ DOCUMENT = {
                             "vulnerabilities": [
                                 {"cve": "CVE-1", "group": "wrong", "repo": "wrong",
                                  "image": "wrong", "buildType": None,
-                                 "riskFactors": {"reachable": True, "exploitable": False},
-                                 "applicableRules": ["rule-1", 2], "kaiStatus": "",
+                                 "riskFactors": {"reachable": True, "Has fix": False},
+                                 "applicableRules": ["no-root", 3], "kaiStatus": "",
                                  "cvss": "7.5", "published": "2024-01-02T03:04:05Z"},
                                 "junk", None, [1],
                                 {"cve": "CVE-2", "buildType": "", "kaiStatus": None},
@@ -63,8 +63,8 @@ def test_flatten_and_normalize(spark, folder):
         ("g3", "r", "7", "3", ""),
     ]
     first = rows[0]
-    assert first.riskFactors == ["exploitable", "reachable"]
-    assert first.applicableRules == ["rule-1", "2"]
+    assert first.riskFactors == ["Has fix", "reachable"]
+    assert first.applicableRules == ["no-root", "3"]
     assert (first.kaiStatus, first.cvss) == ("", 7.5)
     assert rows[1].kaiStatus is None
 

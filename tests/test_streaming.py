@@ -63,6 +63,8 @@ def test_batches_replays_and_snapshots(table, source_rows):
     assert revived.firstSeenAt == NOW.replace(tzinfo=None)
     with pytest.raises(ContractViolation):
         table.apply(change_rows(source_rows, [{"cve": str(n)} for n in range(501)]), 3, NOW)
+    with pytest.raises(ContractViolation, match="do not match"):
+        table.apply(second, 3, NOW, for_version="v0")
 
 
 def test_stream_to_table_rejects_and_refreshes(spark, table, source_rows, tmp_path):

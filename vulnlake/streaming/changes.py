@@ -104,8 +104,16 @@ class FindingsTable:
         newer = self.log_rows(snapshots[-1], before)
         return base if newer is None else merge_current(base, newer)
 
-    def apply(self, changes: DataFrame, number: int, now: datetime) -> DataFrame:
-        """Apply one batch (number 1 and up) and return its events."""
+    def apply(self, changes: DataFrame, number: int, now: datetime,
+              for_version: str | None = None) -> DataFrame:
+        """Apply one batch (number 1 and up) and return its events.
+
+        A batch made for another dataset version is refused.
+        """
+        if for_version not in (None, self.dataset_version):
+            raise ContractViolation(
+                f"changes for {for_version} do not match {self.dataset_version}"
+            )
         before = self.current(before=number)
         upserts = changes.where("op = 'upsert'").select(*fields.SOURCE_FIELDS, "requestOrder")
         ids = changes.where("op = 'delete'").select("findingId", "requestOrder")
