@@ -27,6 +27,7 @@ from vulnlake.functions.values import (
 )
 from vulnlake.operators.ordered import with_running
 from vulnlake.operators.rows import public_column
+from vulnlake.session import write_out
 from vulnlake.spec import utc
 
 # Event types, scopes, bounds and defaults of the event contract.
@@ -463,9 +464,18 @@ def coalesce(events: DataFrame, width: str | None = COALESCE_WINDOW,
     they were first seen. Everything else passes through.
     """
     calm = _in_windows(events, width, threshold, "NOT open")
-    numbered = burst_runs(events, width, threshold)
+    # Several results read the runs, so what they need is stored once.
+    kept = ("ms", "seq", "type", "datasetVersion", "at", "jobId", "url")
+    numbered = write_out(
+        burst_runs(events, width, threshold).select(
+            "window_start", "run", "place", *kept, "scopes", changed_ids().alias("changed_ids")
+        ),
+        "runs",
+    )
     through = numbered.where(~is_coalescible())
-    passed = calm.select(*EVENT_COLUMNS).unionByName(through.select(*EVENT_COLUMNS))
+    passed = calm.select(*EVENT_COLUMNS).unionByName(
+        through.select(*blank_event(**{c: F.col(c) for c in kept}))
+    )
 
     members = numbered.where(is_coalescible())
     run_key = ["window_start", "run"]
@@ -478,7 +488,7 @@ def coalesce(events: DataFrame, width: str | None = COALESCE_WINDOW,
         F.max(order).alias("last"),
         F.max_by("at", order).alias("at"),
         F.max_by("datasetVersion", order).alias("datasetVersion"),
-        F.bool_or(F.size(changed_ids()) > 0).alias("any_id"),
+        F.bool_or(F.size("changed_ids") > 0).alias("any_id"),
         *[F.bool_or(has).alias(f"scope_{s}") for s, has in has_scope.items()],
     )
     scopes = F.array_compact(
@@ -528,7 +538,7 @@ def _first_seen_ids(members: DataFrame, run_key: list[str], max_ids: int) -> Dat
     ID_SALTS * max_ids rows however long the run is.
     """
     seen = (
-        members.select(*run_key, "place", F.posexplode(changed_ids()).alias("pos", "changed"))
+        members.select(*run_key, "place", F.posexplode("changed_ids").alias("pos", "changed"))
         .groupBy(*run_key, "changed")
         .agg(F.min("place").alias("place"), F.min_by("pos", F.struct("place", "pos")).alias("pos"))
         .withColumn("salt", F.pmod(F.hash("changed"), F.lit(ID_SALTS)))
