@@ -1,9 +1,11 @@
 """Registered queries of the corpus operators and their SQL."""
 
+from vulnlake.llm.packing import op6_best_fit_packing
 from vulnlake.llm.simhash import op5_simhash_dedup
 
 QUERIES = {
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
