@@ -3,8 +3,10 @@
 from vulnlake.llm.packing import op6_best_fit_packing
 from vulnlake.llm.simhash import op5_simhash_dedup
 from vulnlake.llm.suffix import op2_suffix_array_dedup
+from vulnlake.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
