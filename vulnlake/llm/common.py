@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vulnlake.session import write_out
 
@@ -85,6 +86,12 @@ def map_batches(
     return df.mapInArrow(lambda batches: run(sliced(batches)), schema)
 
 
+def struct_schema(rows: DataFrame, column: str, more: str) -> T.StructType:
+    """The schema of a column that is passed on whole, with more columns after it."""
+    added = T._parse_datatype_string(more)
+    return T.StructType([T.StructField(column, rows.schema[column].dataType), *added.fields])
+
+
 def bounded_labels(
     labels: DataFrame, docs: DataFrame, id_col: str, columns: list[str], rows: int
 ) -> DataFrame:

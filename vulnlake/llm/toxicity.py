@@ -29,9 +29,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from vulnlake.llm.common import bounded_labels, map_batches, table, words_of
+from vulnlake.llm.common import bounded_labels, map_batches, struct_schema, table, words_of
 
 LABELLED = 12_000
 BITS, PREFIXES = 22, (3, 4, 5, 6, 7)
@@ -198,16 +197,10 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
             columns = [batch.column(0), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(likeliest)]
             yield pa.RecordBatch.from_arrays(columns, ["row", "severity", "p_toxic", "grade"])
 
-    schema = map_schema(rows, "row", "severity double, p_toxic double, grade int")
+    schema = struct_schema(rows, "row", "severity double, p_toxic double, grade int")
     return map_batches(rows, run, schema)
 
 
-def map_schema(rows: DataFrame, column: str, more: str):
-    """The schema of a struct column that is passed on, with more columns after it."""
-    added = T._parse_datatype_string(more)
-    return T.StructType([T.StructField(column, rows.schema[column].dataType), *added.fields])
-
-
 def drop_toxic(
     docs: DataFrame,
     labels: DataFrame,
