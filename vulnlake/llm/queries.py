@@ -1,6 +1,7 @@
 """Registered queries of the corpus operators and their SQL."""
 
 from vulnlake.llm.packing import op6_best_fit_packing
+from vulnlake.llm.personal import op9_personal_data
 from vulnlake.llm.quality import op7_quality_classifier
 from vulnlake.llm.simhash import op5_simhash_dedup
 from vulnlake.llm.suffix import op2_suffix_array_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_personal_data": op9_personal_data,
 }
 
 ORACLES: dict[str, str] = {}
