@@ -1,5 +1,7 @@
 """Registered queries of the corpus operators and their SQL."""
 
+from vulnlake.llm import hamming
+from vulnlake.llm.embeddings import op3_embedding_dedup
 from vulnlake.llm.packing import op6_best_fit_packing
 from vulnlake.llm.personal import op9_personal_data
 from vulnlake.llm.quality import op7_quality_classifier
@@ -10,10 +12,12 @@ from vulnlake.llm.toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_hamming_topk": hamming.op8_hamming_topk,
     "op9_personal_data": op9_personal_data,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_hamming_topk": hamming.ORACLE}
