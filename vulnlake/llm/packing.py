@@ -37,66 +37,92 @@ LENGTH, SEPARATOR = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a task remembers, and words it encodes in one call.
 REMEMBERED, AT_ONCE = 1 << 18, 4096
+#: Signs that may part words; the first that is one token does.
+PARTING = ("`", "^", "~", "|")
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 6, 3, 6, 4
 
 Bins = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
+def parted(word: str) -> tuple[str, str]:
+    """A word and the stops after it, which are tokens of their own behind a letter or digit."""
+    if not word.isascii():
+        return word, ""
+    word = word.lower()
+    head = word.rstrip(".,!?")
+    return (head, word[len(head) :]) if head and head[-1].isalnum() else (word, "")
+
+
 class WordIds:
     """Token ids of words, by way of a remembered table of the words seen.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are
-    those of its words in turn. New words are encoded in one call, parted by a special
-    token; words that spell a special token are encoded alone.
+    those of its words in turn. New words are encoded in one call, parted by a sign that
+    is one token; words that hold this sign or spell a special token are encoded alone.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self.sign = next(c for c in PARTING if len(self.alone(c)) == 1)
+        (self.sign_id,) = self.alone(self.sign)
         self.remembered = remembered
         self.forget()
 
+    def alone(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = [np.array([SEPARATOR], dtype=np.uint32)]  # place 0 is the separator
-        self.size = 1
-
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        plain = [w for w in words if "<|" not in w]
-        parts: list[np.ndarray] = []
-        for at in range(0, len(plain), AT_ONCE):
-            chunk = self.mark.join(plain[at : at + AT_ONCE])
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=np.uint32)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
-            parts += [ids[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-        found = iter(parts)
-        alone = lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.uint32)
-        return [next(found) if "<|" not in w else alone(w) for w in words]
+        self.place: dict[str, tuple[int, int]] = {}
+        self.part: dict[str, int] = {"": 0}
+        self.flat = np.full(1, SEPARATOR, dtype=np.uint32)
+        self.lengths = np.array([0, 1], dtype=np.int64)  # part 0 has no ids, part 1 is the separator
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without the sign, end to end, and how many each has."""
+        ids, lengths = [], []
+        for at in range(0, len(words), AT_ONCE):
+            joined = f" {self.sign} ".join(words[at : at + AT_ONCE])
+            some = np.array(self.alone(joined), dtype=np.uint32)
+            marks = np.flatnonzero(some == self.sign_id)
+            ids.append(np.delete(some, marks))
+            lengths.append(np.diff(np.concatenate([[-1], marks, [len(some)]])) - 1)
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def places(self, words: pa.Array) -> np.ndarray:
-        """A place in `ids` for each word."""
+        """Two remembered parts for each word: the stops at an ASCII word's end are one of their own."""
         words = words.to_pylist()
-        if self.size > self.remembered:
+        if len(self.place) > self.remembered:
             self.forget()
         new = [w for w in words if w not in self.place]
-        for word, ids in zip(new, self.encode(new)):
-            self.place[word] = self.size
-            self.ids.append(ids)
-            self.size += 1
-        return np.array([self.place[w] for w in words], dtype=np.int64)
+        halves = [parted(w) for w in new]
+        parts = [p for p in dict.fromkeys(x for h in halves for x in h) if p not in self.part]
+        plain = [p for p in parts if "<|" not in p and self.sign not in p]
+        if plain:
+            self._remember(plain, *self.encode(plain))
+        for part in parts if len(parts) > len(plain) else ():
+            if part not in self.part:
+                ids = self.alone(part)
+                self._remember([part], np.array(ids, dtype=np.uint32), np.array([len(ids)]))
+        part = self.part
+        self.place.update((w, (part[a], part[b])) for w, (a, b) in zip(new, halves))
+        return np.array([self.place[w] for w in words], dtype=np.int64).reshape(-1, 2)
+
+    def _remember(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.lengths)
+        self.part.update(zip(parts, range(first, first + len(parts))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.lengths = np.concatenate([self.lengths, lengths])
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by the separator, and where each text starts."""
         offsets, codes, distinct = words_of(texts)
-        places = self.places(distinct)[codes] if len(codes) else codes
-        places = np.insert(places, offsets[1:], 0)
-        lengths = np.array([len(x) for x in self.ids], dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
-        ids = np.concatenate(self.ids)[ragged(starts[places], lengths[places])]
-        ends = np.concatenate([[0], np.cumsum(lengths[places])])
-        return ids, ends[offsets + np.arange(len(offsets))]
+        places = self.places(distinct)[codes].ravel()
+        places = np.insert(places, 2 * offsets[1:], 1)
+        starts = np.cumsum(self.lengths) - self.lengths
+        counts = self.lengths[places]
+        ids = self.flat[ragged(starts[places], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return ids, ends[2 * offsets + np.arange(len(offsets))]
 
 
 def pieces(
@@ -353,7 +379,9 @@ def pack(
             names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    ranked = cut.join(per_part.select("length", "part", "before"), ["length", "part"]).select(
+    # The counts grow with the number of parts, so they are not broadcast.
+    before = per_part.select("length", "part", "before").hint("merge")
+    ranked = cut.join(before, ["length", "part"]).select(
         "id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank")
     )
     schema = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
