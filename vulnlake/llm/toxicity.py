@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.llm.common import bounded_labels, map_batches, struct_schema, table, words_of
 
-LABELLED = 12_000
+LABELLED = 10_000
 BITS, PREFIXES = 22, (3, 4, 5, 6, 7)
 #: Features kept for the fit, and the z-score of their log odds that they need.
 FEATURES, TELLING = 8192, 3.0
@@ -69,11 +69,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Ordinal:
     flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
     if top == 0:
         return Ordinal(flat[:0], np.zeros(0), np.full(1, np.inf))
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     ids = telling(flat, (grades > 0)[row], int((grades > 0).sum()), int((grades == 0).sum()))[0]
-    at = np.minimum(np.searchsorted(ids, flat), max(len(ids) - 1, 0))
-    used = ids[at] == flat if len(ids) else np.zeros(len(flat), dtype=bool)
-    row, at = row[used], at[used]
+    used = np.isin(flat, ids)
+    row, at = row[used], np.searchsorted(ids, flat[used])
     share = np.array([(grades <= k).mean() for k in range(top)])
     cuts = np.log(share / (1 - share))
     # Thresholds are the first one and logarithms of the gaps, so they stay in order.
@@ -110,14 +109,13 @@ def _gradient(params: np.ndarray, row: np.ndarray, at: np.ndarray, grades: np.nd
 
 def telling(flat: np.ndarray, marked: np.ndarray, n_marked: int, n_other: int) -> tuple[np.ndarray, np.ndarray]:
     """The features whose log odds between marked and other rows are far from 0, and those odds."""
-    ids, place = np.unique(flat, return_inverse=True)
-    inside = np.bincount(place, marked, len(ids))
-    outside = np.bincount(place, ~marked, len(ids))
+    inside = np.bincount(flat[marked], minlength=1 << BITS).astype(np.float32)
+    outside = np.bincount(flat[~marked], minlength=1 << BITS).astype(np.float32)
     odds = np.log((inside + 0.5) / (n_marked - inside + 0.5)) - np.log((outside + 0.5) / (n_other - outside + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (inside + 0.5) + 1 / (outside + 0.5))
-    best = np.argsort(-z, kind="stable")[:FEATURES]
-    best = np.sort(best[z[best] >= TELLING])
-    return ids[best], odds[best]
+    ids = np.flatnonzero((z >= TELLING) & (inside + outside > 0))
+    best = np.sort(ids[np.argsort(-z[ids], kind="stable")[:FEATURES]])
+    return best, odds[best]
 
 
 def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
@@ -126,7 +124,7 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     grades = toxic.astype(np.int64)
     if not toxic.any() or toxic.all():
         return np.zeros(len(rows), dtype=np.int64)
-    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     ids, odds = telling(flat, toxic[row], int(toxic.sum()), int((~toxic).sum()))
     hits = np.bincount(row, np.isin(flat, ids[odds > 0]), len(rows))
     density = hits / np.maximum([len(r) for r in rows], 1)
@@ -156,7 +154,7 @@ def sample_features(
 
     rows = map_batches(chosen.select("__label", "__text"), run, "label long, ids array<int>").toArrow()
     ids = rows.column("ids").combine_chunks()
-    flat, offsets = np.asarray(ids.flatten(), dtype=np.int64), np.asarray(ids.offsets)
+    flat, offsets = np.asarray(ids.flatten()), np.asarray(ids.offsets)
     return np.split(flat, offsets[1:-1] - offsets[0]) if len(ids) else [], np.asarray(rows.column("label"), dtype=np.int64)
 
 
