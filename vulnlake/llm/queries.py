@@ -5,6 +5,7 @@ from vulnlake.llm.embeddings import op3_embedding_dedup
 from vulnlake.llm.packing import op6_best_fit_packing
 from vulnlake.llm.personal import op9_personal_data
 from vulnlake.llm.quality import op7_quality_classifier
+from vulnlake.llm.segmentation import op10_sampled_segmentation
 from vulnlake.llm.simhash import op5_simhash_dedup
 from vulnlake.llm.suffix import op2_suffix_array_dedup
 from vulnlake.llm.toxicity import op1_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_hamming_topk": hamming.op8_hamming_topk,
     "op9_personal_data": op9_personal_data,
+    "op10_sampled_segmentation": op10_sampled_segmentation,
 }
 
 ORACLES = {"op8_hamming_topk": hamming.ORACLE}
