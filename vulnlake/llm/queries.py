@@ -2,6 +2,7 @@
 
 from vulnlake.llm import hamming
 from vulnlake.llm.embeddings import op3_embedding_dedup
+from vulnlake.llm.licenses import op4_license_scan
 from vulnlake.llm.packing import op6_best_fit_packing
 from vulnlake.llm.personal import op9_personal_data
 from vulnlake.llm.quality import op7_quality_classifier
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
