@@ -31,7 +31,7 @@ from vulnlake.llm.common import connected, least_labels, map_batches, table
 from vulnlake.session import write_out
 
 COSINE = 0.98
-SAMPLE, PIVOTS, PREFIX, SHARED = 4096, 256, 8, 1
+SAMPLE, PIVOTS, PREFIX, SHARED = 4096, 256, 12, 1
 #: Entries of one inverted list that are compared in one piece.
 TILE = 2048
 
