@@ -34,6 +34,8 @@ from vulnlake.llm.common import map_batches, table
 from vulnlake.session import write_out
 
 K, EVERY, BITS = 10, 50, 64
+#: Probes that a task makes at once.
+PROBES = 1 << 18
 
 
 def sign_codes(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -120,16 +122,28 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     )
 
 
+def flipped(r: int, n: int) -> np.ndarray:
+    """All values of n bits of which r are set."""
+    return np.array([sum(1 << b for b in chosen) for chosen in combinations(range(n), r)], dtype=np.int64)
+
+
 def _round(active: DataFrame, by_segment: DataFrame, segments: list[tuple[int, int]], r: int) -> DataFrame:
     """Codes first seen with r differing bits in a segment: (query, code, n, distance)."""
-    longest = max(length for _, length in segments)
-    flips = [sum(1 << b for b in chosen) for chosen in combinations(range(longest), r)]
-    lengths = F.explode(F.array(*(F.struct(F.lit(j).alias("seg"), F.lit(a).alias("first"), F.lit(b).alias("length")) for j, (a, b) in enumerate(segments))))
-    probes = active.select("query", "limit", lengths.alias("s")).select("query", "limit", "s.*")
-    mask = F.expr("shiftleft(1L, length) - 1L")
-    probes = probes.withColumn("own", F.expr("shiftrightunsigned(query, first)").bitwiseAND(mask))
-    probes = probes.withColumn("flip", F.explode(F.lit(flips))).where(F.expr("flip < shiftleft(1L, length)"))
-    probes = probes.withColumn("value", F.col("own").bitwiseXOR(F.col("flip"))).select("query", "limit", "seg", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = {n: flipped(r, n) for _, n in segments}
+        for batch in batches:
+            query, limit = (np.asarray(c) for c in batch.columns)
+            for j, (first, n) in enumerate(segments):
+                own = (query.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << n) - 1)
+                step = max(1, PROBES // max(len(flips[n]), 1))
+                for a in range(0, len(query), step):
+                    values = (own[a : a + step, None] ^ flips[n][None, :]).ravel()
+                    seg = np.full(len(values), j, dtype=np.int32)
+                    columns = [np.repeat(x[a : a + step], len(flips[n])) for x in (query, limit)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, seg, values)], ["query", "limit", "seg", "value"])
+
+    probes = map_batches(active.select("query", "limit"), run, "query long, limit int, seg int, value long")
     found = probes.join(by_segment, ["seg", "value"])
     xor = F.col("query").bitwiseXOR(F.col("code"))
     found = found.withColumn("distance", F.bit_count(xor)).where("distance <= limit")
