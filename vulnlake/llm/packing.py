@@ -35,8 +35,8 @@ from vulnlake.session import write_out
 
 LENGTH, SEPARATOR = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a task remembers, and words it encodes in one call.
-REMEMBERED, AT_ONCE = 1 << 18, 4096
+#: Distinct parts of words whose ids a task remembers, and parts it encodes in one call.
+REMEMBERED, AT_ONCE = 600_000, 4096
 #: Signs that may part words; the first that is one token does.
 PARTING = ("`", "^", "~", "|")
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 6, 3, 6, 4
@@ -72,7 +72,6 @@ class WordIds:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def forget(self) -> None:
-        self.place: dict[str, tuple[int, int]] = {}
         self.part: dict[str, int] = {"": 0}
         self.flat = np.full(1, SEPARATOR, dtype=np.uint32)
         self.lengths = np.array([0, 1], dtype=np.int64)  # part 0 has no ids, part 1 is the separator
@@ -90,22 +89,19 @@ class WordIds:
 
     def places(self, words: pa.Array) -> np.ndarray:
         """Two remembered parts for each word: the stops at an ASCII word's end are one of their own."""
-        words = words.to_pylist()
-        if len(self.place) > self.remembered:
+        if len(self.part) > self.remembered:
             self.forget()
-        new = [w for w in words if w not in self.place]
-        halves = [parted(w) for w in new]
-        parts = [p for p in dict.fromkeys(x for h in halves for x in h) if p not in self.part]
-        plain = [p for p in parts if "<|" not in p and self.sign not in p]
+        part = self.part
+        halves = [half for word in words.to_pylist() for half in parted(word)]
+        new = [x for x in dict.fromkeys(halves) if x not in part]
+        plain = [x for x in new if "<|" not in x and self.sign not in x]
         if plain:
             self._remember(plain, *self.encode(plain))
-        for part in parts if len(parts) > len(plain) else ():
-            if part not in self.part:
-                ids = self.alone(part)
-                self._remember([part], np.array(ids, dtype=np.uint32), np.array([len(ids)]))
-        part = self.part
-        self.place.update((w, (part[a], part[b])) for w, (a, b) in zip(new, halves))
-        return np.array([self.place[w] for w in words], dtype=np.int64).reshape(-1, 2)
+        for x in new if len(new) > len(plain) else ():
+            if x not in part:
+                ids = self.alone(x)
+                self._remember([x], np.array(ids, dtype=np.uint32), np.array([len(ids)]))
+        return np.fromiter(map(part.__getitem__, halves), dtype=np.int64, count=len(halves)).reshape(-1, 2)
 
     def _remember(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.lengths)
