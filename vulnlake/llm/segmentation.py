@@ -12,12 +12,12 @@ leaving at each unit the set of segmentations that agree before it and differ th
 a Gumbel value drawn below its parent's. The best set left yields the next sample, and so
 on: distinct segmentations, drawn without replacement in proportion to their weight. The
 value of the best set left after the last sample turns each probability into an inclusion
-score. A path is drawn from one uniform number by the cumulated weights of its unit's
+score, given as a logarithm since long texts have very many segmentations. A path is drawn from one uniform number by the cumulated weights of its unit's
 lattice, so sets that leave paths out skip those paths' intervals. All numbers are hashes
 of the row key, the sample and the unit: a row gives the same samples in any partition.
 
 Defined cases: null and empty texts have one segmentation without pieces; a text with
-fewer segmentations than asked for gives all of them, with inclusion 1; repeated rows give
+fewer segmentations than asked for gives all of them, with log inclusion 0; repeated rows give
 equal samples; a null key counts as 0; an empty table gives an empty result. Decoding an
 encoded text gives the text back, whatever its characters; a null list decodes to null,
 and ids outside the vocabulary are refused.
@@ -359,6 +359,12 @@ def _maxima(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return top, where
 
 
+def log_inclusion(above: np.ndarray) -> np.ndarray:
+    """log(1 - exp(-exp(x))) of log chances above the threshold; 0 where nothing is left out."""
+    chance = -np.expm1(-np.exp(np.clip(above, -30, 30)))
+    return np.where(above < -30, above, np.log(chance))
+
+
 def by_spaces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Rows whose texts have single spaces between words only, then the others."""
     texts = batch.column(1).fill_null("")
@@ -429,7 +435,7 @@ def encode_samples(
 ) -> DataFrame:
     """Up to `samples` distinct segmentations per row, the one with the largest Gumbel value first.
 
-    Columns id, sample, n_pieces, log_p, inclusion and ids; with `digest` the CRC-32 of
+    Columns id, sample, n_pieces, log_p, log_inclusion and ids; with `digest` the CRC-32 of
     the ids as little-endian 32-bit numbers, and whether decoding them gives the text
     back, stand in place of the ids.
     """
@@ -447,7 +453,7 @@ def encode_samples(
             for s, (live, merged, _, counts, log_p, _) in enumerate(found):
                 ids, offsets = search.ids(merged, counts)
                 at = np.flatnonzero(live)
-                inclusion = np.where(left > -np.inf, -np.expm1(-np.exp(np.minimum(log_p - left, 700))), 1.0)
+                inclusion = log_inclusion(log_p - left)
                 columns = [
                     batch.column(0).take(pa.array(at)),
                     pa.array(np.full(len(at), s, dtype=np.int32)),
@@ -455,7 +461,7 @@ def encode_samples(
                     pa.array(log_p[at]),
                     pa.array(inclusion[at]),
                 ]
-                names = ["id", "sample", "n_pieces", "log_p", "inclusion"]
+                names = ["id", "sample", "n_pieces", "log_p", "log_inclusion"]
                 if digest:
                     raw = memoryview(ids.astype("<u4")).cast("B")
                     ends = (4 * offsets).tolist()
@@ -471,7 +477,7 @@ def encode_samples(
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     last = "ids_crc32 long, exact boolean" if digest else "ids array<int>"
-    return map_batches(rows, run, f"id long, sample int, n_pieces long, log_p double, inclusion double, {last}")
+    return map_batches(rows, run, f"id long, sample int, n_pieces long, log_p double, log_inclusion double, {last}")
 
 
 def decode(rows: DataFrame, id_col: str = "id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
