@@ -144,6 +144,11 @@ def epoch_ms(moment: Column) -> Column:
     return F.unix_millis(moment)
 
 
+def whole(text: Column, pattern: str) -> Column:
+    """Whether a pattern matches all of a text; a final line break is not left out."""
+    return text.rlike(f"^(?:{pattern.removeprefix('^').removesuffix('$')})\\z")
+
+
 def sanitize_text(text: Column, replacements: dict[str, str]) -> Column:
     """Apply case-insensitive pattern replacements in the given order."""
     return reduce(

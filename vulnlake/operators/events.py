@@ -24,6 +24,7 @@ from vulnlake.functions.values import (
     iso_ms,
     nullable_string,
     plain_text,
+    whole,
 )
 from vulnlake.operators.ordered import with_running
 from vulnlake.operators.rows import public_column
@@ -53,6 +54,7 @@ MAX_CHANGED_IDS = 5_000
 MAX_ID_LENGTH = 128
 MAX_URL_LENGTH = 2_048
 MAX_LOG_ID_LENGTH = 64
+MAX_LONG = 2**63 - 1
 RETAINED_EVENTS = 10_000
 COALESCE_WINDOW = "250 milliseconds"
 COALESCE_THRESHOLD = 100
@@ -85,13 +87,11 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 EVENT_COLUMNS = tuple(EVENT_SCHEMA.fieldNames())
-# Sub-lists of one run are cut to size before one task joins them.
-ID_SALTS = 64
 
 
 def log_id_parts(log_id: Column) -> tuple[Column, Column]:
     """Numeric parts of a log id; NULL when the id is malformed."""
-    well_formed = log_id.rlike(LOG_ID) & (F.length(log_id) <= MAX_LOG_ID_LENGTH)
+    well_formed = whole(log_id, LOG_ID) & (F.length(log_id) <= MAX_LOG_ID_LENGTH)
     parts = F.split(log_id, "-")
     return (
         F.when(well_formed, parts[0].try_cast("long")),
@@ -105,14 +105,16 @@ def log_id(ms: Column | str = "ms", seq: Column | str = "seq") -> Column:
 
 def parse_log_id(text: str) -> tuple[int, int]:
     """Check a log id given by a client."""
-    if len(text) > MAX_LOG_ID_LENGTH or not re.match(LOG_ID, text):
+    if len(text) > MAX_LOG_ID_LENGTH or not re.fullmatch(LOG_ID, text):
         raise ValueError(f"not a log id: {text!r}")
     ms, seq = text.split("-")
     return int(ms), int(seq)
 
 
 def after(ms: int, seq: int) -> Column:
-    """Events strictly after a log id."""
+    """Events strictly after a log id; nothing follows an id beyond the range of a long."""
+    if max(ms, seq) > MAX_LONG:
+        ms, seq = (MAX_LONG, MAX_LONG) if ms > MAX_LONG else (ms, MAX_LONG)
     return (F.col("ms") > ms) | ((F.col("ms") == ms) & (F.col("seq") > seq))
 
 
@@ -138,7 +140,7 @@ def encode(events: DataFrame) -> DataFrame:
 
 
 def _iso_ok(text: Column) -> Column:
-    return text.rlike(ISO_OFFSET) & text.try_cast("timestamp").isNotNull()
+    return whole(text, ISO_OFFSET) & text.try_cast("timestamp").isNotNull()
 
 
 def _id_ok(text: Column) -> Column:
@@ -209,7 +211,7 @@ def _checked(entries: DataFrame, dataset_version: str | None) -> DataFrame:
     def finding_field_ok(name: str) -> Column:
         value = raw(f"finding.{name}")
         if name == "id":
-            return _text(value).rlike(fields.FINDING_ID_PATTERN)
+            return whole(_text(value), fields.FINDING_ID_PATTERN)
         if name in fields.NUMBERS:
             return is_number(value)
         if name in fields.NULLABLE_STRINGS:
@@ -305,22 +307,31 @@ def finding_payload() -> Column:
     return F.struct(*[public_column(f) for f in fields.EXPLORE])
 
 
+def next_id(now: datetime, last: tuple[int, int] | None) -> tuple[int, int]:
+    """The log id after `last` at a time; a clock that stands or steps back goes on from it."""
+    ms = int(utc(now).timestamp() * 1000)
+    return (ms, 0) if last is None or ms > last[0] else (last[0], last[1] + 1)
+
+
 def change_events(upserts: DataFrame, deletes: DataFrame, dataset_version: str,
-                  now: datetime) -> DataFrame:
+                  now: datetime, last: tuple[int, int] | None = None) -> DataFrame:
     """One event per applied upsert, then one per delete, in request order.
 
-    Both inputs are new log rows whose `position` is the request order.
+    Both inputs are new log rows whose `position` is the request order, from 1.
+    Ids follow `last`, the newest id of the log.
     """
     at = F.lit(utc(now))
+    ms, seq = next_id(now, last)
+    offset = seq if last is not None and ms == last[0] else 1
     common = {
-        "ms": F.unix_millis(at),
+        "ms": F.lit(ms),
         "datasetVersion": F.lit(dataset_version),
         "at": at,
     }
     written = upserts.select(
         *blank_event(
             **common,
-            seq=F.col("position"),
+            seq=F.col("position") + (offset - 1),
             type=F.lit("finding-upserted"),
             finding=finding_payload(),
         )
@@ -329,7 +340,7 @@ def change_events(upserts: DataFrame, deletes: DataFrame, dataset_version: str,
     removed = deletes.select(
         *blank_event(
             **common,
-            seq=F.col("position") + upserted,
+            seq=F.col("position") + upserted + (offset - 1),
             type=F.lit("finding-deleted"),
             id=F.col("findingId"),
         )
@@ -380,7 +391,9 @@ def start_position(events: DataFrame, last_id: str | None) -> DataFrame:
             F.lit(None).cast("string").alias("resync_id"),
         )
     ms, seq = parse_log_id(last_id)
-    known = (F.col("ms") == ms) & (F.col("seq") == seq)
+    known = F.lit(False)  # no event has an id beyond the range of a long
+    if max(ms, seq) <= MAX_LONG:
+        known = (F.col("ms") == ms) & (F.col("seq") == seq)
     newest = log_id(F.col("last.ms"), F.col("last.seq"))
     return events.agg(
         F.max(order).alias("last"), F.coalesce(F.bool_or(known), F.lit(False)).alias("retained")
@@ -432,7 +445,10 @@ def window_load(events: DataFrame, width: str | None = COALESCE_WINDOW,
 
 
 def _in_windows(events: DataFrame, width: str | None, threshold: int, state: str) -> DataFrame:
-    """Events of the windows in one state; null-safe for the single-window form."""
+    """Events of the windows in one state; a single window is gated by one number."""
+    if width is None:
+        gate = window_load(events, None, threshold).where(state).agg(F.count("*")).scalar()
+        return with_window(events, None).where(gate > 0)
     windows = window_load(events, width, threshold).where(state).select("window_start")
     same = F.col("e.window_start").eqNullSafe(F.col("w.window_start"))
     return with_window(events, width).alias("e").join(windows.alias("w"), same).select("e.*")
@@ -460,8 +476,9 @@ def coalesce(events: DataFrame, width: str | None = COALESCE_WINDOW,
     """Events after coalescing bursts, with `ord` for events that share an id.
 
     Runs of a burst window become one aggregates-invalidated event and, when
-    ids changed, one findings-changed event of at most 5,000 ids in the order
-    they were first seen. Everything else passes through.
+    ids changed, findings-changed events of at most `max_ids` ids each that
+    together name all of them in the order they were first seen. Everything else
+    passes through.
     """
     calm = _in_windows(events, width, threshold, "NOT open")
     # Several results read the runs, so what they need is stored once.
@@ -504,7 +521,7 @@ def coalesce(events: DataFrame, width: str | None = COALESCE_WINDOW,
             scopes=scopes,
         )
     )
-    changed = _first_seen_ids(members, run_key, max_ids).select(*run_key, F.col("ids").alias("first_ids"))
+    changed = _first_seen_ids(members, run_key, max_ids)
     same_run = (F.col("r.run") == F.col("c.run")) & F.col("r.window_start").eqNullSafe(
         F.col("c.window_start")
     )
@@ -519,43 +536,41 @@ def coalesce(events: DataFrame, width: str | None = COALESCE_WINDOW,
                 datasetVersion=F.col("r.datasetVersion"),
                 at=F.col("r.at"),
                 ids=F.col("c.first_ids"),
-            )
+            ),
+            (F.col("c.part") + 2).alias("ord"),
         )
     )
-    one, two = F.lit(1).cast("long"), F.lit(2).cast("long")
+    one = F.lit(1).cast("long")
     return (
         passed.withColumn("ord", one)
         .unionByName(invalidated.withColumn("ord", one))
-        .unionByName(updated.withColumn("ord", two))
+        .unionByName(updated)
     )
 
 
 def _first_seen_ids(members: DataFrame, run_key: list[str], max_ids: int) -> DataFrame:
-    """First `max_ids` distinct ids of each run, in first-seen order.
+    """Distinct ids of each run in first-seen order, `max_ids` to a part.
 
-    Repeats of an id are folded before the shuffle. Each salted part of a run is
-    cut to `max_ids` first, so the final list of a run is made from at most
-    ID_SALTS * max_ids rows however long the run is.
+    Repeats of an id are folded before the shuffle, and the ids are numbered over
+    ranges of the order, so a run may have any number of them.
     """
     seen = (
         members.select(*run_key, "place", F.posexplode("changed_ids").alias("pos", "changed"))
         .groupBy(*run_key, "changed")
         .agg(F.min("place").alias("place"), F.min_by("pos", F.struct("place", "pos")).alias("pos"))
-        .withColumn("salt", F.pmod(F.hash("changed"), F.lit(ID_SALTS)))
-    )
-    order = [F.col("place"), F.col("pos")]
-    in_part = W.partitionBy(*run_key, "salt").orderBy(*order)
-    in_run = W.partitionBy(*run_key).orderBy(*order)
-    first = (
-        seen.withColumn("n", F.row_number().over(in_part))
-        .where(F.col("n") <= max_ids)
-        .withColumn("n", F.row_number().over(in_run))
-        .where(F.col("n") <= max_ids)
-    )
-    return first.groupBy(*run_key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("n", "changed"))), lambda e: e["changed"]
-        ).alias("ids")
+    )
+    numbered = write_out(
+        with_running(seen, [*run_key, "place", "pos"], sums={"n": F.lit(1).cast("long")}), "ids"
+    )
+    starts = numbered.groupBy(*run_key).agg(F.min("n").alias("start")).alias("s")
+    same_run = (F.col("i.run") == F.col("s.run")) & F.col("i.window_start").eqNullSafe(
+        F.col("s.window_start")
+    )
+    placed = numbered.alias("i").join(starts, same_run).select("i.*", (F.col("n") - F.col("start")).alias("at"))
+    return (
+        placed.groupBy(*run_key, F.floor(F.col("at") / max_ids).alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", "changed"))).alias("listed"))
+        .select(*run_key, "part", F.col("listed.changed").alias("first_ids"))
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 import uuid
 from datetime import datetime, timedelta
@@ -14,11 +15,15 @@ from pyspark.sql import types as T
 
 from vulnlake import fields
 from vulnlake.functions.values import formula_safe, text_ms, text_seconds
-from vulnlake.operators.events import blank_event
+from vulnlake.operators.events import blank_event, next_id
+from vulnlake.operators.ordered import with_running
 from vulnlake.operators.paging import total_order
 from vulnlake.operators.predicates import page_scope
+from vulnlake.sources.tables import exists, move, remove
 from vulnlake.spec import QuerySpec, Sort, TimeRange, parse_instant, utc
 
+LOG = logging.getLogger(__name__)
+
 # Job states, bounds and texts of the export contract.
 STATUSES = ("PENDING", "RUNNING", "READY", "FAILED")
 UNFINISHED = ("PENDING", "RUNNING")
@@ -48,7 +53,7 @@ class ExportTooLarge(RuntimeError):
 
 
 def job_id(text: str) -> str:
-    if not isinstance(text, str) or not JOB_ID.match(text):
+    if not isinstance(text, str) or not JOB_ID.fullmatch(text):
         raise ValueError(f"not an export job id: {text!r}")
     return text
 
@@ -65,9 +70,10 @@ def export_count(current: DataFrame, spec: QuerySpec) -> DataFrame:
     return current.where(page_scope(spec)).agg(F.count("*").alias("total"))
 
 
-def checked_count(total: int) -> int:
-    if not 0 <= total <= MAX_ROWS:
-        raise ExportTooLarge(f"{total} rows are outside 0..{MAX_ROWS}")
+def checked_count(total: int, max_rows: int | None = MAX_ROWS) -> int:
+    """The count of an export; the bound of the service's type can be lifted."""
+    if total < 0 or (max_rows is not None and total > max_rows):
+        raise ExportTooLarge(f"{total} rows are outside 0..{max_rows}")
     return total
 
 
@@ -95,6 +101,8 @@ def write_csv(rows: DataFrame, path: str) -> None:
         .option("header", True)
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
@@ -177,13 +185,21 @@ def unfinished_jobs(manifest: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def ready_events(jobs: DataFrame, dataset_version: str, at: datetime) -> DataFrame:
-    """One export-ready event per finished job; `seq` is left to the log."""
+def ready_events(jobs: DataFrame, dataset_version: str, at: datetime,
+                 last: tuple[int, int] | None = None) -> DataFrame:
+    """One export-ready event per finished job, in order of the job ids.
+
+    Log ids follow `last`, the newest id of the log.
+    """
     moment = F.lit(utc(at))
-    return jobs.where(F.col("status") == "READY").select(
+    ms, seq = next_id(at, last)
+    ready = with_running(
+        jobs.where(F.col("status") == "READY"), ["id"], sums={"_n": F.lit(1).cast("long")}
+    )
+    return ready.select(
         *blank_event(
-            ms=F.unix_millis(moment),
-            seq=F.lit(0),
+            ms=F.lit(ms),
+            seq=F.col("_n") - 1 + seq,
             type=F.lit("export-ready"),
             datasetVersion=F.lit(dataset_version),
             at=moment,
@@ -196,12 +212,16 @@ def ready_events(jobs: DataFrame, dataset_version: str, at: datetime) -> DataFra
 class ExportStore:
     """Export jobs below one folder: `manifest/` rows and `<id>.csv` folders."""
 
-    def __init__(self, spark: SparkSession, root: str, expires_seconds: int = EXPIRES_SECONDS):
+    def __init__(self, spark: SparkSession, root: str, expires_seconds: int = EXPIRES_SECONDS,
+                 max_rows: int | None = MAX_ROWS):
         self.spark = spark
+        self.max_rows = max_rows
         self.root = root.rstrip("/")
         self.expires_seconds = expires_seconds
 
     def manifest(self) -> DataFrame:
+        if not exists(self.spark, f"{self.root}/manifest"):
+            return self.spark.createDataFrame([], MANIFEST_SCHEMA)
         return self.spark.read.schema(MANIFEST_SCHEMA).json(f"{self.root}/manifest")
 
     def _append(self, job: dict) -> dict:
@@ -231,23 +251,42 @@ class ExportStore:
     def _move(self, job: dict, now: datetime, **changes) -> dict:
         return self._append({**job, **changes, "step": job["step"] + 1, "updatedAt": utc(now)})
 
+    def newest(self, id: str) -> dict | None:
+        """The latest manifest row of a job."""
+        row = newest_jobs(self.manifest().where(F.col("id") == job_id(id))).first()
+        if row is None:
+            return None
+        times = {f: utc(row[f]) for f in ("createdAt", "updatedAt", "expiresAt")}
+        return {**row.asDict(), **times}
+
     def run(self, job: dict, current: DataFrame, now: datetime) -> dict:
-        """Count, write and publish one job; a failure is recorded, not raised."""
+        """Count, write and publish one job; a failure is recorded and logged, not raised.
+
+        Finished and expired jobs are left as they are. The file is written to a
+        folder of this attempt, so that what a lost attempt left behind does not
+        matter, and then takes the job's name.
+        """
+        job = self.newest(job["id"]) or job
+        if job["status"] not in UNFINISHED or job["expiresAt"] <= utc(now):
+            return job
         job = self._move(job, now, status="RUNNING", artifactName=None, errorMessage=None)
         spec = restore_request(job["request"])
         name = artifact_name(job["id"])
+        attempt = f"attempts/{uuid.uuid4()}"
         try:
-            total = checked_count(export_count(current, spec).first()["total"])
+            total = checked_count(export_count(current, spec).first()["total"], self.max_rows)
             job = self._move(job, now, rowCount=total)
-            write_csv(export_rows(current, spec), f"{self.root}/{name}")
-        except Exception:
+            write_csv(export_rows(current, spec), f"{self.root}/{attempt}")
+            # Nothing points to a file of that name before the job is READY.
             self._remove(name)
+            move(self.spark, f"{self.root}/{attempt}", f"{self.root}/{name}")
+        except Exception:
+            LOG.exception("export job %s failed", job["id"])
+            self._remove(attempt)
             return self._move(
                 job, now, status="FAILED", artifactName=None, errorMessage=FAILURE_TEXT
             )
         return self._move(job, now, status="READY", artifactName=name)
 
     def _remove(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, f"{self.root}/{name}")

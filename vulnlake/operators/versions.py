@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vulnlake import fields
-from vulnlake.functions.values import epoch_ms, finding_id, parse_date
+from vulnlake.functions.values import epoch_ms, finding_id, parse_date, whole
 from vulnlake.operators.ordered import cut_ranges, number_rows, running, with_running
 from vulnlake.session import write_out
 from vulnlake.spec import utc
@@ -23,7 +23,11 @@ MAX_CHANGES = 500
 
 
 class ContractViolation(ValueError):
-    """Input breaks the ingest or change contract."""
+    """Input breaks the ingest or change contract; `ids` holds all findings it names."""
+
+    def __init__(self, text: str, ids: DataFrame | None = None):
+        super().__init__(text)
+        self.ids = ids
 
 
 def join_by_identity(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -251,10 +255,16 @@ def apply_deletes(current: DataFrame, ids: DataFrame, now: datetime,
         ),
         "deletes-live",
     )
-    missing = ids.select("findingId").join(live.select("findingId"), "findingId", "left_anti")
-    unknown = [r.findingId for r in missing.limit(20).collect()]
+    missing = write_out(
+        ids.select("findingId").join(live.select("findingId"), "findingId", "left_anti"), "missing"
+    )
+    unknown = missing.count()
     if unknown:
-        raise ContractViolation(f"cannot delete unknown finding ids: {', '.join(unknown)}")
+        # The text names a whole change set; `ids` holds those of larger, bulk requests too.
+        named = [r.findingId for r in missing.orderBy("findingId").limit(MAX_CHANGES).collect()]
+        raise ContractViolation(
+            f"cannot delete {unknown} unknown finding ids: {', '.join(named)}", missing
+        )
     return _stamped(live.drop("updatedAt"), now, last_issued_ms).select(
         *fields.SOURCE_FIELDS,
         *fields.DERIVED_COLUMNS,
@@ -268,7 +278,7 @@ def apply_deletes(current: DataFrame, ids: DataFrame, now: datetime,
 
 def invalid_ids(ids: DataFrame) -> DataFrame:
     """Delete ids that are malformed or given more than once."""
-    shaped = F.coalesce(F.col("findingId").rlike(fields.FINDING_ID_PATTERN), F.lit(False))
+    shaped = F.coalesce(whole(F.col("findingId"), fields.FINDING_ID_PATTERN), F.lit(False))
     return (
         ids.groupBy("findingId")
         .agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ from vulnlake.sources.star_schema import DATASET_VERSION
 query(
     "event_emit",
     over_events(
-        "SELECT log_id, type, length(event) AS chars FROM (SELECT log_id, type, "
+        "SELECT log_id, type, md5(event) AS text_md5 FROM (SELECT log_id, type, "
         "'{\"v\":1,\"type\":\"' || type || '\",\"datasetVersion\":\"star-1\",\"at\":\"' || " + iso("ts") + " || '\"' || "
         "CASE type WHEN 'finding-deleted' THEN ',\"id\":\"' || id1 || '\"' "
         "WHEN 'findings-changed' THEN ',\"ids\":[\"' || id1 || '\",\"' || id2 || '\"]' "
@@ -31,7 +31,7 @@ query(
     lambda spark, d: events.encode(star_events.events_of(spark, d)).select(
         "log_id",
         F.get_json_object("event", "$.type").alias("type"),
-        F.length("event").cast("long").alias("chars"),
+        F.md5("event").alias("text_md5"),
     ).where("type <> 'finding-upserted'")
 )
 

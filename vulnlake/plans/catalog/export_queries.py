@@ -137,7 +137,7 @@ query(
 
 query(
     "export_ready_event",
-    f"""WITH {_JOBS} SELECT '{NOW_MS}-0' AS log_id,
+    f"""WITH {_JOBS} SELECT '{NOW_MS}-' || (row_number() OVER (ORDER BY id) - 1) AS log_id,
     '{{"v":1,"type":"export-ready","datasetVersion":"star-1","at":"2001-12-01T00:00:00.000Z","jobId":"' || id
     || '","url":"/api/exports/' || id || '"}}' AS event FROM open_jobs WHERE status = 'READY'""",
 )(

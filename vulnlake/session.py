@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _scratch_roots: set[str] = set()
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +47,27 @@ def _scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the application's folder."""
-    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in getattr(_scopes, "open", ()):
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what this thread writes to scratch inside."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    paths: list[str] = []
+    _scopes.open.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.open.remove(paths)
+        context = spark.sparkContext
+        for name in paths:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_out(df: DataFrame, label: str) -> DataFrame:

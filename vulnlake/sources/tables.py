@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vulnlake import fields
-from vulnlake.operators.versions import IDENTITY, ContractViolation
+from vulnlake.operators.versions import IDENTITY, ContractViolation, collapse_current
 
 EVENT_LOG_SCHEMA = T.StructType(
     [T.StructField("log_id", T.StringType()), T.StructField("event", T.StringType())]
@@ -36,12 +36,34 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in system.listStatus(hadoop_path)]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; a missing one is no error."""
+    system, hadoop_path = _file_system(spark, path)
+    system.delete(hadoop_path, True)
+
+
+def move(spark: SparkSession, path: str, target: str) -> None:
+    """Rename a folder to a name that is free."""
+    system, hadoop_path = _file_system(spark, path)
+    if not system.rename(hadoop_path, _file_system(spark, target)[1]):
+        raise OSError(f"cannot rename {path} to {target}")
+
+
 def load_initial(rows: DataFrame, path: str, dataset_version: str, replace: bool = False) -> None:
-    """First load of the version log; refuses a populated log unless replacing."""
+    """First load of the version log; refuses a log with current findings unless replacing.
+
+    A load without rows empties the version: an overwrite alone keeps partitions
+    that it writes no row to.
+    """
     spark = rows.sparkSession
-    if exists(spark, path) and not replace:
-        if read_log(spark, path, dataset_version).limit(1).count():
+    if exists(spark, path):
+        log = read_log(spark, path, dataset_version)
+        if not replace and not collapse_current(log).isEmpty():
             raise TableNotEmpty("findings already exist; replace them explicitly")
+        if not log.isEmpty() and rows.isEmpty():
+            catalog = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog
+            names = catalog.ExternalCatalogUtils
+            remove(spark, f"{path}/{names.getPartitionPathString('dataset_version', dataset_version)}")
     write_log(rows, path, dataset_version, "overwrite")
 
 

@@ -33,13 +33,14 @@ _ISO_OFFSET = re.compile(
     r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$"
 )
 _CURSOR_TOKEN = re.compile(r"^[A-Za-z0-9_-]+$")
+# Fixed value: the date text of a cursor.
 _CURSOR_DATE = re.compile(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,3})?$")
 _FINDING_ID = re.compile(fields.FINDING_ID_PATTERN)
 
 
 def parse_instant(text: str) -> datetime:
     """ISO 8601 text with an offset to a UTC instant of millisecond precision."""
-    if not isinstance(text, str) or not _ISO_OFFSET.match(text):
+    if not isinstance(text, str) or not _ISO_OFFSET.fullmatch(text):
         raise ValueError(f"not an ISO 8601 instant with offset: {text!r}")
     moment = datetime.fromisoformat(text).astimezone(timezone.utc)
     return moment.replace(microsecond=moment.microsecond // 1000 * 1000)
@@ -131,18 +132,18 @@ def decode_cursor(token: str, sort: Sort) -> Cursor:
     try:
         return _decode_cursor(token, sort)
     except (ValueError, TypeError, binascii.Error, UnicodeDecodeError) as error:
-        raise ValueError("Invalid findings cursor") from error
+        raise ValueError("the page token cannot be read") from error
 
 
 def _decode_cursor(token: str, sort: Sort) -> Cursor:
-    if not 1 <= len(token) <= MAX_CURSOR_LENGTH or not _CURSOR_TOKEN.match(token):
+    if not 1 <= len(token) <= MAX_CURSOR_LENGTH or not _CURSOR_TOKEN.fullmatch(token):
         raise ValueError("malformed token")
     padded = token + "=" * (-len(token) % 4)
     payload = json.loads(base64.urlsafe_b64decode(padded).decode("utf-8"))
     if not isinstance(payload, dict) or set(payload) != {"s", "id"}:
         raise ValueError("unexpected keys")
     value, row_id = payload["s"], payload["id"]
-    if not isinstance(row_id, str) or not _FINDING_ID.match(row_id):
+    if not isinstance(row_id, str) or not _FINDING_ID.fullmatch(row_id):
         raise ValueError("malformed id")
     if value is None:
         if sort.field not in fields.NULLABLE_SORTS:
@@ -155,7 +156,7 @@ def _decode_cursor(token: str, sort: Sort) -> Cursor:
             raise ValueError("sort value must be finite")
     else:
         _bounded_text(value, "sort value")
-        if sort.field in fields.DATES and not _CURSOR_DATE.match(value):
+        if sort.field in fields.DATES and not _CURSOR_DATE.fullmatch(value):
             raise ValueError("malformed date")
     return Cursor(value, row_id)
 
@@ -203,6 +204,6 @@ def suggestion_arguments(prefix: str, limit: int | None = None) -> tuple[str, in
 
 def finding_id(value: str) -> str:
     """Check the shape of a finding id."""
-    if not isinstance(value, str) or not _FINDING_ID.match(value):
+    if not isinstance(value, str) or not _FINDING_ID.fullmatch(value):
         raise ValueError(f"not a finding id: {value!r}")
     return value

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -21,16 +22,19 @@ from vulnlake.operators.versions import (
     lookup_by_ids,
     merge_current,
 )
-from vulnlake.session import write_out
+from vulnlake.session import scratch_scope, write_out
 from vulnlake.sources.tables import (
     children,
     exists,
     read_current,
     read_events,
+    remove,
     write_current,
     write_events,
 )
 
+#: States of batches kept for repeats.
+KEPT_STATES = 100
 # The change feed: one row per change. `op` is upsert or delete; upserts fill
 # the source columns, deletes fill findingId; requestOrder is unique per op.
 CHANGE_COLUMNS = ("op", *fields.SOURCE_FIELDS, "findingId", "requestOrder")
@@ -38,23 +42,26 @@ CHANGE_COLUMNS = ("op", *fields.SOURCE_FIELDS, "findingId", "requestOrder")
 
 def apply_changes(current: DataFrame, upserts: DataFrame, ids: DataFrame, dataset_version: str,
                   now: datetime, batch: int,
-                  max_changes: int | None = MAX_CHANGES) -> tuple[DataFrame, DataFrame]:
+                  max_changes: int | None = MAX_CHANGES, last_issued_ms: int = 0,
+                  last_event: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Upserts, then deletes: (new log rows, change events).
 
     Deletes see the upserts of the same call. Pass `max_changes=None` for bulk
-    loads.
+    loads. Stamps follow `last_issued_ms` and event ids follow `last_event`, so
+    that neither goes back however the clock does.
     """
     # Read several times; as files they also have a size for the join planner.
     upserts, ids = write_out(upserts, "upserts-asked"), write_out(ids, "deletes-asked")
     check_changes(upserts, ids, max_changes)
-    written = write_out(apply_upserts(current, upserts, now, batch), "upserts")
-    last_stamp = written.agg(F.max(epoch_ms(F.col("updatedAt"))).alias("ms")).first().ms or 0
+    written = write_out(apply_upserts(current, upserts, now, batch, last_issued_ms), "upserts")
+    last_stamp = written.agg(F.max(epoch_ms(F.col("updatedAt"))).alias("ms")).first().ms
+    last_stamp = last_issued_ms if last_stamp is None else last_stamp
     # Deletes see the upserts; only findings they name need to be merged.
     named = merge_current(lookup_by_ids(current, ids), lookup_by_ids(written, ids))
     tombstones = write_out(
         apply_deletes(named, ids, now, batch + 1, last_issued_ms=last_stamp), "tombstones"
     )
-    emitted = ev.change_events(written, tombstones, dataset_version, now)
+    emitted = ev.change_events(written, tombstones, dataset_version, now, last_event)
     return written.unionByName(tombstones), emitted
 
 
@@ -64,8 +71,12 @@ class FindingsTable:
     Layout below `root`: `snapshot/<n>` holds current findings after batch n,
     `log/<n>` and `events/<n>` hold what batch n added. Readers merge the
     newest snapshot with the log rows after it; every `snapshot_every` batches
-    a new snapshot is written. A repeated batch overwrites its own folders, so
-    replaying after a failure changes nothing.
+    a new snapshot is written, and what only snapshots before the last two need
+    is deleted. `state/<n>` keeps the highest stamp and event id after batch n
+    and which batch of which stream has which number, so that stamps and ids
+    only grow and a second stream or checkpoint takes numbers of its own. A
+    repeated batch overwrites its own folders, so replaying after a failure
+    changes nothing. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str, dataset_version: str,
@@ -90,6 +101,56 @@ class FindingsTable:
             current, self.dataset_version, datetime.now(timezone.utc)
         )
         write_events(ev.encode(event), f"{self.root}/events/0", "overwrite")
+        self._write_state(0, {"streams": {}}, read_current(self.spark, f"{self.root}/snapshot/0"))
+
+    def _state(self, before: int | None = None) -> dict:
+        """The newest state, or the newest before a batch."""
+        names = children(self.spark, f"{self.root}/state")
+        numbers = [int(n) for n in names if n.isdigit() and (before is None or int(n) < before)]
+        for n in sorted(numbers, reverse=True):
+            row = self.spark.read.text(f"{self.root}/state/{n}").first()
+            if row is not None:
+                return json.loads(row.value)
+        return {"number": 0, "stamp": 0, "event": None, "streams": {}}
+
+    def _write_state(self, number: int, state: dict, rows: DataFrame | None) -> None:
+        """Keep the state after a batch; `rows` are its log rows, if it wrote any."""
+        if rows is not None:
+            stamp = rows.agg(F.max(epoch_ms(F.col("updatedAt"))).alias("ms")).first().ms
+            entries = read_events(self.spark, f"{self.root}/events/{number}")
+            ms, seq = ev.log_id_parts(F.col("log_id"))
+            last = entries.agg(F.max(F.struct(ms.alias("ms"), seq.alias("seq"))).alias("e")).first().e
+            state = {
+                **state,
+                "stamp": max(stamp or 0, state.get("stamp", 0)),
+                "event": list(last) if last is not None else state.get("event"),
+            }
+        text = json.dumps({**state, "number": number})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(
+            "overwrite"
+        ).text(f"{self.root}/state/{number}")
+        remove(self.spark, f"{self.root}/state/{number - KEPT_STATES}")
+
+    def number_for(self, stream: str, batch_id: int) -> int:
+        """The number of a stream's batch: its own if it is a repeat, else the next free one."""
+        state = self._state()
+        known = state["streams"].get(stream)
+        return known[1] if known and known[0] == batch_id else state["number"] + 1
+
+    def skip(self, number: int, stream: str, batch_id: int) -> None:
+        """Use up a number for a batch that was refused."""
+        state = self._state(before=number)
+        streams = {**state["streams"], stream: [batch_id, number]}
+        self._write_state(number, {**state, "streams": streams}, None)
+
+    def _prune(self) -> None:
+        snapshots = self._numbers("snapshot")
+        if len(snapshots) > 2:
+            for n in snapshots[:-2]:
+                remove(self.spark, f"{self.root}/snapshot/{n}")
+            for n in self._numbers("log"):
+                if n <= snapshots[-2]:
+                    remove(self.spark, f"{self.root}/log/{n}")
 
     def log_rows(self, after: int, before: int | None = None) -> DataFrame | None:
         numbers = [n for n in self._numbers("log") if n > after and (before is None or n < before)]
@@ -105,20 +166,28 @@ class FindingsTable:
         return base if newer is None else merge_current(base, newer)
 
     def apply(self, changes: DataFrame, number: int, now: datetime,
-              for_version: str | None = None) -> DataFrame:
+              for_version: str | None = None, stream: str | None = None,
+              batch_id: int | None = None) -> DataFrame:
         """Apply one batch (number 1 and up) and return its events.
 
-        A batch made for another dataset version is refused.
+        A batch made for another dataset version is refused; a change feed may
+        name the version in a column `datasetVersion`.
         """
         if for_version not in (None, self.dataset_version):
             raise ContractViolation(
                 f"changes for {for_version} do not match {self.dataset_version}"
             )
+        if "datasetVersion" in changes.columns:
+            same = F.col("datasetVersion").eqNullSafe(self.dataset_version)
+            if not changes.where(~same).isEmpty():
+                raise ContractViolation(f"changes do not match {self.dataset_version}")
+        state = self._state(before=number)
         before = self.current(before=number)
         upserts = changes.where("op = 'upsert'").select(*fields.SOURCE_FIELDS, "requestOrder")
         ids = changes.where("op = 'delete'").select("findingId", "requestOrder")
         rows, events = apply_changes(
-            before, upserts, ids, self.dataset_version, now, 2 * number, self.max_changes
+            before, upserts, ids, self.dataset_version, now, 2 * number, self.max_changes,
+            state["stamp"], tuple(state["event"]) if state["event"] else None,
         )
         rows.select(*fields.LOG_COLUMNS).write.mode("overwrite").parquet(
             f"{self.root}/log/{number}"
@@ -128,6 +197,10 @@ class FindingsTable:
             write_current(
                 merge_current(before, rows), f"{self.root}/snapshot/{number}", "overwrite"
             )
+            self._prune()
+        if stream is not None:
+            state = {**state, "streams": {**state["streams"], stream: [batch_id, number]}}
+        self._write_state(number, state, rows)
         entries = read_events(self.spark, f"{self.root}/events/{number}")
         return ev.valid_events(entries, self.dataset_version)
 
@@ -140,27 +213,35 @@ class FindingsTable:
 def stream_to_table(changes: DataFrame, table: FindingsTable, checkpoint: str,
                     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
                     views: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
-                    trigger: dict | None = None) -> StreamingQuery:
+                    trigger: dict | None = None, stream: str | None = None) -> StreamingQuery:
     """Apply a stream of changes; recompute the views each batch makes stale.
 
+    Batches take the table's next numbers; `stream` names the stream among those
+    that feed the table and is the checkpoint's path by default.
+
     `views` maps a scope (findings, facets, overview) to a function of current
     findings; results go to `view/<scope>/<n>`. A batch that breaks the change
     contract is kept in `rejected/<n>` and changes nothing.
     """
+    name = stream or checkpoint
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        number = batch_id + 1
-        try:
-            emitted = table.apply(batch, number, clock())
-        except ContractViolation as refusal:
-            batch.withColumn("refusal", F.lit(str(refusal))).write.mode("overwrite").parquet(
-                f"{table.root}/rejected/{number}"
-            )
-            return
-        if views:
-            refresh_views(table, emitted, number, views)
+        with scratch_scope(table.spark):
+            number = table.number_for(name, batch_id)
+            try:
+                emitted = table.apply(batch, number, clock(), stream=name, batch_id=batch_id)
+            except ContractViolation as refusal:
+                refused = batch.withColumn("refusal", F.lit(str(refusal)))
+                if refusal.ids is not None:
+                    named = refusal.ids.select("findingId", F.lit(True).alias("unknown"))
+                    refused = refused.join(named, "findingId", "left")
+                refused.write.mode("overwrite").parquet(f"{table.root}/rejected/{number}")
+                table.skip(number, name, batch_id)
+                return
+            if views:
+                refresh_views(table, emitted, number, views)
 
     return (
         changes.writeStream.option("checkpointLocation", checkpoint)
@@ -194,13 +275,14 @@ def stream_coalesce(entries: DataFrame, out: str, checkpoint: str,
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = write_out(batch, "entries")
-        valid = ev.valid_events(batch, dataset_version)
-        merged = ev.coalesce(valid, width, threshold)
-        merged.write.mode("overwrite").parquet(f"{out}/events/{batch_id}")
-        ev.rejected_events(batch, dataset_version).write.mode("overwrite").parquet(
-            f"{out}/rejected/{batch_id}"
-        )
+        with scratch_scope(batch.sparkSession):
+            batch = write_out(batch, "entries")
+            valid = ev.valid_events(batch, dataset_version)
+            merged = ev.coalesce(valid, width, threshold)
+            merged.write.mode("overwrite").parquet(f"{out}/events/{batch_id}")
+            ev.rejected_events(batch, dataset_version).write.mode("overwrite").parquet(
+                f"{out}/rejected/{batch_id}"
+            )
 
     return (
         entries.writeStream.option("checkpointLocation", checkpoint)
