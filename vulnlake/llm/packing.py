@@ -23,8 +23,9 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -121,6 +122,18 @@ class WordIds:
         return ids, ends[2 * offsets + np.arange(len(offsets))]
 
 
+def word_ids(path: str) -> WordIds:
+    """The remembered words of this Python worker, which serves one task after another.
+
+    They hang on the tokenizer's module, as functions that travel by value share no
+    module of their own.
+    """
+    kept = vars(tokenizers).setdefault("_word_ids", {})
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
+
+
 def pieces(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -135,7 +148,7 @@ def pieces(
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(length + 1, dtype=np.int64)
         for batch in batches:
