@@ -105,14 +105,14 @@ def test_sample_prefix_matches_a_walk(spark):
 
 
 def test_sanitize_covers_strings_arrays_and_keys(spark):
-    rules = {private_hosts("priv"): "registry.example.invalid", "acme": "example"}
+    rules = {private_hosts("priv"): "hidden.example", "acme": "example"}
     df = spark.createDataFrame([("a.priv", ["ACME", "b"], 1)], "t string, l array<string>, n int")
     assert tuple(corpus.sanitize(df, rules).first()) == (
-        "registry.example.invalid", ["example", "b"], 1
+        "hidden.example", ["example", "b"], 1
     )
     text = spark.createDataFrame([('{"acme": "x.y.priv"}',)], "text string")
     cleaned = corpus.sanitize_documents(text, "text", rules).first().text
-    assert cleaned == '{"example": "registry.example.invalid"}'
+    assert cleaned == '{"example": "hidden.example"}'
 
 
 def test_ingest_end_to_end(spark, folder, tmp_path):

@@ -107,9 +107,9 @@ def test_formula_safe(spark, cell, expected):
 
 def test_sanitize_text(spark):
     df = spark.createDataFrame([("pull A.b-1.PRIV/x by AcmeCo; not.private",)], "t string")
-    rules = {fv.private_hosts("priv"): "registry.example.invalid", "acmeco": "example"}
+    rules = {fv.private_hosts("priv"): "hidden.example", "acmeco": "example"}
     out = df.select(fv.sanitize_text(F.col("t"), rules).alias("x")).first().x
-    assert out == "pull registry.example.invalid/x by example; not.private"
+    assert out == "pull hidden.example/x by example; not.private"
 
 
 def test_finding_id_shape(source_rows):

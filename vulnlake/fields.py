@@ -10,7 +10,7 @@ IDENTITY = ("group", "repo", "image", "cve", "packageName", "packageVersion", "p
 
 CONTEXT_STRINGS = ("group", "repo", "image")
 
-PLAIN_STRINGS = (
+TEXTS = (
     "cve",
     "packageName",
     "packageVersion",
@@ -24,9 +24,6 @@ PLAIN_STRINGS = (
     "link",
     "owner",
     "vecStr",
-)
-
-DICTIONARY_STRINGS = (
     "severity",
     "packageType",
     "status",
@@ -41,8 +38,7 @@ STRING_ARRAYS = ("riskFactors", "applicableRules")
 
 SOURCE_FIELDS = (
     CONTEXT_STRINGS
-    + PLAIN_STRINGS
-    + DICTIONARY_STRINGS
+    + TEXTS
     + NUMBERS
     + NULLABLE_STRINGS
     + STRING_ARRAYS

@@ -12,6 +12,7 @@ from vulnlake.functions.values import ordered_rank
 from vulnlake.operators.facets import FACET_SIZE, facet_value
 from vulnlake.operators.predicates import all_of, common_scope, filters_match, mode_matches
 from vulnlake.operators.top import keys_of_lists, list_name
+from vulnlake.session import write_out
 from vulnlake.spec import QuerySpec
 
 # Display order of severities and the label of a blank key.
@@ -47,11 +48,13 @@ def compare_merge(left: DataFrame, right: DataFrame, order: tuple[str, ...] = ()
     )
 
 
-def compare_modes(current: DataFrame, spec: QuerySpec, left: str, right: str) -> DataFrame:
+def compare_modes(current: DataFrame, spec: QuerySpec, left: str, right: str,
+                  size: int = FACET_SIZE) -> DataFrame:
     """Totals, severities and statuses of two modes as (metric, rank, key, ...).
 
     Both modes are counted in one scan; the search text is not applied.
-    A facet keeps its 200 most frequent values per mode, like the facets do.
+    A facet keeps its `size` most frequent values per mode, like the facets do.
+    The few counts are stored, as each mode ranks them for itself.
     """
     base = replace(spec, mode="all", search=None)
     scopes = {f: all_of(filters_match(base.filters, skip=f)) for f in COMPARED}
@@ -79,12 +82,14 @@ def compare_modes(current: DataFrame, spec: QuerySpec, left: str, right: str) ->
         .select(list_name(lists).alias("metric"), "key", "n_left", "n_right")
     )
 
+    counts = write_out(counts, "compared")
+
     def place(count: str) -> Column:
         return F.row_number().over(W.partitionBy("metric").orderBy(F.desc(count), F.asc("key")))
 
     kept = F.col("metric") == "total"
-    top_left = counts.withColumn("place", place("n_left")).where(F.col("place") <= FACET_SIZE)
-    top_right = counts.withColumn("place", place("n_right")).where(F.col("place") <= FACET_SIZE)
+    top_left = counts.withColumn("place", place("n_left")).where(F.col("place") <= size)
+    top_right = counts.withColumn("place", place("n_right")).where(F.col("place") <= size)
     l = top_left.where(kept | (F.col("n_left") > 0)).select(
         "metric", "key", F.col("n_left").alias("left")
     )

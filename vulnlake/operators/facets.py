@@ -13,6 +13,7 @@ from vulnlake.operators.predicates import common_scope, facet_scope, filter_matc
 from vulnlake.operators.top import counts_of_lists, ranked, top_counts
 from vulnlake.spec import QuerySpec
 
+#: Values of a facet that the public contract shows; the functions take others.
 FACET_SIZE = 200
 
 
@@ -20,12 +21,12 @@ def facet_value(field: str) -> Column:
     return F.coalesce(F.col(field), F.lit(""))
 
 
-def facet(current: DataFrame, spec: QuerySpec, field: str) -> DataFrame:
+def facet(current: DataFrame, spec: QuerySpec, field: str, size: int = FACET_SIZE) -> DataFrame:
     """(value, count) of one facet."""
     scoped = current.where(facet_scope(spec, skip=field))
     if field in fields.STRING_ARRAYS:
-        return top_counts(scoped.select(F.explode(field).alias("v")), F.col("v"), FACET_SIZE)
-    return top_counts(scoped, facet_value(field), FACET_SIZE)
+        return top_counts(scoped.select(F.explode(field).alias("v")), F.col("v"), size)
+    return top_counts(scoped, facet_value(field), size)
 
 
 def facets_by_branch(current: DataFrame, spec: QuerySpec) -> DataFrame:
@@ -37,7 +38,7 @@ def facets_by_branch(current: DataFrame, spec: QuerySpec) -> DataFrame:
     return reduce(DataFrame.unionByName, branches)
 
 
-def facets(current: DataFrame, spec: QuerySpec) -> DataFrame:
+def facets(current: DataFrame, spec: QuerySpec, size: int = FACET_SIZE) -> DataFrame:
     """All facets as (facet, value, count) from one scan and one shuffle.
 
     A row counts for a facet when it passes every filter, or when the only
@@ -67,6 +68,6 @@ def facets(current: DataFrame, spec: QuerySpec) -> DataFrame:
         "facet",
         "value",
     )
-    return ranked(counts, "facet", [F.desc("count"), F.asc("value")], FACET_SIZE).select(
+    return ranked(counts, "facet", [F.desc("count"), F.asc("value")], size).select(
         "facet", "value", "count"
     )

@@ -23,6 +23,7 @@ DIMENSIONS = {
 RISK_DIMENSION = "riskFactorDistribution"
 AGE_ORDER = ("0-30d", "31-90d", "91-365d", "1-5y", "5y+", "unknown")
 FIX_ORDER = ("0-6d", "7-29d", "30-89d", "90-364d", "1y+", "unresolved")
+#: Sizes of the public contract; the functions take others.
 TOP_DIMENSION = 20
 TREND_MONTHS = 600
 
@@ -101,13 +102,14 @@ def published_month() -> Column:
     return F.date_format("publishedAt", "yyyy-MM")
 
 
-def top_dimension(current: DataFrame, spec: QuerySpec, metric: str) -> DataFrame:
+def top_dimension(current: DataFrame, spec: QuerySpec, metric: str,
+                  size: int = TOP_DIMENSION) -> DataFrame:
     """Top values of one dimension: (value, count)."""
     scoped = current.where(overview_scope(spec))
     if metric == RISK_DIMENSION:
         return top_counts(scoped.select(F.explode("riskFactors").alias("v")), F.col("v"),
-                          TOP_DIMENSION)
-    return top_counts(scoped, F.col(DIMENSIONS[metric]), TOP_DIMENSION)
+                          size)
+    return top_counts(scoped, F.col(DIMENSIONS[metric]), size)
 
 
 def buckets(current: DataFrame, spec: QuerySpec, key: Column, order: tuple[str, ...]) -> DataFrame:
@@ -120,18 +122,19 @@ def buckets(current: DataFrame, spec: QuerySpec, key: Column, order: tuple[str,
     )
 
 
-def published_trend(current: DataFrame, spec: QuerySpec) -> DataFrame:
-    """(month, count), the first 600 months."""
+def published_trend(current: DataFrame, spec: QuerySpec, months: int = TREND_MONTHS) -> DataFrame:
+    """(month, count), the first `months` months."""
     return (
         current.where(overview_scope(spec) & F.col("publishedAt").isNotNull())
         .groupBy(published_month().alias("month"))
         .agg(F.count("*").alias("count"))
         .orderBy("month")
-        .limit(TREND_MONTHS)
+        .limit(months)
     )
 
 
-def distributions(current: DataFrame, spec: QuerySpec, as_of: datetime) -> DataFrame:
+def distributions(current: DataFrame, spec: QuerySpec, as_of: datetime,
+                  size: int = TOP_DIMENSION, months: int = TREND_MONTHS) -> DataFrame:
     """Every counted distribution as (metric, ord, key, count) in one scan."""
     scalars = {
         **{metric: F.col(column) for metric, column in DIMENSIONS.items()},
@@ -148,8 +151,8 @@ def distributions(current: DataFrame, spec: QuerySpec, as_of: datetime) -> DataF
     )
     by_month = F.col("metric") == "publishedTrend"
     order = [F.when(by_month, F.lit(0)).otherwise(-F.col("count")), F.col("key")]
-    top = ranked(counts, "metric", order, TREND_MONTHS).where(
-        by_month | (F.col("ord") <= TOP_DIMENSION)
+    top = ranked(counts, "metric", order, max(size, months)).where(
+        F.col("ord") <= F.when(by_month, months).otherwise(size)
     )
     place = (
         F.when(F.col("metric") == "ageBuckets", ordered_rank(F.col("key"), AGE_ORDER))
@@ -198,9 +201,10 @@ def splits(core: DataFrame) -> DataFrame:
     return core.select(F.inline(rows))
 
 
-def overview(current: DataFrame, spec: QuerySpec, as_of: datetime) -> DataFrame:
+def overview(current: DataFrame, spec: QuerySpec, as_of: datetime,
+             size: int = TOP_DIMENSION, months: int = TREND_MONTHS) -> DataFrame:
     """The whole bundle as (metric, ord, key, label, count, value)."""
-    counted = distributions(current, spec, as_of).select(
+    counted = distributions(current, spec, as_of, size, months).select(
         "metric",
         "ord",
         "key",

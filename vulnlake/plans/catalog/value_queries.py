@@ -171,12 +171,12 @@ query("text_ms", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS at FR
 )
 
 _HOSTS = fv.private_hosts(r"example\.net")
-_REPLACEMENTS = {_HOSTS: "registry.example.invalid", "track": "example"}
+_REPLACEMENTS = {_HOSTS: "hidden.example", "track": "example"}
 
 query(
     "sanitize_text",
-    "SELECT page_id, regexp_replace(regexp_replace(url, '{h}', 'registry.example.invalid', 'gi'), 'track', 'example', 'gi') AS url, "
-    "md5(regexp_replace(regexp_replace(html, '{h}', 'registry.example.invalid', 'gi'), 'track', 'example', 'gi')) AS html_md5 "
+    "SELECT page_id, regexp_replace(regexp_replace(url, '{h}', 'hidden.example', 'gi'), 'track', 'example', 'gi') AS url, "
+    "md5(regexp_replace(regexp_replace(html, '{h}', 'hidden.example', 'gi'), 'track', 'example', 'gi')) AS html_md5 "
     "FROM pages".format(h=_HOSTS),
 )(
     lambda spark, d: corpus.sanitize(

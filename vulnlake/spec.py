@@ -163,7 +163,7 @@ def _decode_cursor(token: str, sort: Sort) -> Cursor:
 
 @dataclass(frozen=True)
 class QuerySpec:
-    """One validated query scope."""
+    """One validated query scope; a `first` above `MAX_FIRST` asks for that many rows."""
 
     filters: dict[str, tuple[str, ...]] = field(default_factory=dict)
     time_range: TimeRange = TimeRange()
