@@ -121,7 +121,7 @@ def test_ingest_end_to_end(spark, folder, tmp_path):
     report = ingest(read, root, "v1", NOW, batch_rows=2, expected_rows=4, expected_findings=3)
     assert report.first().asDict() == {
         "batchesWritten": 2, "sourceRowsWritten": 4, "currentFindings": 3,
-        "rowsAsExpected": True, "findingsAsExpected": True,
+        "rowsAsExpected": True, "findingsAsExpected": True, "corruptDocuments": 0,
     }
     current = tables.read_current(spark, f"{root}/current")
     # The two CVE-2 records share an identity; the later one wins.

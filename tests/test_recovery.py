@@ -1,6 +1,7 @@
 """What repeats, restarts, clocks and hostile values must not lose or change."""
 
 import glob
+import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -11,7 +12,8 @@ from vulnlake.operators import events as ev
 from vulnlake.operators import export
 from vulnlake.operators.versions import ContractViolation, collapse_current
 from vulnlake.session import scratch_path, scratch_scope
-from vulnlake.sources import tables
+from vulnlake.plans.ingest import ingest
+from vulnlake.sources import corpus, tables
 from vulnlake.spec import QuerySpec
 from vulnlake.streaming import changes as st
 
@@ -161,3 +163,35 @@ def test_scratch_goes_with_its_scope(spark):
         spark.range(3).write.parquet(path)
         assert tables.exists(spark, path)
     assert not tables.exists(spark, path)
+
+
+def report(*records):
+    image = {"name": "i", "vulnerabilities": list(records)}
+    return {"groups": {"g": {"repos": {"r": {"images": {"i": image}}}}}}
+
+
+def test_unreadable_documents_are_counted_and_refused(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "good.json").write_text(json.dumps(report({"cve": "A"})))
+    (folder / "twice.json").write_text(json.dumps(report({"cve": "B"}, {"cve": "C"})).replace('"cve": "B"', '"cve": "x", "cve": "B"'))
+    (folder / "cut.json").write_text(json.dumps(report({"cve": "D"}))[:-9])
+    read = corpus.read_source(spark, str(folder))
+    with pytest.raises(ContractViolation):
+        ingest(read, str(tmp_path / "no"), "v1", NOW)
+    told = ingest(read, str(tmp_path / "yes"), "v1", NOW, allow_corrupt=True).first()
+    assert (told.corruptDocuments, told.sourceRowsWritten) == (1, 3)
+    found = tables.read_current(spark, str(tmp_path / "yes" / "current"))
+    assert {r.cve for r in found.collect()} == {"A", "B", "C"}
+
+
+@pytest.mark.parametrize("longer", ["a", "b"])
+def test_the_later_file_wins_whatever_its_size(spark, tmp_path, longer):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in "ab":
+        filler = [{"cve": f"F{k}"} for k in range(400 if name == longer else 1)]
+        (folder / f"{name}.json").write_text(json.dumps(report({"cve": "A", "status": name}, *filler)))
+    ingest(corpus.read_source(spark, str(folder)), str(tmp_path / "t"), "v1", NOW, batch_rows=5)
+    current = tables.read_current(spark, str(tmp_path / "t" / "current"))
+    assert current.where("cve = 'A'").first().status == "b"

@@ -50,12 +50,26 @@ CORPUS_SCHEMA = T.StructType(
 
 
 def read_source(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One row per report document below `path`.
+    """One row per report document below `path`: (groups, corrupt, source).
 
     A multi-line file is one task. Large corpora are folders of many
-    documents, or JSON lines (`multi_line=False`), which split freely.
+    documents, or JSON lines (`multi_line=False`), which split freely. A
+    document that cannot be read leaves its text in `corrupt`; `source` orders
+    documents by file and place, however the files are split. Of repeated keys in
+    an object the last counts.
     """
-    return spark.read.schema(CORPUS_SCHEMA).json(path, multiLine=multi_line)
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    schema = T.StructType([*CORPUS_SCHEMA.fields, T.StructField("corrupt", T.StringType())])
+    documents = spark.read.schema(schema).json(
+        path, multiLine=multi_line, columnNameOfCorruptRecord="corrupt"
+    )
+    # Within a block, generated ids grow in the order of its lines.
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return documents.select("groups", "corrupt", place.alias("source"))
 
 
 def parse_documents(texts: DataFrame, column: str) -> DataFrame:
@@ -97,9 +111,10 @@ def flatten_source(corpus: DataFrame) -> DataFrame:
     """One row per vulnerability object.
 
     Columns: group, repo, image, imageBuildType, place (source order within
-    the document), record, and the columns `corpus` has beside `groups`.
+    the document), record, and the columns `corpus` has beside `groups` and
+    `corrupt`.
     """
-    others = [c for c in corpus.columns if c != "groups"]
+    others = [c for c in corpus.columns if c not in ("groups", "corrupt")]
     images = _containers(corpus, outer=False).select(
         *others,
         _name_or_key(F.col("groupName"), F.col("groupKey")).alias("group"),
