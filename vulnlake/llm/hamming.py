@@ -105,7 +105,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         seen = seen.unionByName(hits)
     final = _kth(queries.select(F.col("code").alias("query")).distinct(), rounds, k + 1)
     nearest = (
-        seen.join(final, "query")
+        seen.join(final.hint("merge"), "query")
         .where("distance <= limit")
         .join(index, "code")
         .select("query", "distance", F.explode("ids").alias("neighbor_id"))
@@ -144,7 +144,8 @@ def _round(active: DataFrame, by_segment: DataFrame, segments: list[tuple[int, i
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, seg, values)], ["query", "limit", "seg", "value"])
 
     probes = map_batches(active.select("query", "limit"), run, "query long, limit int, seg int, value long")
-    found = probes.join(by_segment, ["seg", "value"])
+    # Probes are many and alike, so their packed size says little: no broadcast of either side.
+    found = probes.join(by_segment.hint("merge"), ["seg", "value"])
     xor = F.col("query").bitwiseXOR(F.col("code"))
     found = found.withColumn("distance", F.bit_count(xor)).where("distance <= limit")
     parts = [F.bit_count(segment(xor, *s)) for s in segments]
