@@ -434,6 +434,55 @@ def test_samples_are_drawn_without_replacement(vocabulary):
     assert abs(weighted.mean() - 1) < 0.02
 
 
+def mass(unit, vocabulary):
+    """Weight of all paths of a unit."""
+    known = {vocabulary.text[i].decode(): w for i, w in zip(vocabulary.ids.tolist(), vocabulary.weights.tolist())}
+    total = [0.0] * len(unit) + [1.0]
+    for at in range(len(unit) - 1, -1, -1):
+        total[at] = sum(known.get(unit[at:end], 0) * total[end] for end in range(at + 1, min(len(unit), at + 16) + 1))
+    return total[0]
+
+
+def drawn_ids(search, sample):
+    ids, offsets = search.ids(sample[1], sample[3])
+    return [tuple(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
+
+
+def test_long_units_keep_their_whole_lattice(spark, vocabulary, monkeypatch):
+    # Pieces may cross any place of a unit, also behind its 24th character.
+    unit = " internationalizationinternational"
+    weight = dict(zip(vocabulary.ids.tolist(), vocabulary.weights.tolist()))
+    whole, n = mass(unit, vocabulary), 4_000
+    share = 1 - mass(unit[:24], vocabulary) * mass(unit[24:], vocabulary) / whole
+    search = segmentation.Search(pa.array([unit[1:]] * n), np.arange(n), vocabulary)
+    found, _ = search.samples(2)
+    for sample in found:
+        wanted = [np.log([weight[i] for i in x]).sum() - np.log(whole) for x in drawn_ids(search, sample)]
+        assert np.allclose(sample[4], wanted)
+    ends = [np.cumsum([len(vocabulary.text[i]) for i in x]).tolist() for x in drawn_ids(search, found[0])]
+    assert share > 0.1 and abs(sum(24 not in x for x in ends) / n - share) < 0.03
+    # Paths that took more than one number are left out as well.
+    monkeypatch.setattr(segmentation, "SPENT", 0.9)
+    short = all_paths(" the", vocabulary)
+    search = segmentation.Search(pa.array(["the"] * n), np.arange(n), vocabulary)
+    found, _ = search.samples(2)
+    first, second = drawn_ids(search, found[0]), drawn_ids(search, found[1])
+    assert all(a != b for a, b in zip(first, second))
+    for b in short:
+        after = sum(p * short[b] / (1 - p) for a, p in short.items() if a != b)
+        assert abs(first.count(b) / n - short[b]) < 0.03 and abs(second.count(b) / n - after) < 0.03
+    monkeypatch.undo()
+    # Weights of long units leave the range of doubles.
+    long = ["日本語の文章" * 500, "international" * 500, " " * 2_000 + "x"]
+    rows = segmentation.encode_samples(documents(spark, list(enumerate(long))), samples=2)
+    assert rows.where("isnan(log_p) or log_p > 0").count() == 0
+    # No piece joins two characters of the first text, so it has one segmentation.
+    assert not any(ord(c) << 32 | ord(d) in set(vocabulary.pairs.tolist()) for c, d in zip(long[0][:7], long[0][1:7]))
+    assert {(r["id"], r["sample"]) for r in rows.collect()} == {(0, 0), (1, 0), (1, 1), (2, 0), (2, 1)}
+    back = segmentation.decode(rows.select("id", "ids")).collect()
+    assert all(r["text"] == long[r["id"]] for r in back)
+
+
 def test_encoding_and_decoding(spark):
     hard = [(20, "  two  spaces "), (21, "▁ literal"), (22, "日本語 \x00 \r\n\t"), (23, "a" * 500), (24, " ")]
     docs = documents(spark, EDGES[:5] + EDGES[6:] + hard)

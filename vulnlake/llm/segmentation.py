@@ -1,8 +1,9 @@
 """Subword encoding and decoding with sampled segmentations, distinct by Gumbel top-k.
 
-A text is a chain of units: a run of spaces with the characters up to the next space, cut
-every `LONGEST` characters. No piece of the vocabulary crosses a space, so a unit has a
-lattice of its own, and the segmentations of a text are all choices of one path per unit.
+A text is a chain of units: a run of spaces with the characters up to the next space. No
+piece of the vocabulary crosses a space, so a unit has a lattice of its own, and the
+segmentations of a text are all choices of one path per unit. Longer units are also cut
+between characters that no piece holds side by side, which loses no segmentation either.
 A piece's weight falls with its rank in the vocabulary; characters without a piece are
 spelled in byte pieces.
 
@@ -13,8 +14,10 @@ a Gumbel value drawn below its parent's. The best set left yields the next sampl
 on: distinct segmentations, drawn without replacement in proportion to their weight. The
 value of the best set left after the last sample turns each probability into an inclusion
 score, given as a logarithm since long texts have very many segmentations. A path is drawn from one uniform number by the cumulated weights of its unit's
-lattice, so sets that leave paths out skip those paths' intervals. All numbers are hashes
-of the row key, the sample and the unit: a row gives the same samples in any partition.
+lattice, so sets that leave paths out skip those paths' intervals. Once a path has used up
+half of the number's bits it goes on with a new one; such paths are left out by drawing
+again. All numbers are hashes of the row key, the sample and the unit: a row gives the same
+samples in any partition.
 
 Defined cases: null and empty texts have one segmentation without pieces; a text with
 fewer segmentations than asked for gives all of them, with log inclusion 0; repeated rows give
@@ -27,7 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,8 +45,10 @@ from vulnlake.llm.common import map_batches, mix64, ragged, segment_sums, sliced
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES = 2
-#: Characters of a unit, and bytes of text that a task encodes at once.
-LONGEST, AT_ONCE = 24, 4 << 20
+#: Bytes of text that a task encodes at once.
+AT_ONCE = 4 << 20
+#: A path goes on with a new number once its probability since the last one is below this.
+SPENT = 2.0**-24
 #: A piece of rank r weighs (r + SHIFT) ** -SHARPNESS; a byte piece weighs BYTE.
 SHIFT, SHARPNESS, BYTE = 10.0, 0.5, 1e-3
 
@@ -59,7 +64,7 @@ class Vocabulary:
         self.size = model.get_piece_size()
         self.bytes: dict[int, int] = {}
         self.text: list[bytes] = [b""] * self.size
-        ids, hashes, weights = [], [], []
+        ids, texts, weights = [], [], []
         for i in range(self.size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -70,13 +75,15 @@ class Vocabulary:
                 piece = piece.replace("▁", " ")
                 self.text[i] = piece.encode()
                 ids.append(i)
-                hashes.append(hash_text(piece))
+                texts.append(piece)
                 weights.append((SHIFT - model.get_score(i)) ** -SHARPNESS)
-        order = np.argsort(np.array(hashes, dtype=np.uint64))
-        self.hashes = np.array(hashes, dtype=np.uint64)[order]
+        hashes = hash_texts(texts)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
         self.ids = np.array(ids, dtype=np.int64)[order]
         self.weights = np.array(weights)[order]
-        self.longest = max(len(self.text[i].decode()) for i in ids)
+        self.longest = max(map(len, texts))
+        self.pairs = np.array(sorted({_pair(a, b) for x in texts for a, b in zip(x, x[1:])}), dtype=np.int64)
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
@@ -88,11 +95,28 @@ class Vocabulary:
         return at[same], place[same]
 
 
-def hash_text(piece: str) -> int:
-    state = np.zeros(1, dtype=np.uint64)
-    for c in piece:
-        state = _extend(state, np.array([ord(c)], dtype=np.uint64))
-    return int(state[0])
+    def pieces_of_unit(self, unit: str) -> list[str]:
+        """A long unit cut wherever no piece holds the two neighbouring characters."""
+        codes = np.frombuffer(unit.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        pairs = codes[:-1] << 32 | codes[1:]
+        place = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        cuts = [0, *(np.flatnonzero(self.pairs[place] != pairs) + 1).tolist(), len(unit)]
+        return [unit[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _pair(a: str, b: str) -> int:
+    return ord(a) << 32 | ord(b)
+
+
+def hash_texts(pieces: list[str]) -> np.ndarray:
+    state = np.zeros(len(pieces), dtype=np.uint64)
+    sizes = np.array([len(x) for x in pieces], dtype=np.int64)
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    first = np.cumsum(sizes) - sizes
+    for k in range(int(sizes.max(initial=0))):
+        at = np.flatnonzero(sizes > k)
+        state[at] = _extend(state[at], codes[first[at] + k])
+    return state
 
 
 def _extend(state: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -154,8 +178,9 @@ def lattices(units: list[str], vocabulary: Vocabulary) -> Lattices:
         free[at] += 1
     start = node[source]
     target = start + length
-    total = np.ones(n_nodes)
-    far = left[source].astype(np.uint8)
+    # A node's total is total * 2 ** power: in long units it leaves the range of doubles.
+    total, power = np.ones(n_nodes), np.zeros(n_nodes, dtype=np.int64)
+    far = left[source].astype(np.min_scalar_type(int(sizes.max())))
     by_left = np.argsort(far, kind="stable")
     steps = np.concatenate([[0], np.cumsum(np.bincount(far, minlength=int(sizes.max()) + 1))])[1:]
     for a, b in zip(steps, steps[1:]):
@@ -163,8 +188,13 @@ def lattices(units: list[str], vocabulary: Vocabulary) -> Lattices:
         if len(e):
             own = start[e]
             new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            total[own[new]] = np.add.reduceat(weight[e] * total[target[e]], new)
-    chance = weight * total[target] / total[start]
+            up = power[target[e]]
+            most = np.maximum.reduceat(up, new)
+            up -= np.repeat(most, np.diff(np.append(new, len(e))))
+            sums = np.add.reduceat(np.ldexp(weight[e] * total[target[e]], up), new)
+            total[own[new]], more = np.frexp(sums)
+            power[own[new]] = most + more
+    chance = np.ldexp(weight * total[target] / total[start], power[target] - power[start])
     running = np.concatenate([[0.0], np.cumsum(chance)])
     below = np.maximum(running[:-1] - running[edges[start]], 0.0)
     first = ends - sizes + np.arange(len(units))
@@ -173,18 +203,26 @@ def lattices(units: list[str], vocabulary: Vocabulary) -> Lattices:
 
 @dataclass
 class Paths:
-    """Drawn paths: their edges end to end, and each one's interval in its unit's order."""
+    """Drawn paths: their edges end to end, and each one's interval in its unit's order.
+
+    A path that took more than one number has no interval: its `low` is 2.
+    """
 
     edges: np.ndarray
     counts: np.ndarray
     low: np.ndarray
     width: np.ndarray
+    log_width: np.ndarray
+
 
+def draw(lattice: Lattices, units: np.ndarray, u: np.ndarray, again: Callable[[np.ndarray, int], np.ndarray]) -> Paths:
+    """One path per entry of `units`, by a number from 0 to 1.
 
-def draw(lattice: Lattices, units: np.ndarray, u: np.ndarray) -> Paths:
-    """One path per entry of `units`, by a number from 0 to 1."""
+    `again` gives new numbers for some entries, and is told how many edges they have.
+    """
     n = len(units)
     low, width, counts = np.zeros(n), np.ones(n), np.zeros(n, dtype=np.int64)
+    log_width, renewed = np.zeros(n), np.zeros(n, dtype=bool)
     at, node, u = np.arange(n), lattice.first[units], u.copy()
     steps = []
     moving = node < lattice.last[units]
@@ -199,19 +237,27 @@ def draw(lattice: Lattices, units: np.ndarray, u: np.ndarray) -> Paths:
             edge[up] += 1
             open_ = up[edge[up] < final[up]]
         below, chance = lattice.below[edge], lattice.chance[edge]
-        low[at] += width[at] * below
-        width[at] *= chance
+        before = width[at]
+        low[at] += before * below
+        width[at] = since = before * chance
         u = np.clip((u - below) / chance, 0.0, 1.0 - 2.0**-53)
         counts[at] += 1
         steps.append((at, edge))
         node = lattice.target[edge]
         moving = node < end[at]
         at, node, u = at[moving], node[moving], u[moving]
+        spent = np.flatnonzero(since[moving] < SPENT)
+        if len(spent):
+            u[spent] = again(at[spent], len(steps))
+            log_width[at[spent]] += np.log(width[at[spent]])
+            width[at[spent]], renewed[at[spent]] = 1.0, True
+    log_width += np.log(width)
+    low[renewed], width[renewed] = 2.0, np.exp(log_width[renewed])
     start = np.cumsum(counts) - counts
     edges = np.empty(int(counts.sum()), dtype=np.int64)
     for k, (at, edge) in enumerate(steps):
         edges[start[at] + k] = edge
-    return Paths(edges, counts, low, width)
+    return Paths(edges, counts, low, width, log_width)
 
 
 def uniform(keys: np.ndarray, purpose: int, sample: int, unit: np.ndarray) -> np.ndarray:
@@ -227,7 +273,7 @@ class Search:
     def __init__(self, texts: pa.Array, keys: np.ndarray, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.n = len(texts)
-        units, self.units, counts = split_units(texts)
+        units, self.units, counts = split_units(texts, vocabulary)
         self.lattice = lattices(units, vocabulary)
         self.text = np.repeat(np.arange(self.n), counts)
         self.offsets = np.concatenate([[0], np.cumsum(counts)])
@@ -254,33 +300,36 @@ class Search:
                 base = self._inherit(trees, parent, best, live)
                 at = np.flatnonzero((self.place == leave) & live[self.text])
                 u[at] = self._skip(trees, parent, best, at, u[at])
-            paths = draw(self.lattice, self.units[fresh], u[fresh])
-            low, width = np.zeros(total), np.ones(total)
+            paths = self._draw(np.flatnonzero(fresh), u[fresh], row_keys, s)
+            if base is not None:
+                self._redraw(trees, parent, best, np.flatnonzero(fresh), at, paths, row_keys, s)
+            low, width, log_width = np.zeros(total), np.ones(total), np.zeros(total)
             counts = np.zeros(total, dtype=np.int64)
             if base is not None:
-                low, width, counts = base["low"].copy(), base["width"].copy(), base["counts"].copy()
+                low, width, log_width = base["low"].copy(), base["width"].copy(), base["log_width"].copy()
+                counts = base["counts"].copy()
             low[fresh], width[fresh], counts[fresh] = paths.low, paths.width, paths.counts
+            log_width[fresh] = paths.log_width
             merged = np.empty(int(counts.sum()), dtype=np.int64)
             start = np.cumsum(counts) - counts
             merged[ragged(start[fresh], counts[fresh])] = paths.edges
             if base is not None:
                 kept = ~fresh
                 merged[ragged(start[kept], counts[kept])] = base["edges"][ragged(base["start"][kept], base["counts"][kept])]
-            log_width = np.log(np.maximum(width, 1e-300))
             log_p = segment_sums(log_width, self.offsets)
             running = np.concatenate([[0.0], np.cumsum(log_width)])
             before = running[:-1] - running[self.offsets[self.text]]
             rest = 1.0 - width
             if s:
                 # At the unit of departure the paths of the parents are left out as well.
-                for lows, widths in self._excluded(trees, parent, best, at):
+                for _, widths, _ in self._excluded(trees, parent, best, at):
                     rest[at] -= widths
             open_ = fresh & (rest > 1e-15) & live[self.text]
             value = np.full(total, -np.inf)
             e = -np.log(uniform(row_keys[open_], 1, s, self.place[open_]))
             phi = before[open_] + np.log(rest[open_])
             value[open_] = phi - np.log(np.exp(np.minimum(phi - gumbel[self.text[open_]], 700)) + e)
-            trees.append({"low": low, "width": width, "counts": counts, "edges": merged, "start": start, "value": value, "from": (parent.copy(), best.copy())})
+            trees.append({"low": low, "width": width, "log_width": log_width, "counts": counts, "edges": merged, "start": start, "value": value, "from": (parent.copy(), best.copy())})
             out.append((live.copy(), merged, start, counts, log_p, gumbel.copy()))
             # The best set left over all samples so far.
             top, parent, best = np.full(n, -np.inf), np.full(n, -1), np.full(n, -1)
@@ -295,6 +344,47 @@ class Search:
             live, gumbel = top > -np.inf, top
         return out, gumbel
 
+    def _draw(self, at: np.ndarray, u: np.ndarray, row_keys: np.ndarray, s: int, turn: int = 0) -> Paths:
+        """Paths for the units `at`; `turn` sets draws apart that are done again."""
+
+        def again(some: np.ndarray, step: int) -> np.ndarray:
+            keys = mix64(row_keys[at[some]] + np.uint64((step << 32) + turn))
+            return uniform(keys, 0, s, self.place[at[some]])
+
+        return draw(self.lattice, self.units[at], u, again)
+
+    def _redraw(self, trees: list[dict], parent: np.ndarray, best: np.ndarray, fresh: np.ndarray, at: np.ndarray, paths: Paths, row_keys: np.ndarray, s: int) -> None:
+        """Draw again, in `paths`, where a path without an interval is one that its set leaves out."""
+        found = self._excluded(trees, parent, best, at)
+        own = np.searchsorted(fresh, at)  # places of the units of departure among the drawn ones
+        turn = 0
+        while True:
+            start = np.cumsum(paths.counts) - paths.counts
+            same = []
+            for lows, _, who in found:
+                for j, tree in enumerate(trees):
+                    near = np.flatnonzero((who == j) & (lows == 2.0) & (tree["log_width"][at] == paths.log_width[own]))
+                    for k in near.tolist():
+                        a, b, n = start[own[k]], tree["start"][at[k]], tree["counts"][at[k]]
+                        if n == paths.counts[own[k]] and np.array_equal(paths.edges[a : a + n], tree["edges"][b : b + n]):
+                            same.append(k)
+            if not same:
+                return
+            turn += 1
+            k = np.unique(same)
+            u = uniform(mix64(row_keys[at[k]] + np.uint64(turn)), 0, s, self.place[at[k]])
+            new = self._draw(at[k], self._skip(trees, parent, best, at[k], u), row_keys, s, turn)
+            redrawn = np.zeros(len(paths.counts), dtype=bool)
+            redrawn[own[k]] = True
+            counts = paths.counts.copy()
+            counts[own[k]] = new.counts
+            edges = np.empty(int(counts.sum()), dtype=np.int64)
+            first = np.cumsum(counts) - counts
+            edges[ragged(first[own[k]], new.counts)] = new.edges
+            edges[ragged(first[~redrawn], counts[~redrawn])] = paths.edges[ragged(start[~redrawn], counts[~redrawn])]
+            paths.edges, paths.counts = edges, counts
+            paths.low[own[k]], paths.width[own[k]], paths.log_width[own[k]] = new.low, new.width, new.log_width
+
     def _inherit(self, trees: list[dict], parent: np.ndarray, best: np.ndarray, live: np.ndarray) -> dict:
         """Each text's parent sample, in one table."""
         if len(trees) == 1:
@@ -307,10 +397,10 @@ class Search:
         for j, tree in enumerate(trees):
             at = np.flatnonzero(own == j)
             edges[ragged(start[at], counts[at])] = tree["edges"][ragged(tree["start"][at], tree["counts"][at])]
-        return {"low": pick("low"), "width": pick("width"), "counts": counts, "start": start, "edges": edges}
+        return {"low": pick("low"), "width": pick("width"), "log_width": pick("log_width"), "counts": counts, "start": start, "edges": edges}
 
     def _excluded(self, trees: list[dict], parent: np.ndarray, best: np.ndarray, at: np.ndarray) -> list[tuple]:
-        """Intervals that the set at each unit of departure leaves out, one list entry per ancestor."""
+        """Intervals that the set at each unit of departure leaves out, and whose they are (-1: none), per ancestor."""
         text = self.text[at]
         now, found = parent[text], []
         for _ in trees:
@@ -323,14 +413,15 @@ class Search:
                 before, place = tree["from"]
                 same = place[text[own]] == best[text[own]]
                 older[own] = np.where(same, before[text[own]], -1)
-            found.append((lows, widths))
+            found.append((lows, widths, now))
             now = older
         return found
 
     def _skip(self, trees: list[dict], parent: np.ndarray, best: np.ndarray, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Numbers spread over what the excluded intervals leave."""
         found = self._excluded(trees, parent, best, at)
-        lows, widths = np.stack([x for x, _ in found]), np.stack([x for _, x in found])
+        lows, widths = np.stack([x[0] for x in found]), np.stack([x[1] for x in found])
+        widths = np.where(lows < 2.0, widths, 0.0)
         order = np.argsort(lows, axis=0)
         lows, widths = np.take_along_axis(lows, order, 0), np.take_along_axis(widths, order, 0)
         u = u * np.maximum(1.0 - widths.sum(axis=0), 0.0)
@@ -374,7 +465,7 @@ def by_spaces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield part
 
 
-def split_units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def split_units(texts: pa.Array, vocabulary: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct units, the number of each text's units in turn, and how many each text has.
 
     Texts in which each space stands alone between words are cut at the spaces; one that is
@@ -391,12 +482,13 @@ def split_units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         counts = np.array([len(x) for x in found], dtype=np.int64)
         codes = np.array([number.setdefault(u, len(number)) for x in found for u in x], dtype=np.int64)
         units = list(number)
-    sizes = -(-np.array([len(u) for u in units], dtype=np.int64) // LONGEST)
+    cut = [(u,) if len(u) <= vocabulary.longest else vocabulary.pieces_of_unit(u) for u in units]
+    sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
     if len(units) and sizes.max() > 1:
         text = np.repeat(np.arange(len(counts)), counts)
         counts = np.bincount(text, sizes[codes], len(counts)).astype(np.int64)
         codes = ragged((np.cumsum(sizes) - sizes)[codes], sizes[codes])
-        units = [u[a : a + LONGEST] for u in units for a in range(0, len(u), LONGEST)]
+        units = [part for parts in cut for part in parts]
     return units, codes, counts
 
 
