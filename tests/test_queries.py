@@ -47,5 +47,11 @@ def test_query_matches_sql(spark, duck, name):
     )
 
 
+def test_every_event_is_emitted(spark, duck):
+    rows = QUERIES["event_emit_all"](spark, SF_DIR)
+    assert rows.select("type").distinct().count() == 7
+    assert rows.count() == duck.execute("SELECT count(*) FROM events").fetchone()[0]
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0

@@ -35,6 +35,33 @@ query(
     ).where("type <> 'finding-upserted'")
 )
 
+# All seven variants; `event_emit` leaves the upserted findings out.
+query(
+    "event_emit_all",
+    over_events(
+        "SELECT log_id, type, md5(event) AS text_md5 FROM (SELECT log_id, type, "
+        "'{\"v\":1,\"type\":\"' || type || '\",\"datasetVersion\":\"star-1\",\"at\":\"' || " + iso("ts") + " || '\"' || "
+        "CASE type WHEN 'finding-upserted' THEN ',\"finding\":{\"id\":\"' || id1 || '\",\"cve\":\"CVE-2024-' "
+        "|| lpad(CAST(user_id AS VARCHAR), 5, '0') || '\",\"severity\":\"' || CASE WHEN value > 50 THEN 'high' ELSE 'low' END "
+        "|| '\",\"cvss\":' || CAST(round(value / 100, 1) AS VARCHAR) || ',\"status\":\"open\",\"packageName\":\"pkg-' || user_id "
+        "|| '\",\"packageVersion\":\"1.0\",\"group\":\"events\",\"repo\":\"stream\",\"image\":\"registry.example/stream:1\"' "
+        "|| ',\"kaiStatus\":' || CASE WHEN value > 20 THEN '\"reviewed\"' ELSE 'null' END "
+        "|| ',\"publishedAt\":\"' || " + iso("ts") + " || '\"}' "
+        "WHEN 'finding-deleted' THEN ',\"id\":\"' || id1 || '\"' "
+        "WHEN 'findings-changed' THEN ',\"ids\":[\"' || id1 || '\",\"' || id2 || '\"]' "
+        "WHEN 'aggregates-invalidated' THEN CASE WHEN value < 50 THEN ',\"scopes\":[\"facets\"]' "
+        "ELSE ',\"scopes\":[\"findings\",\"overview\"]' END "
+        "WHEN 'export-ready' THEN ',\"jobId\":\"job-' || event_id || '\"' ELSE '' END || '}' AS event "
+        "FROM ev)"
+    ),
+)(
+    lambda spark, d: events.encode(star_events.events_of(spark, d)).select(
+        "log_id",
+        F.get_json_object("event", "$.type").alias("type"),
+        F.md5("event").alias("text_md5"),
+    )
+)
+
 _BROKEN = """
 checked AS (SELECT *, CASE
     WHEN value > 150 THEN 'unsupported version'
