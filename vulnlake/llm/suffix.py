@@ -26,7 +26,7 @@ One text must fit a task's memory about 30 times over.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,9 @@ SAMPLE_KEY, SUFFIX_KEY = 6, 8
 #: Positions hashed at once, so that the arrays stay in a core's cache.
 STRIDE = 1 << 15
 
+#: Keys that a block sends to a bucket.
+KEY_ROWS = "block long, bucket int, keys binary"
+
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -188,24 +191,15 @@ class Texts:
         return np.cumsum(change[:-1]) > 0
 
 
-def sort_buckets(rows: DataFrame, width: int) -> DataFrame:
-    """Sort the keys of one bucket at a time: (block, bucket, bits), a bit for each key seen again."""
+def judge_buckets(rows: DataFrame, judge: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
+    """Judge the keys of one bucket at a time: (block, bucket, bits), a bit for each key.
+
+    `judge` gets the keys that each block sent to the bucket and gives a truth value a key.
+    """
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
 
     def answer(bucket: int, blocks: list[int], parts: list[bytes]) -> pa.RecordBatch:
-        keys = []
-        for part in parts:
-            wide = np.zeros((len(part) // width, 8), dtype=np.uint8)
-            wide[:, :width] = np.frombuffer(part, dtype=np.uint8).reshape(width, -1).T
-            keys.append(wide.view(">u8").ravel().astype(np.uint64))
-        ends = np.cumsum([len(k) for k in keys])
-        keys = np.concatenate(keys)
-        order = np.argsort(keys, kind="stable")
-        same = keys[order[1:]] == keys[order[:-1]]
-        again = np.zeros(len(keys), dtype=bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-        bits = [np.packbits(x, bitorder="little").tobytes() for x in np.split(again, ends[:-1])]
+        bits = [np.packbits(x, bitorder="little").tobytes() for x in judge(parts)]
         columns = [pa.array(blocks), pa.array([bucket] * len(blocks), type=pa.int32()), pa.array(bits, type=pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "bits"])
 
@@ -225,30 +219,70 @@ def sort_buckets(rows: DataFrame, width: int) -> DataFrame:
     return map_batches(dealt, run, "block long, bucket int, bits binary")
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Rows (rest, n_bytes, n_removed, n_spans, kept) for every row of `docs`.
+def sort_buckets(rows: DataFrame, width: int) -> DataFrame:
+    """Sort the keys of one bucket at a time; a key's bit tells whether it is seen again."""
 
-    `rest` is a struct of the columns other than the text, `kept` the remaining bytes.
+    def judge(parts: list[bytes]) -> list[np.ndarray]:
+        keys = []
+        for part in parts:
+            wide = np.zeros((len(part) // width, 8), dtype=np.uint8)
+            wide[:, :width] = np.frombuffer(part, dtype=np.uint8).reshape(width, -1).T
+            keys.append(wide.view(">u8").ravel().astype(np.uint64))
+        ends = np.cumsum([len(k) for k in keys])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        same = keys[order[1:]] == keys[order[:-1]]
+        again = np.zeros(len(keys), dtype=bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        return np.split(again, ends[:-1])
+
+    return judge_buckets(rows, judge)
+
+
+def key_rows(rows: Iterator[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """A batch of rows of the schema `KEY_ROWS`."""
+    block, bucket, keys = zip(*rows)
+    columns = [pa.array(block), pa.array(bucket, type=pa.int32()), pa.array(keys, type=pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "keys"])
+
+
+def answers(judged: DataFrame, column: str) -> DataFrame:
+    """All answers of a block in one row (block, `column`), written once."""
+    listed = _written(judged, column).groupBy("block")
+    return listed.agg(F.collect_list(F.struct("bucket", "bits")).alias(column)).hint("shuffle_hash")
+
+
+def stored_blocks(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """Written blocks of the texts, bucketed by block number, and how many key buckets suit them.
+
+    Only a catalog table can be bucketed. It is dropped at once: the frame holds on to
+    its files and to their bucketing, and they go with the other scratch files.
     """
-    if width < PERIOD:
-        raise ValueError(f"width must be {PERIOD} at least")
     spark = docs.sparkSession
-    made = make_blocks(docs, text_col)
-    item = made.schema["rest"].dataType.elementType
     name = f"llm_blocks_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = make_blocks(docs, text_col)
     writer = made.write.format("parquet").option("compression", "zstd").bucketBy(parts, "block")
     writer.option("path", scratch_path(spark, "blocks")).saveAsTable(name)
-    blocks = spark.table(name)
-    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda total, x: total + x)
-    total = blocks.agg(F.sum(size)).first()[0] or 0
-    buckets = total // BUCKET_BYTES + 1
-    sent = "block long, bucket int, keys binary"
+    try:
+        blocks = spark.table(name)
+        size = F.aggregate("sizes", F.lit(0).cast("long"), lambda total, x: total + x)
+        total = blocks.agg(F.sum(size)).first()[0] or 0
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return blocks, total // BUCKET_BYTES + 1
 
-    def gather(rows: Iterator[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        block, bucket, keys = zip(*rows)
-        columns = [pa.array(block), pa.array(bucket, type=pa.int32()), pa.array(keys, type=pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "keys"])
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """Rows (rest, n_bytes, n_removed, n_spans, kept) for every row of `docs`.
+
+    `rest` is a struct of the columns other than the text, `kept` the remaining bytes.
+    """
+    if width < PERIOD:
+        raise ValueError(f"width must be {PERIOD} at least")
+    blocks, buckets = stored_blocks(docs, text_col)
+    item = blocks.schema["rest"].dataType.elementType
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Texts]]:
         for batch in batches:
@@ -260,13 +294,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH)
         for row, texts in each(batches):
             _, keys = texts.samples()
             if len(keys.distinct):
-                yield gather(keys.rows(row["block"].as_py(), SAMPLE_KEY))
+                yield key_rows(keys.rows(row["block"].as_py(), SAMPLE_KEY))
 
     def send_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, texts in each(batches):
             _, keys = texts.suffixes(row["samples"].as_py())
             if len(keys.distinct):
-                yield gather(keys.rows(row["block"].as_py(), SUFFIX_KEY))
+                yield key_rows(keys.rows(row["block"].as_py(), SUFFIX_KEY))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, texts in each(batches):
@@ -286,15 +320,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH)
             ]
             yield pa.RecordBatch.from_arrays(columns, ["rest", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    def answers(rows: DataFrame, column: str) -> DataFrame:
-        listed = rows.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(column))
-        return listed.hint("shuffle_hash")
-
-    samples = map_batches(blocks.select("block", "sizes", "data"), send_samples, sent)
-    samples = answers(_written(sort_buckets(samples, SAMPLE_KEY), "samples"), "samples")
-    known = blocks.join(samples, "block", "left")
-    suffixes = map_batches(known.select("block", "sizes", "data", "samples"), send_suffixes, sent)
-    suffixes = answers(_written(sort_buckets(suffixes, SUFFIX_KEY), "suffixes"), "suffixes")
+    samples = map_batches(blocks.select("block", "sizes", "data"), send_samples, KEY_ROWS)
+    known = blocks.join(answers(sort_buckets(samples, SAMPLE_KEY), "samples"), "block", "left")
+    suffixes = map_batches(known.select("block", "sizes", "data", "samples"), send_suffixes, KEY_ROWS)
+    suffixes = answers(sort_buckets(suffixes, SUFFIX_KEY), "suffixes")
     schema = T.StructType(
         [
             T.StructField("rest", item),
