@@ -7,6 +7,7 @@ from vulnlake.llm.packing import op6_best_fit_packing
 from vulnlake.llm.personal import op9_personal_data
 from vulnlake.llm.quality import op7_quality_classifier
 from vulnlake.llm.segmentation import op10_sampled_segmentation
+from vulnlake.llm.structure import op12_structure_repair
 from vulnlake.llm.simhash import op5_simhash_dedup
 from vulnlake.llm.suffix import op2_suffix_array_dedup
 from vulnlake.llm.toxicity import op1_toxicity
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_hamming_topk": hamming.op8_hamming_topk,
     "op9_personal_data": op9_personal_data,
     "op10_sampled_segmentation": op10_sampled_segmentation,
+    "op12_structure_repair": op12_structure_repair,
     "op13_phrase_automata": phrases.op13_phrase_automata,
 }
 
