@@ -283,7 +283,8 @@ RESULT = (
 )
 
 
-ORDER: list[Column] = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+def in_order() -> list[Column]:
+    return [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
 
 
 def repair_conversations(rows: DataFrame, held: int = HELD) -> DataFrame:
@@ -293,7 +294,7 @@ def repair_conversations(rows: DataFrame, held: int = HELD) -> DataFrame:
     conversation exists.
     """
     rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", "gone")
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", *ORDER)
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", *in_order())
     names = [part.split()[0] for part in RESULT.split(", ")]
     schema = pa.schema([(n, pa.string() if n in ("audit", "repaired_sha256") else pa.int64()) for n in names])
 
@@ -331,7 +332,7 @@ def hash_long(rows: DataFrame, long: DataFrame) -> DataFrame:
     ids = long.select(F.col("conv_id").alias("c"))
     asked = rows.where("NOT gone").join(ids, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
     both = audits.unionByName(asked.select("conv_id", F.lit(1).alias("kind"), "turn", "role", "text"))
-    dealt = both.repartition("conv_id").sortWithinPartitions("conv_id", "kind", *ORDER)
+    dealt = both.repartition("conv_id").sortWithinPartitions("conv_id", "kind", *in_order())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, conv = None, None
