@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators and their SQL."""
 
-from vulnlake.llm import hamming, phrases
+from vulnlake.llm import hamming, phrases, trie
 from vulnlake.llm.embeddings import op3_embedding_dedup
 from vulnlake.llm.licenses import op4_license_scan
 from vulnlake.llm.packing import op6_best_fit_packing
@@ -23,8 +23,13 @@ QUERIES = {
     "op8_hamming_topk": hamming.op8_hamming_topk,
     "op9_personal_data": op9_personal_data,
     "op10_sampled_segmentation": op10_sampled_segmentation,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_structure_repair": op12_structure_repair,
     "op13_phrase_automata": phrases.op13_phrase_automata,
 }
 
-ORACLES = {"op8_hamming_topk": hamming.ORACLE, "op13_phrase_automata": phrases.ORACLE}
+ORACLES = {
+    "op8_hamming_topk": hamming.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
+    "op13_phrase_automata": phrases.ORACLE,
+}
