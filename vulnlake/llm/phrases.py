@@ -98,12 +98,13 @@ class Passages:
         self.starts = np.flatnonzero(room & self.known[self.doc])
 
     def anchors(self) -> tuple[np.ndarray, Keys]:
-        """For each window the number of its run of equal least grams, and a key per run."""
+        """For each window the number of its run of equal least grams in its document, and a key per run."""
         if not len(self.starts):
             return self.starts, Keys(np.zeros(0, dtype=np.uint64), self.buckets)
         grams = chained(self.lanes[self.codes, 0], np.arange(len(self.codes) - GRAM + 1), GRAM)
         low = window_minima(grams, self.window - GRAM + 1)[self.starts]
-        first = np.append(True, low[1:] != low[:-1])
+        doc = self.doc[self.starts]
+        first = np.append(True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))
         return np.cumsum(first) - 1, Keys(low[first], self.buckets)
 
     def phrases(self, seen: list[dict] | None) -> Phrases:
