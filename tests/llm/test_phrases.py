@@ -56,6 +56,7 @@ def test_matches_a_plain_version(spark, window):
 
 def test_many_small_automata_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(phrases, "PHRASES", 7)
+    monkeypatch.setattr(phrases, "SIGNS", 2)
     monkeypatch.setattr("vulnlake.llm.suffix.BLOCK_BYTES", 500)
     monkeypatch.setattr("vulnlake.llm.suffix.BUCKET_BYTES", 2000)
     check(spark, shared(3, 60))

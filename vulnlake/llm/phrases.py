@@ -7,11 +7,11 @@
    128-bit key, which tells each block whether a smaller id holds the window elsewhere.
 2. Compile. The confirmed phrases of a block, each taken once, become Aho-Corasick automata
    (pyahocorasick) of at most `PHRASES` phrases, so that a block of copies needs no more
-   memory than any other. An automaton reads words as pairs of signs from two disjoint
-   alphabets, which keeps its nodes narrow and its matches on word boundaries.
+   memory than any other. An automaton reads each word as one of `SIGNS` signs, which keeps
+   its nodes narrow; of phrases spelled alike, each gets into an automaton of its own.
 3. Stream. All words of the block's documents run through each of its automata, which
-   locate every occurrence; an occurrence goes if its document's id is larger than the
-   smallest one that holds the phrase.
+   locate every occurrence; those whose words are the phrase's own count. An occurrence goes
+   if its document's id is larger than the smallest one that holds the phrase.
 
 A common phrase is one key per block, whatever its number of occurrences, and no text
 travels: blocks lie in a written table bucketed by block number. Keys chain a cryptographic
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -51,8 +52,8 @@ from vulnlake.llm.suffix import (
 )
 
 WINDOW, GRAM = 13, 5
-#: Phrases in one automaton.
-PHRASES = 1 << 15
+#: Phrases in one automaton, and signs for words.
+PHRASES, SIGNS = 1 << 17, 256
 #: Bytes of a window's key with the least id that holds it.
 PHRASE_KEY = 24
 
@@ -95,7 +96,8 @@ class Passages:
         self.lanes = np.frombuffer(digests, dtype="<u8").reshape(-1, 2).astype(np.uint64)
         room = np.arange(len(self.codes)) + window <= self.offsets[1:][self.doc]
         #: Where windows start whose document has an id.
-        self.starts = np.flatnonzero(room & self.known[self.doc])
+        self.here = room & self.known[self.doc]
+        self.starts = np.flatnonzero(self.here)
 
     def anchors(self) -> tuple[np.ndarray, Keys]:
         """For each window the number of its run of equal least grams in its document, and a key per run."""
@@ -118,34 +120,42 @@ class Passages:
         phrases = self.phrases(seen)
         places, least, elsewhere = phrases.confirmed(smaller)
         change = np.zeros(len(self.codes) + 1, dtype=np.int32)
-        for at in range(0, len(places), PHRASES):
-            part = slice(at, at + PHRASES)
-            starts, which = self.located(places[part])
-            later = self.ids[self.doc[starts]] > least[part][which]
-            starts = starts[elsewhere[part][which] | later]
+        while len(places):
+            automaton, inside = self.compiled(places)
+            starts, which = self.located(automaton, places)
+            later = self.ids[self.doc[starts]] > least[which]
+            starts = starts[elsewhere[which] | later]
             np.add.at(change, starts, 1)
             np.add.at(change, starts + self.window, -1)
+            places, least, elsewhere = places[~inside], least[~inside], elsewhere[~inside]
         return np.cumsum(change[:-1]) > 0
 
-    def located(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every occurrence in the block of the phrases at some places: its start, its phrase."""
-        spelled = self.codes[places[:, None] + np.arange(self.window)]
-        vocabulary, numbers = np.unique(spelled, return_inverse=True)
-        number = np.zeros(len(self.words), dtype=np.int64)  # 0: in no phrase
-        number[vocabulary] = np.arange(1, len(vocabulary) + 1)
-        base = int(np.sqrt(len(vocabulary) + 1)) + 1
+    @cached_property
+    def signs(self) -> str:
+        """One sign for each word of the block."""
+        return (self.codes % SIGNS).astype(np.uint8).tobytes().decode("latin-1")
+
+    def compiled(self, places: np.ndarray) -> tuple[ahocorasick.Automaton, np.ndarray]:
+        """An automaton of the phrases at some places, as many as it takes, and which those are."""
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        text = _signs(numbers.ravel() + 1, base)
-        width = 2 * self.window
-        for k in range(len(places)):
-            automaton.add_word(text[k * width : (k + 1) * width], k)
+        text, window = self.signs, self.window
+        inside = np.zeros(len(places), dtype=bool)
+        for k, place in enumerate(places[:PHRASES].tolist()):
+            phrase = text[place : place + window]
+            if phrase not in automaton:
+                automaton.add_word(phrase, k)
+                inside[k] = True
         automaton.make_automaton()
-        stream = _signs(number[self.codes], base)
-        hits = np.array(list(automaton.iter(stream)), dtype=np.int64).reshape(-1, 2)
-        starts = (hits[:, 0] + 1) // 2 - self.window
-        here = np.zeros(len(self.codes), dtype=bool)
-        here[self.starts] = True  # not across documents
-        return starts[here[starts]], hits[here[starts], 1]
+        return automaton, inside
+
+    def located(self, automaton: ahocorasick.Automaton, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every occurrence in the block of an automaton's phrases: its start, the number of its phrase."""
+        hits = np.fromiter((end << 32 | k for end, k in automaton.iter(self.signs)), dtype=np.int64)
+        starts, which = (hits >> 32) + 1 - self.window, hits & 0xFFFFFFFF
+        same = self.here[starts]  # not across documents
+        for k in range(self.window):
+            same &= self.codes[starts + k] == self.codes[places[which] + k]
+        return starts[same], which[same]
 
     def kept(self, gone: np.ndarray) -> pa.Array:
         """The words left of each document, joined by one space."""
@@ -154,14 +164,6 @@ class Passages:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words), " ")
 
 
-def _signs(numbers: np.ndarray, base: int) -> str:
-    """Two signs a number, the first and the second from alphabets of their own."""
-    out = np.empty(2 * len(numbers), dtype="<u4")
-    # Code points from U+10000 on are all valid.
-    out[0::2], out[1::2] = 0x10000 + numbers // base, 0x10000 + base + 1 + numbers % base
-    return out.tobytes().decode("utf-32-le")
-
-
 class Phrases:
     """Distinct windows of a block, in the order of their keys."""
 
