@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from vulnlake.functions.values import private_hosts
 from vulnlake.operators.versions import ContractViolation
-from vulnlake.plans.ingest import ingest
+from vulnlake.plans.ingest import ingest, source_log
 from vulnlake.sources import corpus, tables
+from vulnlake.streaming.changes import FindingsTable
 
 NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
 
@@ -123,15 +124,17 @@ def test_ingest_end_to_end(spark, folder, tmp_path):
         "batchesWritten": 2, "sourceRowsWritten": 4, "currentFindings": 3,
         "rowsAsExpected": True, "findingsAsExpected": True, "corruptDocuments": 0,
     }
-    current = tables.read_current(spark, f"{root}/current")
+    findings = FindingsTable.open(spark, root, "v1")
+    current = findings.current()
     # The two CVE-2 records share an identity; the later one wins.
     assert current.where("cve = 'CVE-2'").first().status == "newer"
     assert current.where("cve = 'CVE-1'").first().publishedAt == datetime(2024, 1, 2, 3, 4, 5)
-    assert tables.read_events(spark, f"{root}/events").count() == 1
+    assert findings.events().count() == 1
     with pytest.raises(tables.TableNotEmpty):
         ingest(read, root, "v1", NOW)
     ingest(read, root, "v1", NOW, replace=True)
-    assert tables.read_log(spark, f"{root}/log", "v1").count() == 4
+    assert source_log(spark, root, "v1").count() == 4
+    assert FindingsTable.open(spark, root, "v1").events().count() == 2
     with pytest.raises(ContractViolation):
         ingest(read, str(tmp_path / "other"), "v1", NOW, expected_rows=5)
     empty = corpus.parse_documents(spark.createDataFrame([("{}",)], "t string"), "t")

@@ -181,7 +181,7 @@ def test_unreadable_documents_are_counted_and_refused(spark, tmp_path):
         ingest(read, str(tmp_path / "no"), "v1", NOW)
     told = ingest(read, str(tmp_path / "yes"), "v1", NOW, allow_corrupt=True).first()
     assert (told.corruptDocuments, told.sourceRowsWritten) == (1, 3)
-    found = tables.read_current(spark, str(tmp_path / "yes" / "current"))
+    found = st.FindingsTable.open(spark, str(tmp_path / "yes"), "v1").current()
     assert {r.cve for r in found.collect()} == {"A", "B", "C"}
 
 
@@ -193,5 +193,5 @@ def test_the_later_file_wins_whatever_its_size(spark, tmp_path, longer):
         filler = [{"cve": f"F{k}"} for k in range(400 if name == longer else 1)]
         (folder / f"{name}.json").write_text(json.dumps(report({"cve": "A", "status": name}, *filler)))
     ingest(corpus.read_source(spark, str(folder)), str(tmp_path / "t"), "v1", NOW, batch_rows=5)
-    current = tables.read_current(spark, str(tmp_path / "t" / "current"))
+    current = st.FindingsTable.open(spark, str(tmp_path / "t"), "v1").current()
     assert current.where("cve = 'A'").first().status == "b"

@@ -348,13 +348,17 @@ def change_events(upserts: DataFrame, deletes: DataFrame, dataset_version: str,
     return written.unionByName(removed)
 
 
-def version_changed_event(frame: DataFrame, dataset_version: str, now: datetime) -> DataFrame:
-    """The one terminal event of an initial load."""
+def version_changed_event(frame: DataFrame, dataset_version: str, now: datetime,
+                          last_event: tuple[int, int] | None = None) -> DataFrame:
+    """The one terminal event of an initial load; its id follows `last_event`."""
     at = F.lit(utc(now))
+    ms, seq = int(utc(now).timestamp() * 1000), 0
+    if last_event is not None and last_event[0] >= ms:
+        ms, seq = last_event[0], last_event[1] + 1
     return frame.sparkSession.range(1).select(
         *blank_event(
-            ms=F.unix_millis(at),
-            seq=F.lit(0),
+            ms=F.lit(ms).cast("long"),
+            seq=F.lit(seq),
             type=F.lit("dataset-version-changed"),
             datasetVersion=F.lit(dataset_version),
             at=at,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,10 @@ class TableNotEmpty(RuntimeError):
     """An initial load met existing findings."""
 
 
+class ConcurrentLoad(RuntimeError):
+    """Another load was published after this one began."""
+
+
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
@@ -49,43 +56,156 @@ def move(spark: SparkSession, path: str, target: str) -> None:
         raise OSError(f"cannot rename {path} to {target}")
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file in one step; false when it is already there.
+
+    Of several writers one succeeds. A writer that dies between creating the file and
+    filling it leaves it empty, which readers take for no file.
+    """
+    system, hadoop_path = _file_system(spark, path)
+    if system.getScheme() == "file":
+        system.mkdirs(hadoop_path.getParent())
+        try:
+            with open(hadoop_path.toUri().getPath(), "x", encoding="utf-8") as file:
+                file.write(text)
+        except FileExistsError:
+            return False
+        return True
+    if system.exists(hadoop_path):
+        return False
+    try:
+        stream = system.create(hadoop_path, False)
+    except Exception:
+        if system.exists(hadoop_path):  # another writer was first
+            return False
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file; empty when there is none."""
+    system, hadoop_path = _file_system(spark, path)
+    if not system.exists(hadoop_path):
+        return ""
+    stream = system.open(hadoop_path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+class Generations:
+    """Whole contents of a root, of which the newest published one counts.
+
+    `generation/<name>` holds a content, `commits/<n>` names the dataset version and the
+    content that commit n made current. A load fills a generation that nobody reads, checks
+    it, and publishes it by creating the next commit. So readers see all of a load or none
+    of it, a refused or crashed load changes nothing, and of two loads that began on the same
+    commit one is refused.
+    """
+
+    #: Published contents of a dataset version that are kept, for readers of the one before.
+    KEPT = 2
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _commits(self) -> list[tuple[int, dict]]:
+        """Commits from the newest to the oldest; unfinished ones name nothing."""
+        names = children(self.spark, f"{self.root}/commits")
+        numbers = sorted((int(n) for n in names if n.isdigit()), reverse=True)
+        read = ((n, read_small(self.spark, f"{self.root}/commits/{n}")) for n in numbers)
+        return [(n, json.loads(text) if text else {}) for n, text in read]
+
+    def published(self, dataset_version: str) -> str | None:
+        """Folder of the content that counts, if there is one."""
+        for _, commit in self._commits():
+            if commit.get("datasetVersion") == dataset_version:
+                return f"{self.root}/generation/{commit['generation']}"
+        return None
+
+    def begin(self) -> str:
+        """A fresh folder for a load that begins on the newest commit."""
+        newest = max((n for n, _ in self._commits()), default=0)
+        return f"{self.root}/generation/{newest}-{uuid.uuid4().hex}"
+
+    def publish(self, folder: str, dataset_version: str) -> None:
+        """Make a folder of `begin` the content of a dataset version."""
+        name = folder.rsplit("/", 1)[1]
+        number = int(name.split("-")[0]) + 1
+        text = json.dumps({"generation": name, "datasetVersion": dataset_version})
+        if not put_if_absent(self.spark, f"{self.root}/commits/{number}", text):
+            raise ConcurrentLoad(f"commit {number} of {self.root} was made by another load")
+        self._sweep()
+
+    def discard(self, folder: str) -> None:
+        remove(self.spark, folder)
+
+    def _sweep(self) -> None:
+        """Delete contents that no reader needs: replaced ones and those that can never be published."""
+        commits = self._commits()
+        kept: dict[str, list[str]] = {}
+        for _, commit in commits:
+            if commit and len(kept.setdefault(commit["datasetVersion"], [])) < self.KEPT:
+                kept[commit["datasetVersion"]].append(commit["generation"])
+        needed = {name for names in kept.values() for name in names}
+        for name in children(self.spark, f"{self.root}/generation"):
+            if name not in needed and int(name.split("-")[0]) < commits[0][0]:
+                self.discard(f"{self.root}/generation/{name}")
+
+
 def load_initial(rows: DataFrame, path: str, dataset_version: str, replace: bool = False) -> None:
     """First load of the version log; refuses a log with current findings unless replacing.
 
-    A load without rows empties the version: an overwrite alone keeps partitions
-    that it writes no row to.
+    The new log counts in one step once it is whole; a load that is refused or fails leaves
+    the old one as it was. A load without rows empties the version.
     """
     spark = rows.sparkSession
-    if exists(spark, path):
-        log = read_log(spark, path, dataset_version)
-        if not replace and not collapse_current(log).isEmpty():
+    generations = Generations(spark, path)
+    folder = generations.begin()
+    if not replace and generations.published(dataset_version):
+        if not collapse_current(read_log(spark, path, dataset_version)).isEmpty():
             raise TableNotEmpty("findings already exist; replace them explicitly")
-        if not log.isEmpty() and rows.isEmpty():
-            catalog = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog
-            names = catalog.ExternalCatalogUtils
-            remove(spark, f"{path}/{names.getPartitionPathString('dataset_version', dataset_version)}")
-    write_log(rows, path, dataset_version, "overwrite")
+    try:
+        _write_version(rows, folder, dataset_version)
+        generations.publish(folder, dataset_version)
+    except BaseException:
+        generations.discard(folder)
+        raise
 
 
-def write_log(rows: DataFrame, path: str, dataset_version: str, mode: str = "append") -> None:
+def write_log(rows: DataFrame, path: str, dataset_version: str) -> None:
     """Add log rows to one dataset version."""
+    generations = Generations(rows.sparkSession, path)
+    folder = generations.published(dataset_version)
+    if folder is None:
+        load_initial(rows, path, dataset_version)
+    else:
+        _write_version(rows, folder, dataset_version)
+
+
+def _write_version(rows: DataFrame, folder: str, dataset_version: str) -> None:
     (
         rows.select(*fields.LOG_COLUMNS)
         .withColumn("dataset_version", F.lit(dataset_version))
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("append")
         .partitionBy("dataset_version")
-        .parquet(path)
+        .parquet(folder)
     )
 
 
 def read_log(spark: SparkSession, path: str, dataset_version: str) -> DataFrame:
+    folder = Generations(spark, path).published(dataset_version)
+    if folder is None:
+        return spark.createDataFrame([], fields.LOG_SCHEMA)
     schema = T.StructType(
         list(fields.LOG_SCHEMA.fields) + [T.StructField("dataset_version", T.StringType())]
     )
     return (
         spark.read.schema(schema)
-        .parquet(path)
+        .parquet(folder)
         .where(F.col("dataset_version") == dataset_version)
         .drop("dataset_version")
     )

@@ -24,6 +24,7 @@ from vulnlake.operators.versions import (
 )
 from vulnlake.session import scratch_scope, write_out
 from vulnlake.sources.tables import (
+    Generations,
     children,
     exists,
     read_current,
@@ -94,14 +95,40 @@ class FindingsTable:
             if n.isdigit() and exists(self.spark, f"{self.root}/{kind}/{n}/_SUCCESS")
         )
 
-    def create(self, current: DataFrame) -> None:
-        """Batch 0: the findings of an initial load and its one event."""
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, dataset_version: str, **settings) -> FindingsTable:
+        """The table that the newest load below `root` published."""
+        folder = Generations(spark, root).published(dataset_version)
+        if folder is None:
+            raise FileNotFoundError(f"no load of {dataset_version} below {root}")
+        return cls(spark, folder, dataset_version, **settings)
+
+    def create(self, current: DataFrame, now: datetime | None = None,
+               replaced: FindingsTable | None = None) -> None:
+        """Batch 0: the findings of an initial load and its one event.
+
+        Events, stamps and ids go on from those of a table that is `replaced`.
+        """
         write_current(current, f"{self.root}/snapshot/0")
+        state = replaced._state() if replaced else {"stamp": 0, "event": None}
         event = ev.version_changed_event(
-            current, self.dataset_version, datetime.now(timezone.utc)
+            current, self.dataset_version, now or datetime.now(timezone.utc),
+            tuple(state["event"]) if state["event"] else None,
         )
-        write_events(ev.encode(event), f"{self.root}/events/0", "overwrite")
-        self._write_state(0, {"streams": {}}, read_current(self.spark, f"{self.root}/snapshot/0"))
+        entries = ev.encode(event)
+        if replaced:
+            # As many as the event log keeps at most.
+            ms, seq = ev.log_id_parts(F.col("log_id"))
+            before = replaced.events().select("log_id", "event", ms.alias("ms"), seq.alias("seq"))
+            kept = ev.retain_last(before, ev.RETAINED_EVENTS - 1)
+            entries = entries.select("log_id", "event").unionByName(kept.select("log_id", "event"))
+        write_events(entries, f"{self.root}/events/0", "overwrite")
+        state = {"streams": {}, "stamp": state["stamp"], "event": state["event"]}
+        self._write_state(0, state, read_current(self.spark, f"{self.root}/snapshot/0"))
+
+    def last_stamp(self) -> int:
+        """The highest stamp given to a row, in milliseconds."""
+        return self._state()["stamp"]
 
     def _state(self, before: int | None = None) -> dict:
         """The newest state, or the newest before a batch."""
