@@ -195,3 +195,72 @@ def test_the_later_file_wins_whatever_its_size(spark, tmp_path, longer):
     ingest(corpus.read_source(spark, str(folder)), str(tmp_path / "t"), "v1", NOW, batch_rows=5)
     current = st.FindingsTable.open(spark, str(tmp_path / "t"), "v1").current()
     assert current.where("cve = 'A'").first().status == "b"
+
+
+def content(folder):
+    """Every file below a folder with its bytes."""
+    return {str(f.relative_to(folder)): f.read_bytes() for f in sorted(folder.rglob("*")) if f.is_file()}
+
+
+class Killed(BaseException):
+    """The driver is gone."""
+
+
+STEPS = ["source", "snapshot", "events", "state", "commit"]
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_a_load_that_dies_changes_nothing(spark, tmp_path, monkeypatch, step):
+    folder, root = tmp_path / "in", tmp_path / "lake"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(report({"cve": "A"}, {"cve": "B"})))
+    read = corpus.read_source(spark, str(folder))
+    ingest(read, str(root), "v1", NOW)
+    (folder / "b.json").write_text(json.dumps(report({"cve": "C"})))
+    published = tables.Generations(spark, str(root)).published("v1")
+    before = content(tmp_path / published.removeprefix(f"{tmp_path}/"))
+
+    def dies(*args, **kwargs):
+        raise Killed
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables.Generations, "discard", lambda *args: None)  # a dead driver tidies nothing
+        target = {
+            "source": (st.FindingsTable, "create"),
+            "snapshot": (st, "write_events"),
+            "events": (st.FindingsTable, "_write_state"),
+            "state": (tables, "ingest_report"),
+            "commit": (tables, "put_if_absent"),
+        }[step]
+        patch.setattr(*target, dies)
+        with pytest.raises(Killed):
+            ingest(corpus.read_source(spark, str(folder)), str(root), "v1", NOW, replace=True)
+    assert tables.Generations(spark, str(root)).published("v1") == published
+    assert content(tmp_path / published.removeprefix(f"{tmp_path}/")) == before
+    told = ingest(corpus.read_source(spark, str(folder)), str(root), "v1", NOW, replace=True).first()
+    assert told.currentFindings == 3
+    loaded = st.FindingsTable.open(spark, str(root), "v1")
+    ids = sorted(r.log_id for r in loaded.events().collect())
+    assert len(ids) == len(set(ids)) == 2 and loaded.last_stamp() > NOW.timestamp() * 1000
+    generations = tables.children(spark, f"{root}/generation")
+    assert len(generations) == 2  # the dead load's folder is gone as well
+
+
+def test_of_two_loads_at_once_one_is_refused(spark, log_rows, tmp_path):
+    one, two = (tables.Generations(spark, str(tmp_path)) for _ in range(2))
+    first, second = one.begin(), two.begin()
+    one.publish(first, "v1")
+    with pytest.raises(tables.ConcurrentLoad):
+        two.publish(second, "v1")
+    assert two.published("v1") == first and two.published("v2") is None
+    assert not tables.put_if_absent(spark, f"{tmp_path}/commits/1", "x")
+
+
+def test_a_loaded_table_takes_changes(spark, tmp_path, source_rows):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(report({"cve": "A"}, {"cve": "B"})))
+    ingest(corpus.read_source(spark, str(folder)), str(tmp_path / "lake"), "v1", NOW)
+    findings = st.FindingsTable.open(spark, str(tmp_path / "lake"), "v1")
+    findings.apply(change_rows(source_rows, [{"cve": "new"}]), 1, NOW)
+    assert {r.cve for r in st.FindingsTable.open(spark, str(tmp_path / "lake"), "v1").current().collect()} == {"A", "B", "new"}

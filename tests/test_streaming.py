@@ -143,3 +143,56 @@ def test_windows_are_final_after_the_watermark(spark, tmp_path):
     rows = spark.read.parquet(*[str(p) for p in (tmp_path / "out").iterdir()])
     assert sorted((r.window_start.second, r.events, r.open) for r in rows.collect()) == [
         (0, 3, True), (10, 1, False)]
+
+
+def windowed(spark, tmp_path, emit, *files, **settings):
+    """Entries given as lists of (second, number), one file and one trigger after another."""
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    base = {"v": 1, "datasetVersion": "v1", "type": "finding-deleted"}
+    for rows in files:
+        entries = [
+            (f"{1000 * s}-{n}", json.dumps({**base, "at": f"2024-01-01T00:{s // 60:02d}:{s % 60:02d}Z", "id": f"{n:032x}"}))
+            for s, n in rows
+        ]
+        write_events(spark.createDataFrame(entries, "log_id string, event string").coalesce(1), log)
+        emit(stream_events(spark, log), out, str(tmp_path / "checkpoint"), "v1", **settings).awaitTermination()
+    return out
+
+
+def test_a_burst_window_over_two_files_is_one(spark, tmp_path):
+    out = windowed(
+        spark, tmp_path, st.stream_coalesce, [(1, n) for n in range(80)], [(2, n) for n in range(80, 160)], [(60, 999)],
+        width="10 seconds", delay="5 seconds",
+    )
+    rows = spark.read.parquet(f"{out}/events/*").orderBy("ord").collect()
+    assert [r.type for r in rows] == ["aggregates-invalidated", "findings-changed"]
+    assert len(rows[1].ids) == 160
+    st.drain_windows(spark, out, lambda held: ev.coalesce(held, "10 seconds"))
+    assert [r.id for r in spark.read.parquet(f"{out}/events/drained").collect()] == [f"{999:032x}"]
+
+
+def test_late_events_are_rejected_and_none_is_lost(spark, tmp_path):
+    files = [[(1, 1), (12, 2)], [(30, 3), (3, 4)], [(4, 5), (29, 6), (31, 7)], [(100, 8), (11, 9)]]
+    out = windowed(spark, tmp_path, st.stream_window_counts, *files, width="10 seconds", delay="5 seconds")
+    st.drain_windows(spark, out, lambda held: ev.window_load(held, "10 seconds"))
+    load = {r.window_start.minute * 60 + r.window_start.second: r.events for r in spark.read.parquet(f"{out}/events/*").collect()}
+    late = spark.read.parquet(f"{out}/rejected/*").collect()
+    # The mark stands at 12 when 3 arrives, at 30 when 4 and 29 arrive, at 31 when 11 arrives.
+    assert load == {0: 2, 10: 1, 20: 1, 30: 2, 100: 1}
+    assert sorted((r.log_id, r.reason) for r in late) == [("11000-9", "late"), ("4000-5", "late")]
+
+
+def test_a_repeated_trigger_starts_from_the_one_before(spark, tmp_path, monkeypatch):
+    files = [[(1, n) for n in range(3)], [(2, n) for n in range(3, 6)]]
+    windowed(spark, tmp_path, st.stream_window_counts, files[0], width="10 seconds")
+    real = st.write_small
+
+    def broken(*args):
+        raise RuntimeError("lost before the mark")
+
+    monkeypatch.setattr(st, "write_small", broken)
+    with pytest.raises(Exception, match="lost before the mark"):
+        windowed(spark, tmp_path, st.stream_window_counts, files[1], width="10 seconds")
+    monkeypatch.setattr(st, "write_small", real)
+    out = windowed(spark, tmp_path, st.stream_window_counts, [(90, 9)], width="10 seconds")
+    assert [r.events for r in spark.read.parquet(f"{out}/events/*").collect()] == [6]

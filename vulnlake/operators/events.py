@@ -166,8 +166,8 @@ def _text_list(values: Column) -> Column:
     return F.when(all_text, F.transform(values, plain_text))
 
 
-def _checked(entries: DataFrame, dataset_version: str | None) -> DataFrame:
-    """Entries (log_id, event) with parsed columns and the first broken rule."""
+def checked_events(entries: DataFrame, dataset_version: str | None) -> DataFrame:
+    """Entries (log_id, event) with event columns and the first broken rule, `reason`."""
     ms, seq = log_id_parts(F.col("log_id"))
     # A generator stops filters from moving down and repeating the work below it.
     parsed = entries.select(
@@ -283,13 +283,13 @@ def _checked(entries: DataFrame, dataset_version: str | None) -> DataFrame:
 
 def valid_events(entries: DataFrame, dataset_version: str | None = None) -> DataFrame:
     """Validated event rows; unknown keys are dropped."""
-    return _checked(entries, dataset_version).where("reason IS NULL").select(*EVENT_COLUMNS)
+    return checked_events(entries, dataset_version).where("reason IS NULL").select(*EVENT_COLUMNS)
 
 
 def rejected_events(entries: DataFrame, dataset_version: str | None = None) -> DataFrame:
     """(log_id, event, reason) of entries that break a rule."""
     return (
-        _checked(entries, dataset_version)
+        checked_events(entries, dataset_version)
         .where("reason IS NOT NULL")
         .select("log_id", "event", "reason")
     )
@@ -352,9 +352,7 @@ def version_changed_event(frame: DataFrame, dataset_version: str, now: datetime,
                           last_event: tuple[int, int] | None = None) -> DataFrame:
     """The one terminal event of an initial load; its id follows `last_event`."""
     at = F.lit(utc(now))
-    ms, seq = int(utc(now).timestamp() * 1000), 0
-    if last_event is not None and last_event[0] >= ms:
-        ms, seq = last_event[0], last_event[1] + 1
+    ms, seq = next_id(now, last_event)
     return frame.sparkSession.range(1).select(
         *blank_event(
             ms=F.lit(ms).cast("long"),

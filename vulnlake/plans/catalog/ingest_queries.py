@@ -9,10 +9,12 @@ from vulnlake import fields
 from vulnlake.functions import values as fv
 from vulnlake.operators import events, versions
 from vulnlake.plans.catalog.registry import NOW, NOW_MS, on_current, query
+from vulnlake.plans.ingest import ingest
 from vulnlake.plans.relations import iso, over_findings
 from vulnlake.session import scratch_path
 from vulnlake.sources import corpus, star_events, tables
 from vulnlake.sources.star_schema import DATASET_VERSION, current_findings, findings_log, table
+from vulnlake.streaming.changes import FindingsTable
 
 _STAMPED_FINDINGS = (
     "numbered AS (SELECT *, row_number() OVER (ORDER BY \"group\", repo, image, cve, \"packageName\", "
@@ -164,6 +166,42 @@ def _empty_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "load_refused",
+    over_findings(
+        "SELECT severity, count(*) AS findings, round(sum(cvss), 4) AS cvss_sum, 1::BIGINT AS events, "
+        "'kept populated unreadable unexpected' AS refusals FROM findings GROUP BY severity"
+    ),
+)
+def _load_refused(spark: SparkSession, d: str) -> DataFrame:
+    """A load and three refused ones that would replace it: its rows and events stay."""
+    root = scratch_path(spark, "lake")
+    texts = star_events.report_documents(current_findings(spark, d)).select("text")
+    # Cut short, a tenth of the reports is not JSON.
+    cut = F.when(F.crc32("text") % 10 == 0, F.substring("text", 1, 40)).otherwise(F.col("text"))
+    whole = corpus.parse_documents(texts, "text")
+    broken = corpus.parse_documents(texts.select(cut.alias("text")), "text")
+    ingest(whole, root, DATASET_VERSION, NOW)
+    asked = {
+        "populated": lambda: ingest(whole, root, DATASET_VERSION, NOW),
+        "unreadable": lambda: ingest(broken, root, DATASET_VERSION, NOW, replace=True),
+        "unexpected": lambda: ingest(whole.limit(5), root, DATASET_VERSION, NOW, replace=True, expected_rows=1),
+    }
+    refusals = ["kept"]
+    for name, load in asked.items():
+        try:
+            load()
+        except (tables.TableNotEmpty, versions.ContractViolation):
+            refusals.append(name)
+    findings = FindingsTable.open(spark, root, DATASET_VERSION)
+    return (
+        findings.current()
+        .groupBy("severity")
+        .agg(F.count("*").alias("findings"), F.round(F.sum("cvss"), 4).alias("cvss_sum"))
+        .select("*", F.lit(findings.events().count()).alias("events"), F.lit(" ".join(refusals)).alias("refusals"))
+    )
+
+
 def flattened(current: DataFrame) -> DataFrame:
     return corpus.flatten_source(
         corpus.parse_documents(star_events.report_documents(current), "text")

@@ -84,6 +84,14 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, over one that is there."""
+    system, hadoop_path = _file_system(spark, path)
+    stream = system.create(hadoop_path, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
 def read_small(spark: SparkSession, path: str) -> str:
     """The text of a small file; empty when there is none."""
     system, hadoop_path = _file_system(spark, path)

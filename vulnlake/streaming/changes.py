@@ -29,9 +29,11 @@ from vulnlake.sources.tables import (
     exists,
     read_current,
     read_events,
+    read_small,
     remove,
     write_current,
     write_events,
+    write_small,
 )
 
 #: States of batches kept for repeats.
@@ -291,28 +293,141 @@ def refresh_views(table: FindingsTable, emitted: DataFrame, number: int,
 
 def stream_coalesce(entries: DataFrame, out: str, checkpoint: str,
                     dataset_version: str | None = None, width: str | None = None,
-                    threshold: int = ev.COALESCE_THRESHOLD,
+                    threshold: int = ev.COALESCE_THRESHOLD, delay: str = "10 seconds",
                     trigger: dict | None = None) -> StreamingQuery:
     """Validate and coalesce a stream of (log_id, event) entries.
 
     With `width=None` each micro-batch is one window: the entries that arrived
     since the last trigger, so a 250 ms processing-time trigger collects for
-    250 ms. With a width, windows tumble over the event time inside each
-    micro-batch. Invalid entries go to `rejected/<n>` below `out`.
+    250 ms. With a width, windows tumble over the event time, whatever the
+    triggers; a window goes to `events/<n>` of the batch that closes it (see
+    `stream_windows`). Invalid and late entries go to `rejected/<n>` below `out`.
     """
+    if width is not None:
+        return stream_windows(
+            entries, out, checkpoint, lambda rows: ev.coalesce(rows, width, threshold),
+            width, dataset_version, delay, trigger,
+        )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         with scratch_scope(batch.sparkSession):
-            batch = write_out(batch, "entries")
-            valid = ev.valid_events(batch, dataset_version)
-            merged = ev.coalesce(valid, width, threshold)
+            checked = write_out(ev.checked_events(batch, dataset_version), "entries")
+            merged = ev.coalesce(_valid(checked), None, threshold)
             merged.write.mode("overwrite").parquet(f"{out}/events/{batch_id}")
-            ev.rejected_events(batch, dataset_version).write.mode("overwrite").parquet(
+            _rejected(checked).write.mode("overwrite").parquet(f"{out}/rejected/{batch_id}")
+
+    return _each_batch(entries, checkpoint, handle, trigger)
+
+
+def stream_window_counts(entries: DataFrame, out: str, checkpoint: str,
+                         dataset_version: str | None = None, width: str = ev.COALESCE_WINDOW,
+                         threshold: int = ev.COALESCE_THRESHOLD, delay: str = "10 seconds",
+                         trigger: dict | None = None) -> StreamingQuery:
+    """Load per event-time window in `events/<n>`, late and invalid entries in `rejected/<n>`.
+
+    Each entry is counted in its window or rejected, never both and never neither.
+    """
+    return stream_windows(
+        entries, out, checkpoint, lambda rows: ev.window_load(rows, width, threshold),
+        width, dataset_version, delay, trigger,
+    )
+
+
+def stream_windows(entries: DataFrame, out: str, checkpoint: str,
+                   emit: Callable[[DataFrame], DataFrame], width: str,
+                   dataset_version: str | None = None, delay: str = "10 seconds",
+                   trigger: dict | None = None) -> StreamingQuery:
+    """Hand whole event-time windows of a stream of (log_id, event) entries to `emit`.
+
+    The stream's high-water mark is the newest `at` of its valid entries; what is `delay`
+    older closes. Events of open windows wait in `held/<n>`, so a window that triggers cut
+    is emitted once, whole, by the batch whose mark closes it. Entries of windows that were
+    closed before their batch go to `rejected/<n>` as late. The mark after batch n is kept
+    in `mark/<n>`; a repeated batch starts from what the batch before it left and
+    overwrites its own folders. `drain_windows` emits what waits when the stream has ended.
+    """
+    spark = entries.sparkSession
+    patience = _micros(spark, delay)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(spark):
+            checked = write_out(ev.checked_events(batch, dataset_version), "entries")
+            before = _mark(spark, out, batch_id)
+            valid = checked.where("reason IS NULL")
+            newest = valid.agg(F.max(F.unix_micros("at")).alias("at")).first().at
+            mark = max((m for m in (before, newest) if m is not None), default=None)
+            end = F.unix_micros(F.window("at", width).getField("end"))
+            late = valid.where(end <= before - patience) if before is not None else valid.limit(0)
+            fresh = valid.where(end > before - patience) if before is not None else valid
+            waiting = fresh.select(*ev.EVENT_COLUMNS)
+            held = _held(spark, out, batch_id)
+            if held is not None:
+                waiting = waiting.unionByName(held)
+            # Read by both the closed and the open windows.
+            waiting = write_out(waiting, "waiting")
+            closed = end <= mark - patience if mark is not None else F.lit(False)
+            emit(waiting.where(closed)).write.mode("overwrite").parquet(f"{out}/events/{batch_id}")
+            told = late.select("log_id", "event", F.lit("late").alias("reason"))
+            _rejected(checked).unionByName(told).write.mode("overwrite").parquet(
                 f"{out}/rejected/{batch_id}"
             )
+            waiting.where(~closed).write.mode("overwrite").parquet(f"{out}/held/{batch_id}")
+            write_small(spark, f"{out}/mark/{batch_id}", "" if mark is None else str(mark))
+            for n in _batches(spark, out, "held", batch_id)[:-1]:
+                remove(spark, f"{out}/held/{n}")
+                remove(spark, f"{out}/mark/{n}")
+
+    return _each_batch(entries, checkpoint, handle, trigger)
+
+
+def drain_windows(spark: SparkSession, out: str, emit: Callable[[DataFrame], DataFrame]) -> None:
+    """Emit the windows of an ended stream that still wait, to `events/drained`.
 
+    The stream must not go on after it: its next batch would emit them again.
+    """
+    held = _held(spark, out, None)
+    if held is not None:
+        emit(held).write.mode("overwrite").parquet(f"{out}/events/drained")
+
+
+def _valid(checked: DataFrame) -> DataFrame:
+    return checked.where("reason IS NULL").select(*ev.EVENT_COLUMNS)
+
+
+def _rejected(checked: DataFrame) -> DataFrame:
+    return checked.where("reason IS NOT NULL").select("log_id", "event", "reason")
+
+
+def _micros(spark: SparkSession, interval: str) -> int:
+    epoch = F.timestamp_micros(F.lit(0))
+    later = epoch + F.expr(f"INTERVAL '{interval}'")
+    return spark.range(1).select(F.unix_micros(later).alias("n")).first().n
+
+
+def _batches(spark: SparkSession, out: str, kind: str, before: int | None) -> list[int]:
+    """Numbers of finished folders, those before a batch if one is given."""
+    numbers = sorted(int(n) for n in children(spark, f"{out}/{kind}") if n.isdigit())
+    return [n for n in numbers if before is None or n < before]
+
+
+def _mark(spark: SparkSession, out: str, batch_id: int) -> int | None:
+    numbers = _batches(spark, out, "mark", batch_id)
+    text = read_small(spark, f"{out}/mark/{numbers[-1]}") if numbers else ""
+    return int(text) if text else None
+
+
+def _held(spark: SparkSession, out: str, batch_id: int | None) -> DataFrame | None:
+    """Events that wait after the batch before; a batch counts once its mark is written."""
+    numbers = _batches(spark, out, "mark", batch_id)
+    if not numbers:
+        return None
+    return spark.read.schema(ev.EVENT_SCHEMA).parquet(f"{out}/held/{numbers[-1]}")
+
+
+def _each_batch(rows: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None],
+                trigger: dict | None) -> StreamingQuery:
     return (
-        entries.writeStream.option("checkpointLocation", checkpoint)
+        rows.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(handle)
         .start()
@@ -325,7 +440,8 @@ def stream_window_load(entries: DataFrame, dataset_version: str | None = None,
     """Streaming load per event-time window, to watch for bursts.
 
     A window is final once events `delay` newer have arrived; append output
-    gives it then, update output gives its counts as they grow.
+    gives it then, update output gives its counts as they grow. Later events are
+    dropped; `stream_window_counts` keeps them apart instead.
     """
     valid = ev.valid_events(entries, dataset_version).withWatermark("at", delay)
     return ev.window_load(valid, width, threshold)
