@@ -159,6 +159,31 @@ def test_suffix_dedup_matches_a_plain_version(spark, monkeypatch):
     assert sum(r[2] for r in got) > 5000
 
 
+def crafted(swapped):
+    """200 bytes whose sum of byte values times powers of a fixed base once equalled the other's."""
+    signs = [bin(k).count("1") % 2 for k in range(64)]
+    text = bytearray(b"z" * 200)
+    for start, pair in ((0, (111, 118)), (64, (102, 100)), (129, (51, 56))):
+        text[start : start + 64] = bytes(pair[s ^ swapped] for s in signs)
+    return text.decode()
+
+
+def test_crafted_texts_do_not_collide(spark):
+    one, two = crafted(0), crafted(1)
+    out = suffix.remove_repeats(documents(spark, [(1, one), (2, two), (3, "q" + one)]))
+    assert sorted((r["rest"]["doc_id"], r["n_removed"]) for r in out.collect()) == [(1, 200), (2, 0), (3, 200)]
+    # Neither do sums of other shapes under any secret: blocks of letters that swap in this order.
+    for secret in (0, 1, 2**125 - 1):
+        heads = suffix.Heads(200, secret)
+        for size in (1, 2, 4, 7, 8, 9, 12, 16, 25):
+            order = [bin(k).count("1") % 2 for k in range(200 // size)]
+            both = []
+            for swapped in (0, 1):
+                text = "".join(("a" if s ^ swapped else "b") * size for s in order).ljust(200, "c").encode()
+                both.append(int(heads.at(np.frombuffer(text, dtype=np.uint8), np.array([0]))[0]))
+            assert both[0] != both[1]
+
+
 def test_suffix_dedup_edges(spark):
     docs = documents(spark, EDGES)
     kept = suffix.dedup_texts(docs)

@@ -9,7 +9,9 @@ the length of a string that counts as repeated, v the period of a difference cov
    A suffix without a tied sample rank within v positions therefore ties with no other.
 2. Suffix buckets: the suffixes left are dealt into buckets and sorted one bucket at a
    time. Only ties of W bytes are asked for, so a suffix is sorted by a 64-bit
-   fingerprint of its first W bytes; neighbours with equal keys are repeats.
+   fingerprint of its first W bytes; neighbours with equal keys are repeats. The
+   fingerprint depends on a secret of the call, so no text can be made to collide; by
+   chance n different strings hold about n * n / 2^65 equal pairs.
 3. Each text removes the bytes that its repeated suffixes cover over W bytes.
 
 Texts lie in a written table of blocks that is bucketed by block number, so that the
@@ -25,6 +27,7 @@ One text must fit a task's memory about 30 times over.
 
 from __future__ import annotations
 
+import secrets
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,14 +48,14 @@ PERIOD, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20
 #: Bytes of a key that are sent: sample ranks may be coarse, fingerprints are whole.
 SAMPLE_KEY, SUFFIX_KEY = 6, 8
+#: Bytes that are mixed before they are summed.
+GRAM = 8
 #: Positions hashed at once, so that the arrays stay in a core's cache.
 STRIDE = 1 << 15
 
 #: Keys that a block sends to a bucket.
 KEY_ROWS = "block long, bucket int, keys binary"
 
-_BASE = 0x9E3779B97F4A7C15
-
 
 def make_blocks(docs: DataFrame, text_col: str) -> DataFrame:
     """Rows (block, rest, sizes, data): whole texts end to end with their other columns."""
@@ -90,15 +93,30 @@ def make_blocks(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 class Heads:
-    """Hashes of fixed-length strings at positions of a block, for one width."""
+    """Hashes of fixed-length strings at positions of a block, for one width.
+
+    Every overlapping run of `GRAM` bytes is first mixed with a secret that is drawn anew
+    for each call of the operator, and a string's hash is a sum of its runs' values times
+    powers of an odd base that is secret too. Sums of plain bytes would let texts be chosen
+    that collide under every base.
+    """
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, width: int, secret: int):
+        self.width, self.secret = width, np.uint64(secret & 0xFFFFFFFFFFFFFFFF)
+        base = (secret >> 64 << 3 | 5) & 0xFFFFFFFFFFFFFFFF
         n = STRIDE + width + 1
-        up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+        up, down = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
         self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        self.value = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+
+    def runs(self, part: np.ndarray) -> np.ndarray:
+        """A value for the `GRAM` bytes from each place at which so many follow."""
+        runs, bits = part.astype(np.uint64), 8
+        while bits < 8 * GRAM:
+            step = bits // 8
+            runs = runs[:-step] | runs[step:] << np.uint64(bits)
+            bits *= 2
+        return mix64(runs ^ self.secret)
 
     def at(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The hash of `width` bytes from each of the ascending places."""
@@ -108,11 +126,11 @@ class Heads:
             if a == b:
                 continue
             start = k * STRIDE
-            part = data[start : start + STRIDE + self.width]
-            total = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum(self.value[part] * self.up[: len(part)], out=total[1:])
+            values = self.runs(data[start : start + STRIDE + self.width])
+            total = np.zeros(len(values) + 1, dtype=np.uint64)
+            np.cumsum(values * self.up[: len(values)], out=total[1:])
             near = places[a:b] - start
-            out[a:b] = (total[near + self.width] - total[near]) * self.down[near]
+            out[a:b] = (total[near + self.width - GRAM + 1] - total[near]) * self.down[near]
         return mix64(out)
 
 
@@ -152,11 +170,11 @@ class Keys:
 class Texts:
     """A block's bytes with the places at which suffixes are sampled and compared."""
 
-    def __init__(self, data: bytes, sizes: list[int], width: int, buckets: int):
+    def __init__(self, data: bytes, sizes: list[int], width: int, buckets: int, secret: int):
         self.data = np.frombuffer(data, dtype=np.uint8)
         self.sizes = np.array(sizes, dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.width, self.buckets = width, buckets
+        self.width, self.buckets, self.secret = width, buckets, secret
 
     def room(self, places: np.ndarray, width: int) -> np.ndarray:
         """Whether `width` bytes from each place lie in one text."""
@@ -169,7 +187,7 @@ class Texts:
         places = places[places < len(self.data)]
         depth = self.width - PERIOD + 1
         places = places[self.room(places, depth)]
-        return places, Keys(Heads(depth).at(self.data, places), self.buckets)
+        return places, Keys(Heads(depth, self.secret).at(self.data, places), self.buckets)
 
     def suffixes(self, answers: list[dict] | None) -> tuple[np.ndarray, Keys]:
         """Places whose suffix has a tied sample within the period, with their keys."""
@@ -179,7 +197,7 @@ class Texts:
         np.cumsum(tied, out=tied)
         starts = np.flatnonzero(tied[PERIOD:-1] > tied[: len(self.data)])
         starts = starts[self.room(starts, self.width)]
-        return starts, Keys(Heads(self.width).at(self.data, starts), self.buckets)
+        return starts, Keys(Heads(self.width, self.secret).at(self.data, starts), self.buckets)
 
     def removed(self, samples: list[dict] | None, suffixes: list[dict] | None) -> np.ndarray:
         """Which bytes a repeated suffix covers."""
@@ -283,12 +301,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = WIDTH)
         raise ValueError(f"width must be {PERIOD} at least")
     blocks, buckets = stored_blocks(docs, text_col)
     item = blocks.schema["rest"].dataType.elementType
+    secret = secrets.randbits(125)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Texts]]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
-                yield row, Texts(row["data"].as_buffer(), row["sizes"].as_py(), width, buckets)
+                yield row, Texts(row["data"].as_buffer(), row["sizes"].as_py(), width, buckets, secret)
 
     def send_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, texts in each(batches):
