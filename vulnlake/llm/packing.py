@@ -18,25 +18,32 @@ go to the earlier pattern; the same input rows in the same partitions give the s
 from __future__ import annotations
 
 import json
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vulnlake.llm.common import map_batches, ragged, table, words_of
+from vulnlake.llm.common import map_batches, ragged, sliced, table, words_of
+from vulnlake.llm.merges import LONGEST, Merges
 from vulnlake.session import write_out
 
 LENGTH, SEPARATOR = 2048, 0
+#: Latin-1 letters and digits, by their code points.
+_JOINED = np.array([chr(k).isalnum() for k in range(256)])
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a task remembers, and words it encodes in one call.
+#: Distinct parts of words whose ids a task remembers, and words it encodes in one call.
 REMEMBERED, AT_ONCE = 1 << 18, 4096
+#: Bytes of texts whose ids are made at once.
+SLICE_BYTES = 4 << 20
 #: Signs that may part words; the first that is one token does.
 PARTING = ("`", "^", "~", "|")
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 6, 3, 6, 4
@@ -44,58 +51,89 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION = 6, 3, 6, 4
 Bins = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
-def parted(word: str) -> tuple[str, str]:
-    """A word and the stops after it, which are tokens of their own behind a letter or digit."""
-    if not word.isascii():
-        return word, ""
-    word = word.lower()
-    head = word.rstrip(".,!?")
-    return (head, word[len(head) :]) if head and head[-1].isalnum() else (word, "")
+def parted(words: pa.LargeStringArray) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+    """Heads and tails of words: signs behind a letter or digit are tokens of their own.
+
+    Words of Latin-1 signs are lower-cased, which keeps their bytes in number, and cut
+    before the ASCII punctuation at their end; other words stay as they are and have an
+    empty tail, as do words that may spell a special token.
+    """
+    size = len(words)
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + size + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    span = data[ends[0] : ends[-1]]
+    odd = np.flatnonzero((span >= 0xC4) | np.append((span[:-1] == 0x3C) & (span[1:] == 0x7C), False)[: len(span)]) + ends[0]
+    whole = np.zeros(size, dtype=bool)
+    whole[np.searchsorted(ends, odd, side="right") - 1] = True
+    heads = pc.ascii_rtrim(pc.utf8_lower(words), characters=string.punctuation)
+    lengths = np.asarray(pc.binary_length(heads), dtype=np.int64)
+    final = ends[:-1] + lengths - 1  # of the head's last byte
+    last, before = (data[np.maximum(final - k, 0)].astype(np.int64) for k in (0, 1))
+    point = np.where(last < 0x80, last, (before & 0x1F) << 6 | last & 0x3F)
+    whole |= (lengths == 0) | ~_JOINED[np.minimum(point, 255)]
+    heads = pc.if_else(pa.array(whole), words, heads)
+    cut = np.where(whole, 0, ends[1:] - final - 1)
+    bounds = np.concatenate([[0], np.cumsum(cut)])
+    bytes_ = np.ascontiguousarray(data[ragged(ends[1:] - cut, cut)])
+    tails = pa.LargeStringArray.from_buffers(size, pa.py_buffer(bounds), pa.py_buffer(bytes_))
+    return heads.dictionary_encode(), tails.dictionary_encode()
 
 
 class WordIds:
     """Token ids of words, by way of a remembered table of the words seen.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are
-    those of its words in turn. New words are encoded in one call, parted by a sign that
-    is one token; words that hold this sign or spell a special token are encoded alone.
+    those of its words in turn, and those of a word are those of its head and its tail. New
+    heads of Latin-1 letters are merged many at a time; other new parts are encoded in one
+    call, parted by a sign that is one token; parts that hold this sign or spell a special
+    token are encoded alone. Of a full table, what was seen in several batches stays.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tokenizer = Tokenizer.from_file(path)
         self.sign = next(c for c in PARTING if len(self.alone(c)) == 1)
         (self.sign_id,) = self.alone(self.sign)
+        self.merges = Merges.of(path, self.alone)
         self.remembered = remembered
-        self.forget()
-
-    def alone(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def forget(self) -> None:
-        self.place: dict[str, tuple[int, int]] = {}
         self.part: dict[str, int] = {"": 0}
         self.flat = np.full(1, SEPARATOR, dtype=np.uint32)
         self.lengths = np.array([0, 1], dtype=np.int64)  # part 0 has no ids, part 1 is the separator
+        self.used = np.zeros(2, dtype=np.int64)  # batches that hold a part
+
+    def alone(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words without the sign, end to end, and how many each has."""
         ids, lengths = [], []
         for at in range(0, len(words), AT_ONCE):
             joined = f" {self.sign} ".join(words[at : at + AT_ONCE])
-            some = np.array(self.alone(joined), dtype=np.uint32)
+            (coded,) = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
+            some = np.array(coded.ids, dtype=np.uint32)
             marks = np.flatnonzero(some == self.sign_id)
             ids.append(np.delete(some, marks))
             lengths.append(np.diff(np.concatenate([[-1], marks, [len(some)]])) - 1)
         return np.concatenate(ids), np.concatenate(lengths)
 
     def places(self, words: pa.Array) -> np.ndarray:
-        """Two remembered parts for each word: the stops at an ASCII word's end are one of their own."""
-        words = words.to_pylist()
-        if len(self.place) > self.remembered:
-            self.forget()
-        new = [w for w in words if w not in self.place]
-        halves = [parted(w) for w in new]
-        parts = [p for p in dict.fromkeys(x for h in halves for x in h) if p not in self.part]
+        """Two remembered parts for each word, its head and its tail."""
+        if len(self.part) > self.remembered:
+            self._forget()
+        halves = parted(words)
+        named = [half.dictionary.to_pylist() for half in halves]
+        self._learn([p for parts in named for p in parts if p not in self.part])
+        numbers = [np.fromiter(map(self.part.__getitem__, parts), dtype=np.int32, count=len(parts)) for parts in named]
+        for some in numbers:
+            self.used[some] += 1
+        return np.stack([some[np.asarray(half.indices)] for some, half in zip(numbers, halves)], axis=1)
+
+    def _learn(self, parts: list[str]) -> None:
+        parts = list(dict.fromkeys(parts))
+        if self.merges:
+            letters = [p for p in parts if p.isalpha() and max(p) < "\u0100" and len(p.encode()) <= LONGEST]
+            if letters:
+                self._remember(letters, *self.merges.encode(letters))
+                parts = [p for p in parts if p not in self.part]
         plain = [p for p in parts if "<|" not in p and self.sign not in p]
         if plain:
             self._remember(plain, *self.encode(plain))
@@ -103,15 +141,26 @@ class WordIds:
             if part not in self.part:
                 ids = self.alone(part)
                 self._remember([part], np.array(ids, dtype=np.uint32), np.array([len(ids)]))
-        part = self.part
-        self.place.update((w, (part[a], part[b])) for w, (a, b) in zip(new, halves))
-        return np.array([self.place[w] for w in words], dtype=np.int64).reshape(-1, 2)
 
     def _remember(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.lengths)
         self.part.update(zip(parts, range(first, first + len(parts))))
         self.flat = np.concatenate([self.flat, ids])
         self.lengths = np.concatenate([self.lengths, lengths])
+        self.used = np.concatenate([self.used, np.zeros(len(parts), dtype=np.int64)])
+
+    def _forget(self) -> None:
+        """Keep the parts seen in most batches, half a table at most."""
+        half = self.remembered // 2
+        least = 2 if len(self.used) <= half else max(2, int(np.partition(self.used, -half)[-half]) + 1)
+        stays = self.used >= least
+        stays[:2] = True
+        starts = np.cumsum(self.lengths) - self.lengths
+        number = np.cumsum(stays) - 1
+        self.flat = self.flat[ragged(starts[stays], self.lengths[stays])]
+        self.lengths, self.used = self.lengths[stays], self.used[stays]
+        kept, moved = stays.tolist(), number.tolist()
+        self.part = {p: moved[k] for p, k in self.part.items() if kept[k]}
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by the separator, and where each text starts."""
@@ -142,7 +191,7 @@ def pieces(
         words = WordIds(path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(length + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in sliced(batches, SLICE_BYTES):
             ids, starts = words.batch(batch.column(1))
             sizes = np.diff(starts)
             n = -(-sizes // length)
@@ -300,10 +349,10 @@ def pack_lengths(
     """
     if not counts:
         return []
-    elites = [best_fit(counts, length)] * islands
+    elites: list[Bins] = [[]] * islands  # islands begin with random packings of their own
     bound = -(-sum(k * n for k, n in counts.items()) // length)
     for epoch in range(epochs):
-        if min(cost(b, length)[0] for b in elites) <= bound:
+        if epoch and min(cost(b, length)[0] for b in elites) <= bound:
             break
         migrated = [(elites[k], elites[k - 1]) for k in range(islands)]
 
@@ -316,7 +365,8 @@ def pack_lengths(
         rows = spark.range(0, islands, 1, islands).mapInArrow(run, "island long, bins string").collect()
         for island, bins in rows:
             elites[island] = [(tuple(map(tuple, p)), n) for p, n in json.loads(bins)]
-    return min(elites, key=lambda b: cost(b, length))
+    # A plain packing counts only where it needs fewer bins than evolution found.
+    return min([*elites, best_fit(counts, length)], key=lambda b: cost(b, length)[0])
 
 
 def places(bins: Bins) -> dict[str, np.ndarray]:
