@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from test_streaming import change_rows, id_of
 from vulnlake.operators import events as ev
-from vulnlake.operators import export
+from vulnlake.operators import export, facets, maintained, overview
 from vulnlake.operators.versions import ContractViolation, collapse_current
 from vulnlake.session import scratch_path, scratch_scope
 from vulnlake.plans.ingest import ingest
@@ -67,7 +67,11 @@ def test_a_second_checkpoint_takes_its_own_numbers(spark, table, source_rows, tm
 def test_old_snapshots_and_logs_go(table, source_rows):
     for n in range(1, 8):
         table.apply(change_rows(source_rows, [{"cve": "a", "cvss": float(n)}]), n, NOW)
-    assert table._numbers("snapshot") == [4, 6] and min(table._numbers("log")) == 5
+    assert table._manifests() == [4, 6] and min(table._numbers("log")) == 5
+    # Only the bucket of "b" was never written again.
+    kept = tables.children(table.spark, f"{table.root}/snapshot/0")
+    assert len([c for c in kept if c.startswith("bucket=")]) == 1
+    assert table._numbers("snapshot") == [0, 4, 6]
     assert table.current().where("cve = 'a'").first().cvss == 7.0
 
 
@@ -206,16 +210,20 @@ class Killed(BaseException):
     """The driver is gone."""
 
 
-STEPS = ["source", "snapshot", "events", "state", "commit"]
+STEPS = {
+    "source": (st.FindingsTable, "create"),
+    "snapshot": (st, "write_events"),
+    "events": (st.FindingsTable, "_write_state"),
+    "state": (tables, "ingest_report"),
+    "commit": (tables, "put_if_absent"),
+}
 
 
-@pytest.mark.parametrize("step", STEPS)
-def test_a_load_that_dies_changes_nothing(spark, tmp_path, monkeypatch, step):
+def test_a_load_that_dies_after_any_step_changes_nothing(spark, tmp_path, monkeypatch):
     folder, root = tmp_path / "in", tmp_path / "lake"
     folder.mkdir()
     (folder / "a.json").write_text(json.dumps(report({"cve": "A"}, {"cve": "B"})))
-    read = corpus.read_source(spark, str(folder))
-    ingest(read, str(root), "v1", NOW)
+    ingest(corpus.read_source(spark, str(folder)), str(root), "v1", NOW)
     (folder / "b.json").write_text(json.dumps(report({"cve": "C"})))
     published = tables.Generations(spark, str(root)).published("v1")
     before = content(tmp_path / published.removeprefix(f"{tmp_path}/"))
@@ -223,27 +231,21 @@ def test_a_load_that_dies_changes_nothing(spark, tmp_path, monkeypatch, step):
     def dies(*args, **kwargs):
         raise Killed
 
-    with monkeypatch.context() as patch:
-        patch.setattr(tables.Generations, "discard", lambda *args: None)  # a dead driver tidies nothing
-        target = {
-            "source": (st.FindingsTable, "create"),
-            "snapshot": (st, "write_events"),
-            "events": (st.FindingsTable, "_write_state"),
-            "state": (tables, "ingest_report"),
-            "commit": (tables, "put_if_absent"),
-        }[step]
-        patch.setattr(*target, dies)
-        with pytest.raises(Killed):
-            ingest(corpus.read_source(spark, str(folder)), str(root), "v1", NOW, replace=True)
-    assert tables.Generations(spark, str(root)).published("v1") == published
-    assert content(tmp_path / published.removeprefix(f"{tmp_path}/")) == before
+    for step, target in STEPS.items():
+        with monkeypatch.context() as patch:
+            patch.setattr(tables.Generations, "discard", lambda *args: None)  # a dead driver tidies nothing
+            patch.setattr(*target, dies)
+            with pytest.raises(Killed):
+                ingest(corpus.read_source(spark, str(folder)), str(root), "v1", NOW, replace=True)
+        assert tables.Generations(spark, str(root)).published("v1") == published, step
+        assert content(tmp_path / published.removeprefix(f"{tmp_path}/")) == before, step
+    assert len(tables.children(spark, f"{root}/generation")) == 1 + len(STEPS)
     told = ingest(corpus.read_source(spark, str(folder)), str(root), "v1", NOW, replace=True).first()
     assert told.currentFindings == 3
     loaded = st.FindingsTable.open(spark, str(root), "v1")
     ids = sorted(r.log_id for r in loaded.events().collect())
     assert len(ids) == len(set(ids)) == 2 and loaded.last_stamp() > NOW.timestamp() * 1000
-    generations = tables.children(spark, f"{root}/generation")
-    assert len(generations) == 2  # the dead load's folder is gone as well
+    assert len(tables.children(spark, f"{root}/generation")) == 2  # dead loads' folders are gone as well
 
 
 def test_of_two_loads_at_once_one_is_refused(spark, log_rows, tmp_path):
@@ -264,3 +266,40 @@ def test_a_loaded_table_takes_changes(spark, tmp_path, source_rows):
     findings = st.FindingsTable.open(spark, str(tmp_path / "lake"), "v1")
     findings.apply(change_rows(source_rows, [{"cve": "new"}]), 1, NOW)
     assert {r.cve for r in st.FindingsTable.open(spark, str(tmp_path / "lake"), "v1").current().collect()} == {"A", "B", "new"}
+
+
+def test_a_batch_reads_only_the_buckets_it_names(spark, log_rows, source_rows, tmp_path):
+    made = st.FindingsTable(spark, str(tmp_path / "many"), "v1", snapshot_every=2, buckets=16)
+    made.create(collapse_current(log_rows(*({"cve": f"CVE-{k}", "ms": 5} for k in range(200)))))
+    whole = made.current()
+    assert len(made._manifest(0)[1]) == 16 and len(whole.inputFiles()) >= 16
+    id = id_of(made, "CVE-7")
+    asked = made.named(spark.createDataFrame([(id,)], "findingId string"))
+    bucket = f"bucket={int(id[:8], 16) % 16}/"
+    assert asked.inputFiles() and all(bucket in f for f in asked.inputFiles())
+    assert made.find(id).count() == 1 and made.find("0" * 32).count() == 0
+    state = {r.cve: r.cvss for r in whole.collect()}
+    for n, cve in enumerate(("CVE-7", "CVE-8", "new", "CVE-7", "CVE-9"), 1):
+        made.apply(change_rows(source_rows, [{"cve": cve, "cvss": float(n)}]), n, NOW)
+        state[cve] = float(n)
+        assert {r.cve: r.cvss for r in made.current().collect()} == state
+    assert len({n for n in made._manifest(4)[1].values()} - {0}) == 2  # the others lie where they lay
+
+
+def test_maintained_aggregates_equal_a_recompute(spark, log_rows, source_rows, tmp_path):
+    made = st.FindingsTable(spark, str(tmp_path / "counted"), "v1", snapshot_every=2, buckets=4, counts=True)
+    start = [{"cve": f"CVE-{k % 3}", "packageName": f"p{k}", "ms": 5, "riskFactors": ["Has fix"] * (k % 2)} for k in range(6)]
+    made.create(collapse_current(log_rows(*start)))
+    id = made.current().where("packageName = 'p0'").first().findingId
+    batches = [
+        ([{"cve": "CVE-0", "packageName": "p3", "cvss": 4.5, "status": "Fixed in 2", "kaiStatus": "x"}], [id]),
+        ([{"cve": "CVE-0", "packageName": "p0", "severity": "low"}, {"cve": "new", "packageName": "q"}], []),  # re-created
+        ([{"cve": "CVE-1", "packageName": "p1", "cvss": 9.0, "published": "2024-01-02"}], [id]),  # gone again
+        ([{"cve": "CVE-0", "packageName": "p0"}], [id]),  # created and deleted by one batch
+    ]
+    for n, (ups, gone) in enumerate(batches, 1):
+        for _ in range(2 if n == 2 else 1):  # a repeated batch counts once
+            made.apply(change_rows(source_rows, ups, gone), n, NOW)
+    assert set(map(tuple, made.cells().collect())) == set(map(tuple, maintained.cells(made.current()).collect()))
+    assert maintained.overview_core(made.cells()).collect() == overview.overview_core(made.current(), QuerySpec()).collect()
+    assert sorted(maintained.facets(made.cells()).collect()) == sorted(facets.facets(made.current(), QuerySpec()).collect())

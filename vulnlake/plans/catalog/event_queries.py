@@ -15,29 +15,7 @@ from vulnlake.session import scratch_path
 from vulnlake.sources import star_events, tables
 from vulnlake.sources.star_schema import DATASET_VERSION
 
-query(
-    "event_emit",
-    over_events(
-        "SELECT log_id, type, md5(event) AS text_md5 FROM (SELECT log_id, type, "
-        "'{\"v\":1,\"type\":\"' || type || '\",\"datasetVersion\":\"star-1\",\"at\":\"' || " + iso("ts") + " || '\"' || "
-        "CASE type WHEN 'finding-deleted' THEN ',\"id\":\"' || id1 || '\"' "
-        "WHEN 'findings-changed' THEN ',\"ids\":[\"' || id1 || '\",\"' || id2 || '\"]' "
-        "WHEN 'aggregates-invalidated' THEN CASE WHEN value < 50 THEN ',\"scopes\":[\"facets\"]' "
-        "ELSE ',\"scopes\":[\"findings\",\"overview\"]' END "
-        "WHEN 'export-ready' THEN ',\"jobId\":\"job-' || event_id || '\"' ELSE '' END || '}' AS event "
-        "FROM ev WHERE type <> 'finding-upserted')"
-    ),
-)(
-    lambda spark, d: events.encode(star_events.events_of(spark, d)).select(
-        "log_id",
-        F.get_json_object("event", "$.type").alias("type"),
-        F.md5("event").alias("text_md5"),
-    ).where("type <> 'finding-upserted'")
-)
-
-# All seven variants; `event_emit` leaves the upserted findings out.
-query(
-    "event_emit_all",
+_EMIT_SQL = (
     over_events(
         "SELECT log_id, type, md5(event) AS text_md5 FROM (SELECT log_id, type, "
         "'{\"v\":1,\"type\":\"' || type || '\",\"datasetVersion\":\"star-1\",\"at\":\"' || " + iso("ts") + " || '\"' || "
@@ -53,14 +31,22 @@ query(
         "ELSE ',\"scopes\":[\"findings\",\"overview\"]' END "
         "WHEN 'export-ready' THEN ',\"jobId\":\"job-' || event_id || '\"' ELSE '' END || '}' AS event "
         "FROM ev)"
-    ),
-)(
-    lambda spark, d: events.encode(star_events.events_of(spark, d)).select(
+    )
+)
+
+
+def _emitted(spark: SparkSession, d: str) -> DataFrame:
+    """All seven variants with their full text."""
+    return events.encode(star_events.events_of(spark, d)).select(
         "log_id",
         F.get_json_object("event", "$.type").alias("type"),
         F.md5("event").alias("text_md5"),
     )
-)
+
+
+query("event_emit", _EMIT_SQL)(_emitted)
+query("event_emit_all", _EMIT_SQL)(_emitted)
+
 
 _BROKEN = """
 checked AS (SELECT *, CASE

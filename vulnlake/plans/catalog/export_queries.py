@@ -147,3 +147,22 @@ query(
         )
     )
 )
+
+
+@query(
+    "export_run",
+    over_findings(
+        "SELECT \"findingId\" AS id, severity, 'READY' AS status, count(*) OVER () AS \"rowCount\" "
+        f"FROM findings WHERE {_EXPORT_WHERE}"
+    ),
+)
+def _export_run(spark: SparkSession, d: str) -> DataFrame:
+    """A job from its request to the rows of the file it publishes."""
+    store = export.ExportStore(spark, scratch_path(spark, "exports"), max_rows=None)
+    job = store.run(store.create(_EXPORT_SPEC, NOW), current_findings(spark, d), NOW)
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(
+        f"{store.root}/{job['artifactName']}"
+    )
+    return rows.select(
+        "id", "severity", F.lit(job["status"]).alias("status"), F.lit(job["rowCount"]).cast("long").alias("rowCount")
+    )

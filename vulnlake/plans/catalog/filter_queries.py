@@ -133,7 +133,18 @@ _scoped(
     "contains(lower(cve), 'small-r') OR contains(lower(\"packageName\"), 'small-r') "
     "OR contains(lower(image), 'small-r') OR contains(lower(repo), 'small-r')",
 )
-_scoped("search_literal_wildcards", QuerySpec(search="%_"), "false")
+
+
+@on_current(
+    "search_literal_wildcards",
+    "SELECT \"findingId\", name AS \"packageName\" FROM (SELECT \"findingId\", "
+    "translate(\"packageName\", ' -', '%_') AS name FROM findings) WHERE contains(lower(name), '%w')",
+)
+def _search_literal_wildcards(current: DataFrame) -> DataFrame:
+    """Signs of patterns in the searched values and in the search stand for themselves."""
+    signs = current.withColumn("packageName", F.translate("packageName", " -", "%_"))
+    found = signs.where(predicates.search_matches("%W"))
+    return found.select("findingId", "packageName")
 
 query(
     "filter_active",

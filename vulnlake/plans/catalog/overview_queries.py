@@ -145,3 +145,8 @@ on_current("overview_splits", _SPLITS, _WITH_CORE)(
 on_current("overview_all", f"{_SPLITS} UNION ALL {_TOP_LISTS} UNION ALL {_TIMES}", _WITH_CORE)(
     lambda current: _rounded(overview.overview(current, _SCOPE, NOW))
 )
+
+_EVERY = _WITH_CORE.replace(_SCOPED, "scoped AS (SELECT * FROM findings)")
+on_current("overview_unfiltered", f"{_SPLITS} UNION ALL {_TOP_LISTS} UNION ALL {_TIMES}", _EVERY)(
+    lambda current: _rounded(overview.overview(current, QuerySpec(), NOW))
+)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from vulnlake.functions import values as fv
 from vulnlake.operators import versions
-from vulnlake.plans.catalog.registry import NOW, NOW_MS, query
+from vulnlake.plans.catalog.registry import NOW, NOW_MS, ORACLES, query
 from vulnlake.plans.relations import iso, over_changes, over_findings
+from vulnlake.session import scratch_path
 from vulnlake.sources import star_events
 from vulnlake.sources.star_schema import DATASET_VERSION, current_findings, findings_log, table
 from vulnlake.streaming import changes as streaming
@@ -233,3 +234,21 @@ def _read_back(spark: SparkSession, d: str) -> DataFrame:
     return versions.read_back_applied(changed_current(spark, d), upserts).select(
         "requestOrder", "cvss", "status", "severity"
     )
+
+
+@query("apply_bucketed", ORACLES["merge_current"])
+def _apply_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """The change set in three batches on a stored table, each of which reads only the buckets it names."""
+    current, upserts, ids = change_set(spark, d)
+    findings = streaming.FindingsTable(spark, scratch_path(spark, "table"), DATASET_VERSION, 2, None)
+    findings.create(current, NOW)
+    asked = upserts.select(F.lit("upsert").alias("op"), "*", F.crc32("cve").alias("share")).unionByName(
+        ids.select(F.lit("delete").alias("op"), "*", F.lit(2).cast("long").alias("share")), allowMissingColumns=True
+    )
+    for number, share in ((1, F.col("share") % 2 == 0), (2, F.col("share") % 2 == 1), (3, None)):
+        part = F.col("op") == ("delete" if share is None else "upsert")
+        batch = asked.where(part if share is None else part & share)
+        findings.apply(batch.select(*streaming.CHANGE_COLUMNS), number, NOW)
+    return findings.current().groupBy("severity", "status").agg(
+        F.count("*").alias("rows"), F.round(F.sum("cvss"), 4).alias("cvss_sum")
+    )

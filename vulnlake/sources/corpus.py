@@ -73,11 +73,14 @@ def read_source(spark: SparkSession, path: str, multi_line: bool = True) -> Data
 
 
 def parse_documents(texts: DataFrame, column: str) -> DataFrame:
-    """Parse report documents held as text; the other columns are kept."""
-    others = [c for c in texts.columns if c != column]
-    return texts.select(*others, F.from_json(column, CORPUS_SCHEMA).alias("_doc")).select(
-        *others, F.col("_doc.groups").alias("groups")
-    )
+    """Parse report documents held as text; the other columns are kept.
+
+    A document that cannot be read leaves its text in `corrupt`, as `read_source` does.
+    """
+    others = [c for c in texts.columns if c not in (column, "corrupt")]
+    schema = T.StructType([*CORPUS_SCHEMA.fields, T.StructField("corrupt", T.StringType())])
+    parsed = F.from_json(column, schema, {"columnNameOfCorruptRecord": "corrupt"})
+    return texts.select(*others, parsed.alias("_doc")).select(*others, "_doc.groups", "_doc.corrupt")
 
 
 def _name_or_key(name: Column, key: Column) -> Column:

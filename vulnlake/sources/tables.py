@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,6 +231,27 @@ def write_current(current: DataFrame, path: str, mode: str = "errorifexists") ->
     )
 
 
+def bucket_of(finding_id: Column, buckets: int) -> Column:
+    """Bucket of a finding, from the leading digits of its id, which is a hash of its identity."""
+    return F.coalesce(F.conv(F.substring(finding_id, 1, 8), 16, 10).try_cast("long"), F.lit(0)) % buckets
+
+
+def write_buckets(current: DataFrame, path: str, buckets: int) -> list[int]:
+    """Current findings in one folder per bucket, each sorted by identity; gives the buckets with rows."""
+    (
+        current.select(*fields.LOG_COLUMNS)
+        .withColumn("bucket", bucket_of(F.col("findingId"), buckets))
+        .repartitionByRange("bucket", *IDENTITY)
+        .sortWithinPartitions("bucket", *IDENTITY)
+        .write.mode("overwrite")
+        .option("parquet.bloom.filter.enabled#findingId", "true")
+        .partitionBy("bucket")
+        .parquet(path)
+    )
+    names = children(current.sparkSession, path)
+    return sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket="))
+
+
 def read_current(spark: SparkSession, path: str | list[str]) -> DataFrame:
     paths = [path] if isinstance(path, str) else path
     return spark.read.schema(fields.LOG_SCHEMA).parquet(*paths)

@@ -11,33 +11,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vulnlake import fields
-from vulnlake.functions.values import epoch_ms
+from vulnlake.functions.values import epoch_ms, finding_id
 from vulnlake.operators import events as ev
+from vulnlake.operators import maintained
+from vulnlake.operators.predicates import by_id
 from vulnlake.operators.versions import (
     MAX_CHANGES,
     ContractViolation,
     apply_deletes,
     apply_upserts,
     check_changes,
+    join_by_identity,
     lookup_by_ids,
     merge_current,
+    newest_version,
 )
 from vulnlake.session import scratch_scope, write_out
 from vulnlake.sources.tables import (
     Generations,
+    bucket_of,
     children,
     exists,
     read_current,
     read_events,
     read_small,
     remove,
-    write_current,
+    write_buckets,
     write_events,
     write_small,
 )
 
 #: States of batches kept for repeats.
 KEPT_STATES = 100
+#: Buckets of a new table; some thousands suit a large one.
+BUCKETS = 32
 # The change feed: one row per change. `op` is upsert or delete; upserts fill
 # the source columns, deletes fill findingId; requestOrder is unique per op.
 CHANGE_COLUMNS = ("op", *fields.SOURCE_FIELDS, "findingId", "requestOrder")
@@ -71,11 +78,15 @@ def apply_changes(current: DataFrame, upserts: DataFrame, ids: DataFrame, datase
 class FindingsTable:
     """A findings table on storage that takes change batches.
 
-    Layout below `root`: `snapshot/<n>` holds current findings after batch n,
-    `log/<n>` and `events/<n>` hold what batch n added. Readers merge the
-    newest snapshot with the log rows after it; every `snapshot_every` batches
-    a new snapshot is written, and what only snapshots before the last two need
-    is deleted. `state/<n>` keeps the highest stamp and event id after batch n
+    Layout below `root`: current findings lie in `buckets` by their id. `snapshot/<n>`
+    holds the buckets that batches up to n changed, `manifest/<n>` names for every bucket
+    the snapshot that has it, `log/<n>` and `events/<n>` hold what batch n added. Readers
+    merge the buckets of the newest manifest with the log rows after it. A change batch
+    reads only the buckets of the findings it names; every `snapshot_every` batches the
+    buckets changed since are written anew, and what only manifests before the last two
+    need is deleted. With `counts`, `counts/<n>` holds what batch n adds to the cells of
+    maintained aggregates and `totals/<n>` their sum at a manifest; a batch finds the
+    versions it replaces in the buckets it reads anyway. `state/<n>` keeps the highest stamp and event id after batch n
     and which batch of which stream has which number, so that stamps and ids
     only grow and a second stream or checkpoint takes numbers of its own. A
     repeated batch overwrites its own folders, so replaying after a failure
@@ -83,12 +94,15 @@ class FindingsTable:
     """
 
     def __init__(self, spark: SparkSession, root: str, dataset_version: str,
-                 snapshot_every: int = 20, max_changes: int | None = MAX_CHANGES):
+                 snapshot_every: int = 20, max_changes: int | None = MAX_CHANGES,
+                 buckets: int = BUCKETS, counts: bool = False):
         self.spark = spark
         self.root = root.rstrip("/")
         self.dataset_version = dataset_version
         self.snapshot_every = snapshot_every
         self.max_changes = max_changes
+        self.new_buckets = buckets
+        self.counts = counts
 
     def _numbers(self, kind: str) -> list[int]:
         names = children(self.spark, f"{self.root}/{kind}")
@@ -111,7 +125,10 @@ class FindingsTable:
 
         Events, stamps and ids go on from those of a table that is `replaced`.
         """
-        write_current(current, f"{self.root}/snapshot/0")
+        parts = write_buckets(current, f"{self.root}/snapshot/0", self.new_buckets)
+        if self.counts:
+            maintained.cells(current).write.mode("overwrite").parquet(f"{self.root}/totals/0")
+        self._write_manifest(0, self.new_buckets, dict.fromkeys(parts, 0))
         state = replaced._state() if replaced else {"stamp": 0, "event": None}
         event = ev.version_changed_event(
             current, self.dataset_version, now or datetime.now(timezone.utc),
@@ -126,7 +143,7 @@ class FindingsTable:
             entries = entries.select("log_id", "event").unionByName(kept.select("log_id", "event"))
         write_events(entries, f"{self.root}/events/0", "overwrite")
         state = {"streams": {}, "stamp": state["stamp"], "event": state["event"]}
-        self._write_state(0, state, read_current(self.spark, f"{self.root}/snapshot/0"))
+        self._write_state(0, state, self.current())
 
     def last_stamp(self) -> int:
         """The highest stamp given to a row, in milliseconds."""
@@ -172,14 +189,58 @@ class FindingsTable:
         streams = {**state["streams"], stream: [batch_id, number]}
         self._write_state(number, {**state, "streams": streams}, None)
 
+    def _manifests(self, before: int | None = None) -> list[int]:
+        names = children(self.spark, f"{self.root}/manifest")
+        return sorted(int(n) for n in names if n.isdigit() and (before is None or int(n) < before))
+
+    def _manifest(self, number: int) -> tuple[int, dict[int, int]]:
+        """How many buckets there are, and the snapshot that has each one with rows."""
+        stored = json.loads(read_small(self.spark, f"{self.root}/manifest/{number}"))
+        return stored["buckets"], {k: int(n) for n, parts in stored["parts"].items() for k in parts}
+
+    def _write_manifest(self, number: int, buckets: int, where: dict[int, int]) -> None:
+        parts: dict[int, list[int]] = {}
+        for k, n in sorted(where.items()):
+            parts.setdefault(n, []).append(k)
+        write_small(self.spark, f"{self.root}/manifest/{number}", json.dumps({"buckets": buckets, "parts": parts}))
+
+    def _snapshot(self, number: int) -> None:
+        """Write the buckets that batches since the last manifest changed, as they are after batch `number`."""
+        last = self._manifests(number)[-1]
+        buckets, where = self._manifest(last)
+        newer = self.log_rows(last, number + 1)
+        changed = self._touched(newer.select("findingId"), buckets)
+        rows = self.current(before=number + 1, only=changed)
+        written = write_buckets(rows, f"{self.root}/snapshot/{number}", buckets)
+        where = {k: n for k, n in where.items() if k not in changed} | dict.fromkeys(written, number)
+        if self.counts:
+            self.cells(number + 1).write.mode("overwrite").parquet(f"{self.root}/totals/{number}")
+        self._write_manifest(number, buckets, where)
+        self._prune()
+
+    def _touched(self, ids: DataFrame, buckets: int) -> set[int]:
+        """Buckets of some findings, which are `buckets` at most."""
+        named = ids.select(bucket_of(F.col("findingId"), buckets).alias("bucket")).distinct()
+        return {row.bucket for row in named.collect()}
+
     def _prune(self) -> None:
-        snapshots = self._numbers("snapshot")
-        if len(snapshots) > 2:
-            for n in snapshots[:-2]:
-                remove(self.spark, f"{self.root}/snapshot/{n}")
-            for n in self._numbers("log"):
-                if n <= snapshots[-2]:
-                    remove(self.spark, f"{self.root}/log/{n}")
+        manifests = self._manifests()
+        if len(manifests) < 3:
+            return
+        needed = {(n, k) for m in manifests[-2:] for k, n in self._manifest(m)[1].items()}
+        for m in manifests[:-2]:
+            remove(self.spark, f"{self.root}/manifest/{m}")
+            remove(self.spark, f"{self.root}/totals/{m}")
+        for n in self._numbers("snapshot"):
+            folder = f"{self.root}/snapshot/{n}"
+            parts = [c for c in children(self.spark, folder) if c.startswith("bucket=")]
+            spare = [c for c in parts if (n, int(c.removeprefix("bucket="))) not in needed]
+            for path in [folder] if len(spare) == len(parts) and n < manifests[-1] else [f"{folder}/{c}" for c in spare]:
+                remove(self.spark, path)
+        for n in self._numbers("log"):
+            if n <= manifests[-2]:
+                remove(self.spark, f"{self.root}/log/{n}")
+                remove(self.spark, f"{self.root}/counts/{n}")
 
     def log_rows(self, after: int, before: int | None = None) -> DataFrame | None:
         numbers = [n for n in self._numbers("log") if n > after and (before is None or n < before)]
@@ -187,12 +248,42 @@ class FindingsTable:
             return None
         return read_current(self.spark, [f"{self.root}/log/{n}" for n in numbers])
 
-    def current(self, before: int | None = None) -> DataFrame:
-        """Current findings, optionally as they were before a batch."""
-        snapshots = [n for n in self._numbers("snapshot") if before is None or n < before]
-        base = read_current(self.spark, f"{self.root}/snapshot/{snapshots[-1]}")
-        newer = self.log_rows(snapshots[-1], before)
-        return base if newer is None else merge_current(base, newer)
+    def current(self, before: int | None = None, only: set[int] | None = None) -> DataFrame:
+        """Current findings, optionally as they were before a batch, and of some buckets only."""
+        last = self._manifests(before)[-1]
+        buckets, where = self._manifest(last)
+        paths = [
+            f"{self.root}/snapshot/{n}/bucket={k}" for k, n in sorted(where.items()) if only is None or k in only
+        ]
+        base = read_current(self.spark, paths) if paths else self.spark.createDataFrame([], fields.LOG_SCHEMA)
+        newer = self.log_rows(last, before)
+        if newer is None:
+            return base
+        if only is not None:
+            newer = newer.where(bucket_of(F.col("findingId"), buckets).isin(sorted(only)))
+        return merge_current(base, newer)
+
+    def cells(self, before: int | None = None) -> DataFrame:
+        """Cells of the maintained aggregates (metric, key, n), optionally as before a batch."""
+        if not self.counts:
+            raise ValueError("this table keeps no counts")
+        last = self._manifests(before)[-1]
+        later = [n for n in self._numbers("counts") if n > last and (before is None or n < before)]
+        read = self.spark.read.schema(maintained.CELLS)
+        parts = [read.parquet(f"{self.root}/totals/{last}")]
+        if later:
+            parts.append(read.parquet(*[f"{self.root}/counts/{n}" for n in later]))
+        return maintained.added_up(parts)
+
+    def named(self, ids: DataFrame, before: int | None = None) -> DataFrame:
+        """Current findings of the buckets that hold the given ids."""
+        buckets, _ = self._manifest(self._manifests(before)[-1])
+        return self.current(before, self._touched(ids, buckets))
+
+    def find(self, id: str) -> DataFrame:
+        """The finding of an id, if it is current; reads its bucket only."""
+        asked = self.spark.createDataFrame([(id,)], "findingId string")
+        return by_id(self.named(asked), id)
 
     def apply(self, changes: DataFrame, number: int, now: datetime,
               for_version: str | None = None, stream: str | None = None,
@@ -211,7 +302,10 @@ class FindingsTable:
             if not changes.where(~same).isEmpty():
                 raise ContractViolation(f"changes do not match {self.dataset_version}")
         state = self._state(before=number)
-        before = self.current(before=number)
+        # Read several times, first for the buckets it names.
+        changes = write_out(changes, "changes")
+        own = F.when(F.col("op") == "upsert", finding_id()).otherwise(F.col("findingId"))
+        before = self.named(changes.select(own.alias("findingId")), before=number)
         upserts = changes.where("op = 'upsert'").select(*fields.SOURCE_FIELDS, "requestOrder")
         ids = changes.where("op = 'delete'").select("findingId", "requestOrder")
         rows, events = apply_changes(
@@ -222,11 +316,14 @@ class FindingsTable:
             f"{self.root}/log/{number}"
         )
         write_events(ev.encode(events), f"{self.root}/events/{number}", "overwrite")
+        if self.counts:
+            written = newest_version(read_current(self.spark, f"{self.root}/log/{number}"))
+            # Of one batch, an upserted and then deleted finding replaces the version before both.
+            replaced = join_by_identity(before, written.select(*fields.IDENTITY), "left_semi")
+            change = maintained.change_of(replaced, written.where(~F.col("isDeleted")))
+            change.write.mode("overwrite").parquet(f"{self.root}/counts/{number}")
         if number % self.snapshot_every == 0:
-            write_current(
-                merge_current(before, rows), f"{self.root}/snapshot/{number}", "overwrite"
-            )
-            self._prune()
+            self._snapshot(number)
         if stream is not None:
             state = {**state, "streams": {**state["streams"], stream: [batch_id, number]}}
         self._write_state(number, state, rows)
@@ -242,14 +339,16 @@ class FindingsTable:
 def stream_to_table(changes: DataFrame, table: FindingsTable, checkpoint: str,
                     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
                     views: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
-                    trigger: dict | None = None, stream: str | None = None) -> StreamingQuery:
+                    trigger: dict | None = None, stream: str | None = None,
+                    counted: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> StreamingQuery:
     """Apply a stream of changes; recompute the views each batch makes stale.
 
     Batches take the table's next numbers; `stream` names the stream among those
     that feed the table and is the checkpoint's path by default.
 
     `views` maps a scope (findings, facets, overview) to a function of current
-    findings; results go to `view/<scope>/<n>`. A batch that breaks the change
+    findings, `counted` to one of the cells of a table that keeps counts, which costs no
+    scan of the findings; results go to `view/<scope>/<n>`. A batch that breaks the change
     contract is kept in `rejected/<n>` and changes nothing.
     """
     name = stream or checkpoint
@@ -269,8 +368,8 @@ def stream_to_table(changes: DataFrame, table: FindingsTable, checkpoint: str,
                 refused.write.mode("overwrite").parquet(f"{table.root}/rejected/{number}")
                 table.skip(number, name, batch_id)
                 return
-            if views:
-                refresh_views(table, emitted, number, views)
+            if views or counted:
+                refresh_views(table, emitted, number, views or {}, counted or {})
 
     return (
         changes.writeStream.option("checkpointLocation", checkpoint)
@@ -281,12 +380,17 @@ def stream_to_table(changes: DataFrame, table: FindingsTable, checkpoint: str,
 
 
 def refresh_views(table: FindingsTable, emitted: DataFrame, number: int,
-                  views: dict[str, Callable[[DataFrame], DataFrame]]) -> None:
+                  views: dict[str, Callable[[DataFrame], DataFrame]],
+                  counted: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
     """Recompute only the views that the events of a batch invalidate."""
     stale = {row.scope for row in ev.stale_scopes(emitted).collect()}  # at most three scopes
-    current = table.current(before=number + 1)
-    for scope in sorted(stale & set(views)):
-        views[scope](current).write.mode("overwrite").parquet(
+    counted = counted or {}
+    for scope in sorted(stale & (set(views) | set(counted))):
+        if scope in counted:
+            view = counted[scope](table.cells(number + 1))
+        else:
+            view = views[scope](table.current(before=number + 1))
+        view.write.mode("overwrite").parquet(
             f"{table.root}/view/{scope}/{number}"
         )
 
