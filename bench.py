@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 
 from vulnlake.operators import compare, events, export, facets, overview, paging, predicates
 from vulnlake.operators import rows, suggest, versions
+from vulnlake.operators.sorted_pages import SortedCopy
 from vulnlake.plans.catalog import NOW, QUERIES
 from vulnlake.session import scratch_path
 from vulnlake.sources import star_events
@@ -61,6 +62,9 @@ def main() -> None:
     two_filters = QuerySpec(filters={"severity": ("critical", "high"), "status": ("open",)})
     tail = "eyJzIjogbnVsbCwgImlkIjogIjgwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwIn0"
 
+    copy = SortedCopy(spark, scratch_path(spark, "sorted"))
+    copy.write(current, rows_per_file=20_000)
+
     def registered(name):
         return lambda: drain(QUERIES[name](spark, sf_dir))
 
@@ -72,6 +76,9 @@ def main() -> None:
         "null_tail_page": lambda: paging.fetch_page(
             current, QuerySpec(sort=Sort("fixedAt", "desc"), after=tail)
         ),
+        "sorted_first_page": lambda: copy.fetch_page(QuerySpec()),
+        "sorted_second_page": lambda: copy.fetch_page(QuerySpec(after=first.end_cursor)),
+        "sorted_filtered_page": lambda: copy.fetch_page(narrow),
         "total_count": lambda: paging.total_count(current, narrow).collect(),
         "detail_by_id": lambda: rows.project_detail(predicates.by_id(current, id)).collect(),
         "overview": lambda: overview.overview(current, QuerySpec(), NOW).collect(),

@@ -8,6 +8,7 @@ from vulnlake import fields
 from vulnlake.operators import paging
 from vulnlake.operators.predicates import by_id, page_scope
 from vulnlake.operators.rows import project_detail, project_explore
+from vulnlake.operators.sorted_pages import SortedCopy
 from vulnlake.spec import QuerySpec, Sort, TimeRange, parse_instant
 
 
@@ -146,3 +147,30 @@ def test_entry_points_agree_with_the_operators(spark, current, tmp_path):
     assert findings.replay("1-0").count() == 0
     job = findings.export(ExportStore(spark, str(tmp_path)), spec, now)
     assert (job["status"], job["rowCount"]) == ("READY", total)
+
+
+def test_a_sorted_copy_reads_few_files_and_pages_as_the_table(spark, log_rows, tmp_path):
+    rows = [{"cve": f"CVE-{k}", "cvss": float(k % 7), "severity": "low" if k % 50 else "high"} for k in range(400)]
+    current = log_rows(*rows)
+    copy = SortedCopy(spark, str(tmp_path / "copy"))
+    copy.write(current, rows_per_file=20)
+    files = copy.files(QuerySpec(), 1000)
+    assert len(files) >= 20
+    after, seen = None, []
+    for _ in range(9):
+        spec = QuerySpec(first=50, after=after)
+        assert copy.fetch_page(spec) == paging.fetch_page(current, spec)
+        page = copy.fetch_page(spec)
+        seen += [r.id for r in page.rows]
+        if page.end_cursor is None:
+            break
+        after = page.end_cursor
+    assert len(seen) == len(set(seen)) == 400
+    second = QuerySpec(first=10, after=paging.fetch_page(current, QuerySpec(first=200)).end_cursor)
+    read = copy._read(second, lambda some: paging.page_rows(some, second).count() > second.first)
+    assert len(read.inputFiles()) <= len(files) // 5
+    rare = QuerySpec(first=5, filters={"severity": ("high",)})
+    assert copy.fetch_page(rare) == paging.fetch_page(current, rare)
+    assert copy.page(rare).collect() == paging.page(current, rare).collect()
+    with pytest.raises(ValueError):
+        copy.fetch_page(QuerySpec(sort=Sort("severity", "asc")))
