@@ -566,3 +566,32 @@ def test_registered_queries_read_their_tables(spark):
     assert first["n_bytes"] == len(text.encode())
     if not first["n_removed"]:
         assert first["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+# --- Token ids -------------------------------------------------------------------------
+
+
+def test_word_ids_are_the_tokenizers_own():
+    """Hard words, and a table so small that it forgets again and again."""
+    words = packing.WordIds(public_tokenizers.path(packing.TOKENIZER), remembered=3000)
+    rng = random.Random(4)
+    pool = list("abcxyzéÉßÿŸñÑçöÖ09²½ªº.,!?'#$*%_-~^`|<>\"()«»¿¡§€αΩжЖ你好́İıſK\x00\x07\xad\xa0µ×÷")
+    pool += ["'s", "'re", "<|", "|>", "<|endoftext|>", "..."]
+    texts = [" ".join("".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    texts += ["", "é" * 40, "a" * 33, "b" * 32, prose(1, 5000)]
+    for at in range(0, len(texts), 250):
+        some = texts[at : at + 250]
+        ids, starts = words.batch(pa.array(some))
+        for k, text in enumerate(some):
+            expected = words.tokenizer.encode(text, add_special_tokens=False).ids + [packing.SEPARATOR]
+            assert ids[starts[k] : starts[k + 1]].tolist() == expected
+
+
+def test_merges_are_the_tokenizers_own():
+    words = packing.WordIds(public_tokenizers.path(packing.TOKENIZER))
+    rng = random.Random(6)
+    parts = "th ti on ou er he re an in ed ing st wh ea sh en nd tion é ü ß ñ a e i o u z q aa".split()
+    some = list({"".join(rng.choice(parts) for _ in range(rng.randint(1, 8)))[:16] for _ in range(3000)} | {"a", "aaaaaaa", "abababab"})
+    ids, lengths = words.merges.encode(some)
+    assert ids.tolist() == [i for w in some for i in words.alone(w)]
+    assert lengths.tolist() == [len(words.alone(w)) for w in some]
