@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from vulnlake.llm import structure, trie
@@ -209,3 +210,12 @@ def test_repair_of_a_long_conversation_is_in_proportion():
     cost, edits = structure.repair(rows)
     assert cost == structure.costs_after(rows)[0][""]
     assert sum(letter != "I" for letter, _, _ in edits) == len(rows)
+
+
+def test_trie_query_matches_its_sql(spark):
+    connection = duckdb.connect()
+    connection.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    expected = connection.execute(trie.ORACLE)
+    names = [d[0] for d in expected.description]
+    got = trie.op11_prefix_trie(spark, "/root/testdata/sf0.001").select(*names)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected.fetchall(), key=str)

@@ -559,7 +559,7 @@ def test_registered_queries_read_their_tables(spark):
     import __spark_entry__ as contract
 
     names = [n for n in contract.queries() if re.match(r"op\d+_|pipeline", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     out = contract.queries()["op2_suffix_array_dedup"](spark, "/root/testdata/sf0.001")
     first = out.orderBy("doc_id").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(F.col("doc_id") == first["doc_id"]).first()["text"]

@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -82,3 +83,12 @@ def test_window_minima():
     values = np.random.default_rng(1).integers(0, 50, 40).astype(np.uint64)
     for width in (1, 2, 5, 9):
         assert phrases.window_minima(values, width).tolist() == [min(values[k : k + width]) for k in range(41 - width)]
+
+
+def test_query_matches_its_sql(spark):
+    connection = duckdb.connect()
+    connection.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    expected = connection.execute(phrases.ORACLE)
+    names = [d[0] for d in expected.description]
+    got = phrases.op13_phrase_automata(spark, "/root/testdata/sf0.001").select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(expected.fetchall())
