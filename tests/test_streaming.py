@@ -121,7 +121,10 @@ def test_streaming_equals_batch(spark, tmp_path):
         stream_events(spark, log), str(tmp_path / "out"), str(tmp_path / "checkpoint"), "v1",
         width="1 day", threshold=10,
     ).awaitTermination()
-    streamed = spark.read.parquet(str(tmp_path / "out") + "/events/0")
+    out = str(tmp_path / "out")
+    assert spark.read.parquet(f"{out}/events/0").isEmpty()  # the window is still open
+    st.drain_windows(spark, out, lambda held: ev.coalesce(held, "1 day", 10))
+    streamed = spark.read.parquet(f"{out}/events/drained")
     batch = ev.coalesce(ev.valid_events(entries, "v1"), "1 day", 10)
     assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
 
