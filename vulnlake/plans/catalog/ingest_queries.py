@@ -246,7 +246,7 @@ def _flatten_roundtrip(current: DataFrame) -> DataFrame:
 def _read_source(spark: SparkSession, d: str) -> DataFrame:
     """Reports written as JSON lines and read back through the file reader."""
     path = scratch_path(spark, "reports")
-    star_events.report_documents(current_findings(spark, d)).select("text").write.text(path)
+    star_events.report_documents(current_findings(spark, d)).select("text").write.text(path, compression="gzip")
     read = corpus.read_source(spark, path, multi_line=False)
     return (
         corpus.normalize(corpus.flatten_source(read))
