@@ -333,6 +333,30 @@ PLAIN = (
 )
 
 
+def test_quality_uses_every_label(spark):
+    """Cuts, threshold and pairs come from all labelled rows, so the very last one counts."""
+    rows = spark.range(30_000).select(
+        F.col("id"), (F.col("id") % 3 > 0).cast("long").alias("label"),
+        F.array(*(F.when(F.lit(i > 0), 0.0).otherwise(F.col("id").cast("double")) for i in range(15))).alias("x"),
+    )
+    width = quality.text_features(pa.array([""])).shape[1]
+    rows = rows.withColumn("x", F.slice("x", 1, width))
+    pairs = quality._pairs(rows, 20_000, 10_000, 40_000)
+    told = pairs.agg(
+        F.count("*").alias("n"), F.countDistinct(F.col("left")[0]).alias("left"), F.countDistinct(F.col("right")[0]).alias("right")
+    ).first()
+    assert (told.n, told.left, told.right) == (40_000, 20_000, 10_000)
+    model = quality.fit(rows)
+    x = np.arange(30_000.0)
+    at = np.arange(1, quality.CUTS) / quality.CUTS
+    for k, side in enumerate((x[x % 3 > 0], x[x % 3 == 0])):
+        got = model.cuts[0, k * len(at) : (k + 1) * len(at)]
+        assert np.abs(got - np.quantile(side, at, method="midpoint")).max() < 0.01
+    assert abs(model.mean[0] - x.mean()) < 1e-6
+    raw = model.raw(np.concatenate([x[:, None], np.zeros((30_000, width - 1))], axis=1))
+    assert abs(model.threshold - np.quantile(raw, 1 / 3, method="midpoint")) < 1e-4
+
+
 def plain_spans(text):
     out = []
     for kind, pattern in PLAIN:
