@@ -52,6 +52,9 @@ SPENT = 2.0**-24
 #: A piece of rank r weighs (r + SHIFT) ** -SHARPNESS; a byte piece weighs BYTE.
 SHIFT, SHARPNESS, BYTE = 10.0, 0.5, 1e-3
 
+#: Characters from a unit's end at which totals stay in the range of doubles, whatever the pieces.
+NEAR = 20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = re.compile(" *[^ ]+| +")
 
@@ -84,17 +87,25 @@ class Vocabulary:
         self.weights = np.array(weights)[order]
         self.longest = max(map(len, texts))
         self.pairs = np.array(sorted({_pair(a, b) for x in texts for a, b in zip(x, x[1:])}), dtype=np.int64)
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        # The first piece of each value of a hash's leading bits, and how many share one at most.
+        leading = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.begin = np.searchsorted(leading, np.arange((1 << 20) + 1)).astype(np.int32)
+        self.maybe = self.begin[1:] > self.begin[:-1]
+        self.crowd = int(np.diff(self.begin).max())
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are pieces, and their places among the pieces."""
-        at = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
-        same = self.hashes[place] == hashes[at]
+        leading = (hashes >> np.uint64(44)).astype(np.int64)
+        at = np.flatnonzero(self.maybe[leading])
+        asked, place = hashes[at], self.begin[leading[at]].astype(np.int64)
+        same = self.hashes[place] == asked
+        for k in range(1, self.crowd):
+            left = np.flatnonzero(~same)
+            further = np.minimum(self.begin[leading[at[left]]] + k, len(self.hashes) - 1)
+            hit = self.hashes[further] == asked[left]
+            place[left[hit]], same[left[hit]] = further[hit], True
         return at[same], place[same]
 
-
     def pieces_of_unit(self, unit: str) -> list[str]:
         """A long unit cut wherever no piece holds the two neighbouring characters."""
         codes = np.frombuffer(unit.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
@@ -183,18 +194,23 @@ def lattices(units: list[str], vocabulary: Vocabulary) -> Lattices:
     far = left[source].astype(np.min_scalar_type(int(sizes.max())))
     by_left = np.argsort(far, kind="stable")
     steps = np.concatenate([[0], np.cumsum(np.bincount(far, minlength=int(sizes.max()) + 1))])[1:]
-    for a, b in zip(steps, steps[1:]):
+    for k, (a, b) in enumerate(zip(steps, steps[1:]), 1):
         e = by_left[a:b]
         if len(e):
             own = start[e]
             new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            if k <= NEAR:
+                total[own[new]] = np.add.reduceat(weight[e] * total[target[e]], new)
+                continue
             up = power[target[e]]
             most = np.maximum.reduceat(up, new)
             up -= np.repeat(most, np.diff(np.append(new, len(e))))
             sums = np.add.reduceat(np.ldexp(weight[e] * total[target[e]], up), new)
             total[own[new]], more = np.frexp(sums)
             power[own[new]] = most + more
-    chance = np.ldexp(weight * total[target] / total[start], power[target] - power[start])
+    chance = weight * total[target] / total[start]
+    scaled = np.flatnonzero(far > NEAR)
+    chance[scaled] = np.ldexp(chance[scaled], power[target[scaled]] - power[start[scaled]])
     running = np.concatenate([[0.0], np.cumsum(chance)])
     below = np.maximum(running[:-1] - running[edges[start]], 0.0)
     first = ends - sizes + np.arange(len(units))
@@ -482,13 +498,19 @@ def split_units(texts: pa.Array, vocabulary: Vocabulary) -> tuple[list[str], np.
         counts = np.array([len(x) for x in found], dtype=np.int64)
         codes = np.array([number.setdefault(u, len(number)) for x in found for u in x], dtype=np.int64)
         units = list(number)
-    cut = [(u,) if len(u) <= vocabulary.longest else vocabulary.pieces_of_unit(u) for u in units]
-    sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-    if len(units) and sizes.max() > 1:
+    lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+    long = np.flatnonzero(lengths > vocabulary.longest).tolist()
+    if long:
+        sizes, parts, done = np.ones(len(units), dtype=np.int64), [], 0
+        for k in long:
+            cut = vocabulary.pieces_of_unit(units[k])
+            sizes[k] = len(cut)
+            parts += units[done:k] + cut
+            done = k + 1
+        units = parts + units[done:]
         text = np.repeat(np.arange(len(counts)), counts)
         counts = np.bincount(text, sizes[codes], len(counts)).astype(np.int64)
         codes = ragged((np.cumsum(sizes) - sizes)[codes], sizes[codes])
-        units = [part for parts in cut for part in parts]
     return units, codes, counts
 
 
