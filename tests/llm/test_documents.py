@@ -619,3 +619,35 @@ def test_merges_are_the_tokenizers_own():
     ids, lengths = words.merges.encode(some)
     assert ids.tolist() == [i for w in some for i in words.alone(w)]
     assert lengths.tolist() == [len(words.alone(w)) for w in some]
+
+
+def test_unscaled_totals_near_a_units_end_give_the_same_lattices(monkeypatch):
+    import public_tokenizers
+
+    vocabulary = segmentation.Vocabulary(public_tokenizers.path(segmentation.MODEL))
+    places = np.arange(len(vocabulary.hashes))
+    at, place = vocabulary.find(np.concatenate([vocabulary.hashes, vocabulary.hashes ^ np.uint64(1)]))
+    found = at < len(places)
+    assert (at[found] == places).all() and (vocabulary.hashes[place[found]] == vocabulary.hashes).all()
+    units = [" word", " " + "x" * 3_000, " " + "\U0001f600" * 90, " naïve" + "ab" * 40, "   "]
+    made = []
+    for near in (segmentation.NEAR, 0):
+        monkeypatch.setattr(segmentation, "NEAR", near)
+        lattice = segmentation.lattices(units, vocabulary)
+        made.append([getattr(lattice, c) for c in ("edges", "target", "piece", "chance", "below")])
+    assert all(np.array_equal(a, b) for a, b in zip(*made))
+    assert np.isfinite(made[0][3]).all()
+
+
+
+def test_a_block_of_copies_fits_beside_an_executor():
+    import tracemalloc
+
+    data = np.random.default_rng(1).integers(0, 256, suffix.BLOCK_BYTES // 2, dtype=np.uint8).tobytes() * 2
+    tracemalloc.start()
+    try:
+        gone = suffix.Texts(data, [len(data) // 8] * 8, suffix.WIDTH, 8, (1 << 100) + 12345).removed(None, None)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert gone.all() and peak < 300 << 20

@@ -81,9 +81,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def map_batches(
     df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """`mapInArrow` over batches of bounded size."""
+    """`mapInArrow` over batches of bounded size; a worker that waits for a task keeps no freed buffers."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(lambda batches: run(sliced(batches)), schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(sliced(batches))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
 
 
 def struct_schema(rows: DataFrame, column: str, more: str) -> T.StructType:

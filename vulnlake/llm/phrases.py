@@ -52,6 +52,8 @@ from vulnlake.llm.suffix import (
 )
 
 WINDOW, GRAM = 13, 5
+#: Larger blocks than those of suffixes: the more a block holds, the fewer share a phrase.
+BLOCK_SCALE = 1.5
 #: Phrases in one automaton, and signs for words.
 PHRASES, SIGNS = 1 << 17, 256
 #: Bytes of a window's key with the least id that holds it.
@@ -221,7 +223,7 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if window < GRAM:
         raise ValueError(f"a window holds {GRAM} words at least")
-    blocks, buckets = stored_blocks(docs, text_col)
+    blocks, buckets = stored_blocks(docs, text_col, BLOCK_SCALE)
     item = blocks.schema["rest"].dataType.elementType
     ids = F.col("rest").getField(id_col).cast("array<long>").alias("ids")
 

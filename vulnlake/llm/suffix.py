@@ -45,7 +45,7 @@ WIDTH = 200
 #: A perfect difference set: every residue but 0 is one difference of two members.
 PERIOD, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 #: Bytes of text in a block, and of all text for each bucket of suffixes.
-BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 #: Bytes of a key that are sent: sample ranks may be coarse, fingerprints are whole.
 SAMPLE_KEY, SUFFIX_KEY = 6, 8
 #: Bytes that are mixed before they are summed.
@@ -57,7 +57,7 @@ STRIDE = 1 << 15
 KEY_ROWS = "block long, bucket int, keys binary"
 
 
-def make_blocks(docs: DataFrame, text_col: str) -> DataFrame:
+def make_blocks(docs: DataFrame, text_col: str, block_bytes: int) -> DataFrame:
     """Rows (block, rest, sizes, data): whole texts end to end with their other columns."""
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
     rows = docs.select(rest.alias("rest"), F.col(text_col).cast("binary").alias("text"))
@@ -76,7 +76,7 @@ def make_blocks(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             texts = [x.as_py() or b"" for x in batch.column(1)]
             sizes = np.array([len(x) for x in texts], dtype=np.int64)
-            filled = np.cumsum(sizes) // BLOCK_BYTES
+            filled = np.cumsum(sizes) // block_bytes
             cuts = np.flatnonzero(np.append(True, filled[1:] != filled[:-1]))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(texts)]):
                 bounds = pa.array([0, b - a], type=pa.int32())
@@ -271,16 +271,18 @@ def answers(judged: DataFrame, column: str) -> DataFrame:
     return listed.agg(F.collect_list(F.struct("bucket", "bits")).alias(column)).hint("shuffle_hash")
 
 
-def stored_blocks(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+def stored_blocks(docs: DataFrame, text_col: str, scale: float = 1) -> tuple[DataFrame, int]:
     """Written blocks of the texts, bucketed by block number, and how many key buckets suit them.
 
+    Blocks hold `scale` times `BLOCK_BYTES`.
+
     Only a catalog table can be bucketed. It is dropped at once: the frame holds on to
     its files and to their bucketing, and they go with the other scratch files.
     """
     spark = docs.sparkSession
     name = f"llm_blocks_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = make_blocks(docs, text_col)
+    made = make_blocks(docs, text_col, int(scale * BLOCK_BYTES))
     writer = made.write.format("parquet").option("compression", "zstd").bucketBy(parts, "block")
     writer.option("path", scratch_path(spark, "blocks")).saveAsTable(name)
     try:
