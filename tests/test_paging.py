@@ -174,3 +174,22 @@ def test_a_sorted_copy_reads_few_files_and_pages_as_the_table(spark, log_rows, t
     assert copy.page(rare).collect() == paging.page(current, rare).collect()
     with pytest.raises(ValueError):
         copy.fetch_page(QuerySpec(sort=Sort("severity", "asc")))
+
+
+@pytest.mark.parametrize("sort", [Sort("cvss", "desc"), Sort("cvss", "asc"), Sort("fixedAt", "desc"), Sort("publishedAt", "asc"), Sort("severity", "asc")])
+def test_passes_of_a_sorted_copy_share_its_rows(spark, log_rows, tmp_path, sort):
+    rows = [
+        {"cve": f"CVE-{k}", "cvss": float(k % 3), "severity": "low" if k % 4 else "high",
+         "fixDate": f"2024-01-0{k % 5}" if k % 5 else "", "published": f"2024-02-0{k % 4 + 1}" if k % 7 else ""}
+        for k in range(120)
+    ]
+    current = log_rows(*rows, *rows[:10])
+    copy = SortedCopy(spark, str(tmp_path / "copy"), sort)
+    copy.write(current, rows_per_file=5, rows_per_pass=20)
+    assert len({f.split("/")[-2] for f in copy.files(QuerySpec(sort=sort), 1000)}) >= 4
+    kept = [r for f in copy.files(QuerySpec(sort=sort), 1000) for r in spark.read.parquet(f).select("findingId").collect()]
+    assert [r.findingId for r in kept] == [r.findingId for r in current.orderBy(*paging.total_order(sort)).collect()]
+    spec = QuerySpec(sort=sort, first=30, after=paging.fetch_page(current, QuerySpec(sort=sort, first=70)).end_cursor)
+    assert copy.page(spec).collect() == paging.page(current, spec).collect()
+    copy.write(current.limit(3), rows_per_file=5, rows_per_pass=20)
+    assert len(copy.files(QuerySpec(sort=sort), 1000)) <= 3
