@@ -58,6 +58,19 @@ def plain_trie(rows):
     return sorted(out, key=str)
 
 
+def test_totals_are_read_in_as_many_scans_however_deep_the_trie(spark):
+    def totals(depth):
+        rows = [(bytes([k]), bytes([k - 1]) if k else None, k, 1, k) for k in range(depth)]
+        nodes = spark.createDataFrame(rows, "node binary, parent binary, depth long, n_leaves long, saved_tokens long")
+        return trie.subtree_totals(nodes, ["n_leaves", "saved_tokens"])
+
+    shallow, deep = totals(5), totals(60)
+    found = {r.node[0]: (r.n_leaves, r.saved_tokens) for r in deep.collect()}
+    assert found == {k: (60 - k, sum(range(k, 60))) for k in range(60)}
+    scans = [df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in (shallow, deep)]
+    assert scans[0] == scans[1] <= 2
+
+
 def random_conversations(seed, n, most=6, texts=3):
     rng = random.Random(seed)
     rows = []

@@ -34,10 +34,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vulnlake.llm.common import map_batches, table
 from vulnlake.operators.ordered import with_running
-from vulnlake.session import write_out
+from vulnlake.session import brief_shuffles, scratch_path, write_out
 
 #: Conversations of one family share the beginning of the first, so many turns at most.
 FAMILY, SHARED = 100, 5
@@ -156,24 +157,39 @@ def trie(rows: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return write_out(top.unionByName(inner), "nodes"), write_out(ends, "ends")
 
 
+def _add(rows: DataFrame, root: str, part: int) -> DataFrame:
+    """Write one part of a table and read it back."""
+    path = f"{root}/part={part}"
+    with brief_shuffles(rows.sparkSession):
+        rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _parts(like: DataFrame, root: str) -> DataFrame:
+    """All parts of a table in one scan, however many there are; `part` is the number of each."""
+    schema = T.StructType([*like.schema.fields, T.StructField("part", T.IntegerType())])
+    return like.sparkSession.read.schema(schema).parquet(root)
+
+
 def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
     """Sums of `values` over the subtree of every node: (node, *values).
 
     `nodes` has node, parent (null at the root), depth and the values of each node itself.
+    Every round reads one part of a table and writes the next one.
     """
+    root = scratch_path(nodes.sparkSession, "rounds")
     kids = nodes.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("kids"))
     # `passed_*` is what a node's parent gets besides the node's own total.
-    live = nodes.join(kids, "node", "left").select(
+    first = nodes.join(kids, "node", "left").select(
         "node", "parent", "depth", F.coalesce("kids", F.lit(0)).alias("kids"), *values,
         *(F.lit(0).cast("long").alias(f"passed_{v}") for v in values),
+        F.lit(None).cast("binary").alias("over"),
+        *(F.lit(None).cast("long").alias(f"more_{v}") for v in values),
     )
-    live = write_out(live, "live")
-    raked: list[DataFrame] = []
-    spliced: list[DataFrame] = []
+    live, rounds = _add(first, root, 0), 0
     deepest = nodes.agg(F.max("depth")).first()[0]
     bits = max(int(deepest or 0).bit_length(), 1)
     while not live.isEmpty():
-        raked.append(live.where("kids = 0").select("node", *values))
         leaf, stays = F.col("kids") == 0, F.col("kids") > 0
         below = live.groupBy(F.col("parent").alias("node")).agg(
             *(F.coalesce(F.sum(F.when(leaf, F.col(v) + F.col(f"passed_{v}"))), F.lit(0)).alias(f"below_{v}") for v in values),
@@ -186,7 +202,7 @@ def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
             *(f"passed_{v}" for v in values),
         )
         inner = write_out(inner, "inner")
-        bit = F.shiftright("depth", len(raked) % bits) % 2 == 1
+        bit = F.shiftright("depth", rounds % bits) % 2 == 1
         taken = inner.where((F.col("kids") == 1) & F.col("parent").isNotNull() & bit)
         out = taken.join(taken.select(F.col("child").alias("node")), "node", "left_anti")
         out = write_out(
@@ -198,54 +214,49 @@ def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
             "spliced",
         )
         hung = inner.join(out, "node", "left").join(out.select(F.col("over").alias("node")), "node", "left_anti")
-        hung = write_out(
-            hung.select(
-                "node",
-                F.when(F.col("over").isNull(), F.col("parent")).otherwise(F.col("above")).alias("parent"),
-                "depth", "kids", *values,
-                *(
-                    (F.col(f"passed_{v}") + F.coalesce(F.col(f"own_{v}") + F.col(f"own_passed_{v}"), F.lit(0))).alias(f"passed_{v}")
-                    for v in values
-                ),
-                "over",
-                # The spliced node's total is this node's total plus its own and what this one passes on.
-                *((F.col(f"own_{v}") + F.col(f"passed_{v}")).alias(f"more_{v}") for v in values),
+        hung = hung.select(
+            "node",
+            F.when(F.col("over").isNull(), F.col("parent")).otherwise(F.col("above")).alias("parent"),
+            "depth", "kids", *values,
+            *(
+                (F.col(f"passed_{v}") + F.coalesce(F.col(f"own_{v}") + F.col(f"own_passed_{v}"), F.lit(0))).alias(f"passed_{v}")
+                for v in values
             ),
-            "hung",
+            "over",
+            # The spliced node's total is this node's total plus its own and what this one passes on.
+            *((F.col(f"own_{v}") + F.col(f"passed_{v}")).alias(f"more_{v}") for v in values),
         )
-        spliced.append(hung.where("over IS NOT NULL").select("over", "node", *(f"more_{v}" for v in values)))
-        live = hung.select("node", "parent", "depth", "kids", *values, *(f"passed_{v}" for v in values))
-    return _expanded(nodes, raked, spliced, values)
-
+        rounds += 1
+        live = _add(hung, root, rounds)
+    return _expanded(_parts(live, root), rounds, values)
 
-def _expanded(nodes: DataFrame, raked: list[DataFrame], spliced: list[DataFrame], values: list[str]) -> DataFrame:
-    """Totals of all nodes from those of raked ones and the records of spliced ones, last round first."""
 
-    def joined(parts: list[DataFrame], columns: list[str]) -> DataFrame:
-        first, *rest = parts or [nodes.limit(0).select(*columns)]
-        for part in rest:
-            first = first.unionByName(part)
-        return first
+def _expanded(hung: DataFrame, rounds: int, values: list[str]) -> DataFrame:
+    """Totals of all nodes, last round first, from the parts that the rounds began with.
 
-    went = joined(
-        [r.select("node", F.lit(k).alias("round")) for k, r in enumerate(raked)]
-        + [s.select(F.col("over").alias("node"), F.lit(k).alias("round")) for k, s in enumerate(spliced)],
-        ["node"],
+    Nodes without children in a part were raked in the round of its number; nodes it names as
+    `over` were spliced in the round before.
+    """
+    raked = hung.where("kids = 0")
+    spliced = hung.where("over IS NOT NULL").withColumn("gone", F.col("part") - 1)
+    went = raked.select("node", F.col("part").alias("round")).unionByName(
+        spliced.select(F.col("over").alias("node"), F.col("gone").alias("round"))
     )
-    records = None
-    if spliced:
-        records = joined([s.withColumn("gone", F.lit(k)) for k, s in enumerate(spliced)], [])
-        records = write_out(records.join(went, "node"), "records")
-    solved: list[DataFrame] = []
-    for k in reversed(range(len(raked))):
+    totals = raked.select("node", *values)
+    records = spliced.select("over", "node", "gone", *(f"more_{v}" for v in values))
+    records = write_out(records.join(went, "node"), "records")
+    if records.isEmpty():
+        return totals
+    root, solved = scratch_path(hung.sparkSession, "solved"), None
+    for k in reversed(range(1, rounds)):
         # Nodes that went in this round: raked ones, and spliced ones whose child went later.
-        known = joined([raked[k], *(s.where(F.col("gone") == k).select("node", *values) for s in solved)], ["node", *values])
-        if records is None or k == 0:
-            continue
+        known = raked.where(F.col("part") == k).select("node", *values)
+        if solved is not None:
+            known = known.unionByName(_parts(solved, root).where(F.col("gone") == k).select("node", *values))
         more = records.where(F.col("round") == k).join(known, "node")
         more = more.select(F.col("over").alias("node"), "gone", *((F.col(v) + F.col(f"more_{v}")).alias(v) for v in values))
-        solved.append(write_out(more, "solved"))
-    return joined([*raked, *(s.select("node", *values) for s in solved)], ["node", *values])
+        solved = _add(more, root, k)
+    return totals.unionByName(_parts(solved, root).select("node", *values))
 
 
 def ends_hashes(ends: DataFrame) -> DataFrame:
