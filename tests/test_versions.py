@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vulnlake import fields, session
 from vulnlake.operators import versions as v
-from vulnlake.operators.ordered import number_rows, with_running
+from vulnlake.operators.ordered import number_rows, running, with_running
 from vulnlake.streaming.changes import apply_changes
 
 NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
@@ -210,3 +210,12 @@ def test_scratch_tables_stay_below_the_shared_folder(spark):
     if configured:
         assert path.startswith(configured.rstrip("/") + "/vulnlake-")
     assert path != session.scratch_path(spark, "x")
+
+
+def test_running_totals_of_some_ranges_are_those_of_all(spark):
+    rows = spark.range(1000).select("id", (F.col("id") % 5 + 1).alias("x")).repartition(5)
+    sliced, sums = rows.withColumn("_slice", F.floor(F.col("id") / 100)), {"s": F.col("x")}
+    whole = {r.id: r.s for r in running(sliced, ["id"], sums).collect()}
+    begun = running(sliced, ["id"], sums, ranges=F.coalesce("_before_s", F.lit(0)) < 100)
+    found = {r.id: r.s for r in begun.collect()}
+    assert found == {id: whole[id] for id in range(100)}

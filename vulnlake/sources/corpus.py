@@ -19,7 +19,7 @@ from vulnlake.functions.values import (
     object_keys_or_array,
     sanitize_text,
 )
-from vulnlake.operators.ordered import with_running
+from vulnlake.operators.ordered import cut_ranges, running
 
 # Fixed value: default byte budget of a sample.
 SAMPLE_BYTES = 10 * 1024 * 1024
@@ -258,17 +258,21 @@ def sample_prefix(rows: DataFrame, order_by: list[str], budget: int = SAMPLE_BYT
     """Rows of a total order up to a byte budget, whole rows only.
 
     The row that reaches the budget is the last one. Adds `bytes`. Only the
-    order columns and sizes are put in order; the rows themselves are filtered
-    by the last key that still fits.
+    order columns and sizes are put in order, and of these only ranges that begin
+    within the budget are summed row by row; the rows themselves are filtered
+    by the last key that still fits. Sizes are not negative.
     """
     sized = rows.withColumn(
         "bytes", (record_bytes(rows) if size is None else size).cast("long")
     )
-    running = with_running(
-        sized.select(*order_by, "bytes"), order_by, sums={"_through": F.col("bytes")}
+    through = running(
+        cut_ranges(sized.select(*order_by, "bytes"), order_by),
+        order_by,
+        sums={"_through": F.col("bytes")},
+        ranges=F.coalesce("_before__through", F.lit(0)) < budget,
     )
     key = F.struct(*order_by)
-    last = running.where(F.col("_through") - F.col("bytes") < budget).agg(F.max(key))
+    last = through.where(F.col("_through") - F.col("bytes") < budget).agg(F.max(key))
     return sized.where(key <= last.scalar())
 
 
