@@ -304,3 +304,25 @@ def test_maintained_aggregates_equal_a_recompute(spark, log_rows, source_rows, t
     assert set(map(tuple, made.cells().collect())) == set(map(tuple, maintained.cells(made.current()).collect()))
     assert maintained.overview_core(made.cells()).collect() == overview.overview_core(made.current(), QuerySpec()).collect()
     assert sorted(maintained.facets(made.cells()).collect()) == sorted(facets.facets(made.current(), QuerySpec()).collect())
+
+
+def test_a_log_that_a_scan_tells_about_is_not_collapsed(log_rows, tmp_path, monkeypatch):
+    def collapse(log):
+        raise AssertionError("collapsed")
+
+    path = str(tmp_path / "log")
+    live, dead = log_rows({"cve": "a", "ms": 1}, {"cve": "b", "ms": 5}), log_rows({"cve": "a", "ms": 3, "isDeleted": True})
+    with monkeypatch.context() as patched:
+        patched.setattr(tables, "collapse_current", collapse)
+        tables.load_initial(live, path, "v")
+        for more in (live.limit(0), dead):  # the newest row of all is live
+            tables.write_log(more, path, "v")
+            with pytest.raises(tables.TableNotEmpty):
+                tables.load_initial(live, path, "v")
+        tables.load_initial(dead, path, "v", replace=True)
+        tables.load_initial(live, path, "v")
+    tables.write_log(log_rows({"cve": "a", "ms": 9, "isDeleted": True}), path, "v")
+    with pytest.raises(tables.TableNotEmpty):  # b is older than the newest tombstone, but current
+        tables.load_initial(live, path, "v")
+    tables.write_log(log_rows({"cve": "b", "ms": 8, "isDeleted": True}), path, "v")
+    tables.load_initial(live, path, "v")
