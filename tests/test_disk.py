@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from vulnlake import fields
-from vulnlake.operators.versions import collapse_current
+from vulnlake.operators.versions import collapse_current, newest_version
 from vulnlake.plans.ingest import ingest
 from vulnlake.session import _scratch_root, brief_shuffles, write_out
 from vulnlake.sources import corpus, star_schema, tables
@@ -102,3 +102,17 @@ def test_current_findings_are_named_after_the_collapse(spark, tmp_path):
     plan = star_schema._newest(spark, folder).where("cve = 'CVE-2000-00002'")._jdf.queryExecution().optimizedPlan().toString()
     collapse = plan[plan.index("Window"):]
     assert "l_extendedprice" in collapse and "_owner" in collapse.splitlines()[0]
+
+
+def test_newest_versions_are_collapsed_once_and_stored(spark, tmp_path):
+    folder = star_tables(spark, tmp_path)
+    newest = star_schema.newest_findings(spark, folder)
+    plain = newest_version(star_schema.findings_log(spark, folder)).select(*fields.LOG_COLUMNS)
+    assert sorted(map(str, newest.select(*fields.LOG_COLUMNS).collect())) == sorted(map(str, plain.collect()))
+    assert newest.where("isDeleted").count() == 1
+    assert "Window" not in newest._jdf.queryExecution().optimizedPlan().toString()
+    files = {f.rsplit("/", 2)[0] for f in newest.inputFiles()}
+    assert files == {f.rsplit("/", 2)[0] for f in star_schema.current_findings(spark, folder).inputFiles()}
+    for file in newest.inputFiles():
+        rows = spark.read.parquet(file).select(*fields.IDENTITY)
+        assert rows.collect() == rows.coalesce(1).sortWithinPartitions(*fields.IDENTITY).collect()
