@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vulnlake.llm import phrases
@@ -92,3 +93,18 @@ def test_query_matches_its_sql(spark):
     names = [d[0] for d in expected.description]
     got = phrases.op13_phrase_automata(spark, "/root/testdata/sf0.001").select(*names)
     assert sorted(map(tuple, got.collect())) == sorted(expected.fetchall())
+
+
+def test_automata_read_only_words_that_may_recur():
+    common = prose(1, 20)
+    texts = [f"{prose(2, 300)} {common} {prose(3, 300)}", f"{common} {prose(4, 300)}"]
+    data = [t.encode() for t in texts]
+    row = {
+        "sizes": pa.scalar([len(d) for d in data], pa.list_(pa.int64())),
+        "data": pa.scalar(b"".join(data), pa.large_binary()),
+        "ids": pa.scalar([1, 2], pa.list_(pa.int64())),
+    }
+    passages = phrases.Passages(row, phrases.WINDOW, 4)
+    gone = passages.removed(None, None)
+    assert " ".join(passages.words.take(pa.array(passages.codes[gone])).to_pylist()) == common
+    assert len(passages.signs) < 100 < len(passages.codes)

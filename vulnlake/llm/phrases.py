@@ -9,14 +9,16 @@
    (pyahocorasick) of at most `PHRASES` phrases, so that a block of copies needs no more
    memory than any other. An automaton reads each word as one of `SIGNS` signs, which keeps
    its nodes narrow; of phrases spelled alike, each gets into an automaton of its own.
-3. Stream. All words of the block's documents run through each of its automata, which
-   locate every occurrence; those whose words are the phrase's own count. An occurrence goes
-   if its document's id is larger than the smallest one that holds the phrase.
+3. Stream. All words of the block's documents that lie in a window of a gram seen twice run
+   through each of its automata, which locate every occurrence (each holds its phrase's gram);
+   those whose words are the phrase's own count. An occurrence goes if its document's id is
+   larger than the smallest one that holds the phrase.
 
 A common phrase is one key per block, whatever its number of occurrences, and no text
 travels: blocks lie in a written table bucketed by block number. Keys chain a cryptographic
 digest of each word through a bijective mix, so equal keys of different windows are a matter
-of chance, about n * n / 2^129 for n windows.
+of chance, about n * n / 2^129 for n windows. Grams, which only leave windows out, chain a
+plain hash.
 
 Defined cases: a null text has no words; a text below `WINDOW` words loses nothing; rows of
 equal id are neither smaller nor larger than each other; a null id is neither smaller nor
@@ -33,6 +35,7 @@ from functools import cached_property
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -94,8 +97,6 @@ class Passages:
         self.ids = np.asarray(pc.fill_null(ids, 0), dtype=np.int64)
         self.doc = np.repeat(np.arange(len(sizes)), np.diff(self.offsets))
         self.window, self.buckets = window, buckets
-        digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in self.words.cast(pa.large_binary()).to_pylist())
-        self.lanes = np.frombuffer(digests, dtype="<u8").reshape(-1, 2).astype(np.uint64)
         room = np.arange(len(self.codes)) + window <= self.offsets[1:][self.doc]
         #: Where windows start whose document has an id.
         self.here = room & self.known[self.doc]
@@ -105,16 +106,30 @@ class Passages:
         """For each window the number of its run of equal least grams in its document, and a key per run."""
         if not len(self.starts):
             return self.starts, Keys(np.zeros(0, dtype=np.uint64), self.buckets)
-        grams = chained(self.lanes[self.codes, 0], np.arange(len(self.codes) - GRAM + 1), GRAM)
+        hashes = pd.util.hash_array(self.words.to_numpy(zero_copy_only=False), categorize=False)
+        grams = chained(hashes[self.codes], np.arange(len(self.codes) - GRAM + 1), GRAM)
         low = window_minima(grams, self.window - GRAM + 1)[self.starts]
         doc = self.doc[self.starts]
         first = np.append(True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))
         return np.cumsum(first) - 1, Keys(low[first], self.buckets)
 
+    def lanes(self, places: np.ndarray) -> np.ndarray:
+        """Both halves of the digest of the word at each of some places."""
+        used, which = np.unique(self.codes[places], return_inverse=True)
+        words = self.words.take(pa.array(used)).cast(pa.large_binary()).to_pylist()
+        digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words)
+        return np.frombuffer(digests, dtype="<u8").reshape(-1, 2).astype(np.uint64)[which].T
+
     def phrases(self, seen: list[dict] | None) -> Phrases:
         runs, keys = self.anchors()
         starts = self.starts[keys.repeated(seen)[runs]]
-        high, low = (chained(self.lanes[self.codes, k], starts, self.window) for k in (0, 1))
+        change = np.zeros(len(self.codes) + 1, dtype=np.int8)
+        change[starts] += 1
+        change[starts + self.window] -= 1
+        #: Places of the words in these windows; a window's own follow each other.
+        self.stream = np.flatnonzero(np.cumsum(change[:-1]))
+        first = np.searchsorted(self.stream, starts)
+        high, low = (chained(lane, first, self.window) for lane in self.lanes(self.stream))
         return Phrases(starts, high, low, self.ids[self.doc[starts]], self.buckets)
 
     def removed(self, seen: list[dict] | None, smaller: list[dict] | None) -> np.ndarray:
@@ -134,16 +149,16 @@ class Passages:
 
     @cached_property
     def signs(self) -> str:
-        """One sign for each word of the block."""
-        return (self.codes % SIGNS).astype(np.uint8).tobytes().decode("latin-1")
+        """One sign for each word that runs through the automata."""
+        return (self.codes[self.stream] % SIGNS).astype(np.uint8).tobytes().decode("latin-1")
 
     def compiled(self, places: np.ndarray) -> tuple[ahocorasick.Automaton, np.ndarray]:
         """An automaton of the phrases at some places, as many as it takes, and which those are."""
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         text, window = self.signs, self.window
         inside = np.zeros(len(places), dtype=bool)
-        for k, place in enumerate(places[:PHRASES].tolist()):
-            phrase = text[place : place + window]
+        for k, first in enumerate(np.searchsorted(self.stream, places[:PHRASES]).tolist()):
+            phrase = text[first : first + window]
             if phrase not in automaton:
                 automaton.add_word(phrase, k)
                 inside[k] = True
@@ -153,8 +168,12 @@ class Passages:
     def located(self, automaton: ahocorasick.Automaton, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every occurrence in the block of an automaton's phrases: its start, the number of its phrase."""
         hits = np.fromiter((end << 32 | k for end, k in automaton.iter(self.signs)), dtype=np.int64)
-        starts, which = (hits >> 32) + 1 - self.window, hits & 0xFFFFFFFF
-        same = self.here[starts]  # not across documents
+        ends, which = self.stream[hits >> 32], hits & 0xFFFFFFFF
+        starts = self.stream[(hits >> 32) + 1 - self.window]
+        # Not across documents, nor across words left out.
+        same = self.here[starts] & (ends - starts == self.window - 1)
+        starts, which = starts[same], which[same]
+        same = np.ones(len(starts), dtype=bool)
         for k in range(self.window):
             same &= self.codes[starts + k] == self.codes[places[which] + k]
         return starts[same], which[same]
