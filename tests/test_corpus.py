@@ -140,3 +140,11 @@ def test_ingest_end_to_end(spark, folder, tmp_path):
     empty = corpus.parse_documents(spark.createDataFrame([("{}",)], "t string"), "t")
     with pytest.raises(ContractViolation, match="at least one batch"):
         ingest(empty, str(tmp_path / "none"), "v1", NOW)
+
+
+def test_texts_are_parsed_once(spark):
+    texts = spark.range(3).select(F.format_string('{"groups": {"g%s": {"repos": {}}}}', "id").alias("t"))
+    rows = corpus.flatten_source(corpus.parse_documents(texts, "t"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert rows.count() == 0

@@ -95,7 +95,10 @@ def _containers(corpus: DataFrame, outer: bool) -> DataFrame:
     """
     explode = F.posexplode_outer if outer else F.posexplode
     kept = [c for c in corpus.columns if c != "groups"]
-    rows = corpus.select(*kept, explode("groups").alias("groupPlace", "groupKey", "g"))
+    # An inner explode would test `groups` for entries below it, which parses a text anew for each test.
+    rows = corpus.select(*kept, F.posexplode_outer("groups").alias("groupPlace", "groupKey", "g"))
+    if not outer:
+        rows = rows.where(F.col("groupPlace").isNotNull())
     kept += ["groupPlace", "groupKey"]
     rows = rows.select(
         *kept,
