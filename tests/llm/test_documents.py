@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -651,3 +652,21 @@ def test_a_block_of_copies_fits_beside_an_executor():
     finally:
         tracemalloc.stop()
     assert gone.all() and peak < 300 << 20
+
+
+def test_segmentation_holds_little_of_a_batch(spark, monkeypatch):
+    """A worker's memory follows the slices that it encodes, not the batches that arrive."""
+    monkeypatch.setattr(segmentation, "map_batches", lambda rows, run, schema: run)
+    run = segmentation.encode_samples(spark.createDataFrame([], "doc_id long, text string"), digest=True)
+    # 4 MiB of words that are all different.
+    texts = [" ".join(f"{mixed:x}" for mixed in range(n << 32, (n << 32) + 4096 * 104729, 104729)) for n in range(1, 100)]
+    texts = texts[: (4 << 20) // len(texts[0])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    tracemalloc.start()
+    try:
+        exact = [x for part in run(iter([batch])) for x in part.column("exact").to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert exact == [True] * 2 * len(texts)
+    assert peak < 500 << 20

@@ -45,8 +45,8 @@ from vulnlake.llm.common import map_batches, mix64, ragged, segment_sums, sliced
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES = 2
-#: Bytes of text that a task encodes at once.
-AT_ONCE = 4 << 20
+#: Bytes of text that a task encodes at once; a worker holds some 300 times as many.
+AT_ONCE = 1 << 20
 #: A path goes on with a new number once its probability since the last one is below this.
 SPENT = 2.0**-24
 #: A piece of rank r weighs (r + SHIFT) ** -SHARPNESS; a byte piece weighs BYTE.
