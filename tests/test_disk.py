@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from vulnlake import fields
+from vulnlake.operators import versions
 from vulnlake.operators.versions import collapse_current, newest_version
 from vulnlake.plans.ingest import ingest
 from vulnlake.session import _scratch_root, brief_shuffles, write_out
@@ -116,3 +117,28 @@ def test_newest_versions_are_collapsed_once_and_stored(spark, tmp_path):
     for file in newest.inputFiles():
         rows = spark.read.parquet(file).select(*fields.IDENTITY)
         assert rows.collect() == rows.coalesce(1).sortWithinPartitions(*fields.IDENTITY).collect()
+
+
+def test_upserts_are_numbered_without_their_columns(spark, log_rows):
+    current = write_out(log_rows({"ms": 1}, {"cve": "CVE-2", "ms": 2}), "current")
+    root = _scratch_root(spark)
+    before = set(os.listdir(root))
+    asked = current.select(*fields.SOURCE_FIELDS, F.col("cve").alias("requestOrder"))
+    rows = versions.apply_upserts(current, asked.unionByName(asked.withColumn("cve", F.lit("CVE-0")).limit(1)), T0, 7)
+    ordered = [n for n in set(os.listdir(root)) - before if n.startswith("ordered")]
+    assert ordered and all("description" not in spark.read.parquet(f"{root}/{n}").columns for n in ordered)
+    assert sorted((r.position, r.batch) for r in rows.collect()) == [(1, 7), (2, 7), (3, 7)]
+    assert {r.cve: r.firstSeenAt == T0.replace(tzinfo=None) for r in rows.collect()} == {"CVE-0": True, "CVE-1": False, "CVE-2": False}
+
+
+def test_lookups_drop_rows_before_they_travel(spark, monkeypatch):
+    rows = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("findingId"), "id")
+    rows = rows.unionByName(spark.createDataFrame([(None, -1)], "findingId string, id long"))
+    asked = rows.where("id % 100 = 0 OR id < 0")
+    plain = rows.join(asked.select("findingId"), "findingId", "left_semi").collect()
+    monkeypatch.setattr(versions, "MARKED", 1)
+    assert sorted(versions.lookup_by_ids(rows, asked).collect()) == sorted(plain)
+    assert 30 <= versions._likely(rows, asked).count() < 600
+    monkeypatch.setattr(versions, "MARK_BITS", 64)
+    assert sorted(versions.lookup_by_ids(rows, asked).collect()) == sorted(plain)
+    assert versions.lookup_by_ids(rows, asked.limit(0)).isEmpty()

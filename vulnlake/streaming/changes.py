@@ -14,6 +14,7 @@ from vulnlake import fields
 from vulnlake.functions.values import epoch_ms, finding_id
 from vulnlake.operators import events as ev
 from vulnlake.operators import maintained
+from vulnlake.operators.ordered import placed
 from vulnlake.operators.predicates import by_id
 from vulnlake.operators.versions import (
     MAX_CHANGES,
@@ -61,7 +62,7 @@ def apply_changes(current: DataFrame, upserts: DataFrame, ids: DataFrame, datase
     that neither goes back however the clock does.
     """
     # Read several times; as files they also have a size for the join planner.
-    upserts, ids = write_out(upserts, "upserts-asked"), write_out(ids, "deletes-asked")
+    upserts, ids = placed(upserts), write_out(ids, "deletes-asked")
     check_changes(upserts, ids, max_changes)
     spark = current.sparkSession
     written = write_out_alone(
