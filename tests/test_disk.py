@@ -142,3 +142,33 @@ def test_lookups_drop_rows_before_they_travel(spark, monkeypatch):
     monkeypatch.setattr(versions, "MARK_BITS", 64)
     assert sorted(versions.lookup_by_ids(rows, asked).collect()) == sorted(plain)
     assert versions.lookup_by_ids(rows, asked.limit(0)).isEmpty()
+
+
+def test_lines_are_dealt_by_part_once(spark, tmp_path):
+    folder = star_tables(spark, tmp_path)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = star_schema._newest(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # One branch for parts with a name of their own, one for those that share theirs.
+    assert plan.count("hashpartitioning(l_partkey") == 2
+
+
+def test_buckets_are_written_where_rows_are_read(spark, log_rows, tmp_path):
+    rows = log_rows(*({"cve": f"CVE-{n}", "position": n} for n in range(60))).repartition(3, "cve")
+    rows = write_out(rows.withColumn("batch", F.spark_partition_id().cast("long")), "dealt")
+    task = rows.withColumn("batch", F.spark_partition_id().cast("long"))
+    parts = tables.write_buckets(task, str(tmp_path / "few"), 4)
+    stored = spark.read.parquet(str(tmp_path / "few"))
+    assert parts == [0, 1, 2, 3] and stored.count() == 60
+    assert stored.where(F.col("bucket") != tables.bucket_of(F.col("findingId"), 4)).isEmpty()
+    for file in stored.inputFiles():
+        read = spark.read.parquet(file)
+        # All of a file's rows were read by the task that wrote it, and a small file has a small filter.
+        assert read.select("batch").distinct().count() == 1
+        assert [r.cve for r in read.collect()] == sorted(r.cve for r in read.collect())
+        assert os.path.getsize(file.removeprefix("file://")) < 200_000
+    tables.write_buckets(task, str(tmp_path / "many"), tables.LOCAL_BUCKETS + 1)
+    assert spark.read.parquet(str(tmp_path / "many")).drop("bucket").exceptAll(task.select(*fields.LOG_COLUMNS)).isEmpty()
