@@ -193,3 +193,12 @@ def test_passes_of_a_sorted_copy_share_its_rows(spark, log_rows, tmp_path, sort)
     assert copy.page(spec).collect() == paging.page(current, spec).collect()
     copy.write(current.limit(3), rows_per_file=5, rows_per_pass=20)
     assert len(copy.files(QuerySpec(sort=sort), 1000)) <= 3
+
+
+def test_a_sorted_copy_reads_the_table_few_times(spark, log_rows, tmp_path):
+    current = log_rows(*({"cve": f"CVE-{k}", "cvss": float(k)} for k in range(40)))
+    copy = SortedCopy(spark, str(tmp_path / "copy"))
+    copy.write(current, rows_per_file=5, rows_per_pass=1)
+    files = copy.files(QuerySpec(), 1000)
+    assert len({f.split("/")[-2] for f in files}) == 4
+    assert sum(spark.read.parquet(f).count() for f in files) == 40
