@@ -670,3 +670,9 @@ def test_segmentation_holds_little_of_a_batch(spark, monkeypatch):
         tracemalloc.stop()
     assert exact == [True] * 2 * len(texts)
     assert peak < 500 << 20
+
+
+def test_a_batch_without_second_samples_keeps_its_types(spark):
+    docs = documents(spark, [(1, ""), (2, None)]).coalesce(1)
+    found = segmentation.encode_samples(docs, digest=True).collect()
+    assert sorted((r["id"], r["sample"], r.n_pieces, r.ids_crc32, r.exact) for r in found) == [(1, 0, 0, 0, True), (2, 0, 0, 0, True)]

@@ -582,7 +582,7 @@ def encode_samples(
                     crc = [zlib.crc32(raw[ends[k] : ends[k + 1]]) for k in at.tolist()]
                     back = decode_ids(ids, offsets, vocabulary.text)
                     exact = [back[k] == raw_texts[k] for k in at.tolist()]
-                    columns += [pa.array(crc, type=pa.int64()), pa.array(exact)]
+                    columns += [pa.array(crc, type=pa.int64()), pa.array(exact, type=pa.bool_())]
                     names += ["ids_crc32", "exact"]
                 else:
                     lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
